@@ -31,7 +31,21 @@ CTES = {
  SELECT l.doc_id, e.value AS actual, d.n_chars / 50.0 AS predicted
  FROM labels l JOIN documents d ON d.doc_id = l.doc_id JOIN events e ON e.event_id = l.doc_id)""",
 }
-ORDER = ["stories", "comments", "live", "clean", "tstats", "evalbase"]
+CTES["hits"] = """hits AS (
+ SELECT query_id, neighbour_id, distance,
+   row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank
+ FROM (SELECT q.vec_id AS query_id, x.vec_id AS neighbour_id,
+   list_sum(list_transform(list_zip(q.embedding, x.embedding),
+     lambda t: (CAST(t[1] AS DOUBLE) - CAST(t[2] AS DOUBLE)) ^ 2)) AS distance
+   FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id)
+ QUALIFY rank <= 5)"""
+CTES["ranked"] = """ranked AS (
+ SELECT user_id, event_id, event_type, value, {label} AS label,
+   row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events)"""
+CTES["orig"] = """orig AS (SELECT e.* FROM events e JOIN
+   (SELECT user_id AS u, min(event_id) AS m FROM events GROUP BY user_id) f
+   ON e.user_id = f.u AND e.event_id = f.m)"""
+ORDER = ["stories", "comments", "live", "clean", "tstats", "evalbase", "hits", "ranked", "orig"]
 
 
 def html_sql(c: str) -> str:
@@ -109,7 +123,8 @@ def with_ctes(body: str, *needed: str) -> str:
     deps = {"live": {"stories"}, "clean": {"live", "stories"}}
     for n in list(need):
         need |= deps.get(n, set())
-    parts = [CTES[n].format(html=html_sql("text"), domain=domain_sql("url"))
+    parts = [CTES[n].format(html=html_sql("text"), domain=domain_sql("url"),
+                            label=label_sql("value"))
              for n in ORDER if n in need]
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
@@ -250,3 +265,173 @@ def _fill_descriptions():
 
 
 _fill_descriptions()
+
+
+def fixed_sql(x: str, digits: int, plus: bool = False) -> str:
+    scale = 10 ** digits
+    units = f"CAST(floor(abs({x}) * {scale} + 0.5) AS BIGINT)"
+    sign = f"CASE WHEN {x} < 0 THEN '-' ELSE '{'+' if plus else ''}' END"
+    return (f"({sign} || CAST({units} // {scale} AS VARCHAR) || '.' || "
+            f"lpad(CAST({units} % {scale} AS VARCHAR), {digits}, '0'))")
+
+
+def _hex(fraction: float) -> str:
+    return format(int(fraction * 16 ** 8), "08x")
+
+
+ORACLE_SQL["knn_topk"] = with_ctes("""
+SELECT query_id, neighbour_id, round(distance, 6) AS distance, rank FROM hits""", "hits")
+
+ORACLE_SQL["knn_context"] = with_ctes("""
+SELECT h.query_id, h.neighbour_id, h.rank AS neighbour_rank, c.id AS comment_id,
+  row_number() OVER (PARTITION BY h.query_id, h.neighbour_id ORDER BY c.id) AS comment_rank, c.author
+FROM hits h JOIN comments c ON c.parent = h.neighbour_id WHERE h.rank <= 3
+QUALIFY comment_rank <= 10""", "hits", "comments")
+
+ORACLE_SQL["comment_lookup"] = with_ctes("""
+SELECT id, parent, author, row_number() OVER (PARTITION BY parent ORDER BY id) AS rank
+FROM comments QUALIFY rank <= 20""", "comments")
+
+ORACLE_SQL["prompt_table"] = with_ctes(f"""
+, pitches AS (SELECT em.vec_id AS query_id, s.title, '' AS description, e.value AS predicted_score,
+    {label_sql('e.value')} AS label
+  FROM embeddings em LEFT JOIN stories s ON s.id = em.vec_id LEFT JOIN events e ON e.event_id = em.vec_id),
+sims AS (SELECT h.query_id, string_agg('- "' || coalesce(s.title, '') || '" (score: ' ||
+    CAST(coalesce(s.score, 0) AS VARCHAR) || ', comments: ' || CAST(coalesce(s.descendants, 0) AS VARCHAR) || ')',
+    chr(10) ORDER BY h.rank) AS lines
+  FROM hits h LEFT JOIN stories s ON s.id = h.neighbour_id GROUP BY h.query_id),
+ctx AS (SELECT h.query_id, h.rank AS nr, c.id AS cid, c.author, c.text,
+    row_number() OVER (PARTITION BY h.query_id, h.neighbour_id ORDER BY c.id) AS cr
+  FROM hits h JOIN comments c ON c.parent = h.neighbour_id WHERE h.rank <= 3 QUALIFY cr <= 10),
+cl AS (SELECT query_id, string_agg('- ' || coalesce(author, 'unknown') || ': ' || coalesce(text, ''),
+    chr(10) ORDER BY nr, cr) AS lines FROM ctx GROUP BY query_id)
+SELECT p.query_id, concat_ws(chr(10) || chr(10),
+  '## Pitch' || chr(10) || '**Title:** ' || coalesce(p.title, '') || chr(10) || '**Description:** ' || p.description,
+  '## Prediction Context' || chr(10) || 'Predicted HN score: ' || CAST(CAST(trunc(p.predicted_score) AS BIGINT) AS VARCHAR)
+    || chr(10) || 'Reception label: ' || p.label,
+  CASE WHEN sims.lines IS NOT NULL THEN '## Similar Stories on HN' || chr(10) || sims.lines END,
+  CASE WHEN cl.lines IS NOT NULL THEN '## Example Real HN Comments (from similar stories)' || chr(10) || cl.lines END,
+  '## Task' || chr(10) || 'Generate exactly 5 realistic HN-style comments for this pitch. Return a JSON array with 5 objects.'
+  ) AS prompt
+FROM pitches p LEFT JOIN sims ON sims.query_id = p.query_id LEFT JOIN cl ON cl.query_id = p.query_id""",
+                                      "stories", "comments", "hits").replace("\n, pitches", ",\npitches", 1)
+
+ORACLE_SQL["class_weights"] = with_ctes(f"""
+SELECT cls, n_c, round(sum(n_c) OVER () / (count(*) OVER () * n_c), 6) AS weight
+FROM (SELECT {class_sql('actual')} AS cls, count(*) AS n_c FROM evalbase GROUP BY 1)""", "evalbase")
+
+ORACLE_SQL["regression_error"] = with_ctes("""
+SELECT round(sqrt(avg(pow(greatest(exp(ln(1 + predicted)) - 1, 0.0) - actual, 2))), 6) AS rmse,
+  round(avg(abs(greatest(exp(ln(1 + predicted)) - 1, 0.0) - actual)), 6) AS mae, count(*) AS n
+FROM evalbase""", "evalbase")
+
+_PP = soft_sql("predicted")
+ORACLE_SQL["accuracy_logloss"] = with_ctes(f"""
+SELECT round(avg(CASE WHEN list_position(p, list_max(p)) - 1 = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+  round(avg(-ln(greatest(least(p[y + 1], 1 - 1e-15), 1e-15))), 6) AS log_loss, count(*) AS n
+FROM (SELECT {class_sql('actual')} AS y, [{', '.join(_PP)}] AS p FROM evalbase)""", "evalbase")
+
+_CONF = f"""conf AS (
+ SELECT a.actual, a.predicted, coalesce(c.n, 0) AS n
+ FROM (SELECT x // 5 AS actual, x % 5 AS predicted FROM range(25) t(x)) a
+ LEFT JOIN (SELECT {class_sql('actual')} AS ca, {class_sql('predicted')} AS cp, count(*) AS n
+   FROM evalbase GROUP BY ALL) c ON c.ca = a.actual AND c.cp = a.predicted)"""
+
+ORACLE_SQL["confusion"] = with_ctes(f"\n, {_CONF}\nSELECT actual, predicted, n FROM conf",
+                                    "evalbase").replace("\n, conf", ",\nconf", 1)
+
+ORACLE_SQL["precision_recall"] = with_ctes(f"""
+, {_CONF}
+SELECT p.cls, round(CASE WHEN pred_n > 0 THEN tp / pred_n ELSE 0.0 END, 6) AS precision,
+  round(CASE WHEN true_n > 0 THEN tp / true_n ELSE 0.0 END, 6) AS recall, CAST(true_n AS BIGINT) AS support
+FROM (SELECT predicted AS cls, sum(CASE WHEN actual = predicted THEN n ELSE 0 END) AS tp, sum(n) AS pred_n
+      FROM conf GROUP BY predicted) p
+JOIN (SELECT actual AS cls, sum(n) AS true_n FROM conf GROUP BY actual) t ON t.cls = p.cls""",
+                                           "evalbase").replace("\n, conf", ",\nconf", 1)
+
+ORACLE_SQL["spearman"] = with_ctes("""
+SELECT round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM (
+  SELECT rank() OVER (ORDER BY predicted) + (count(*) OVER (PARTITION BY predicted) - 1) / 2.0 AS rx,
+         rank() OVER (ORDER BY actual) + (count(*) OVER (PARTITION BY actual) - 1) / 2.0 AS ry
+  FROM evalbase WHERE predicted IS NOT NULL AND actual IS NOT NULL)""", "evalbase")
+
+ORACLE_SQL["temporal_split"] = """
+SELECT o_orderkey, CAST(NOT coalesce(o_orderdate < TIMESTAMP '1999-01-01 00:00:00', false) AS BIGINT) AS is_validation
+FROM orders"""
+
+ORACLE_SQL["fallback_split"] = f"""
+SELECT o_orderkey, CAST(CASE WHEN (SELECT count(*) FROM orders WHERE o_orderdate < TIMESTAMP '1990-01-01 00:00:00') > 0
+  THEN NOT coalesce(o_orderdate < TIMESTAMP '1990-01-01 00:00:00', false)
+  ELSE substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) < '{_hex(0.2)}' END AS BIGINT) AS is_validation
+FROM orders"""
+
+ORACLE_SQL["hash_split"] = f"""
+SELECT event_id, CAST(substr(md5(CAST(event_id AS VARCHAR) || ':42'), 1, 8) < '{_hex(0.2)}' AS BIGINT) AS is_test
+FROM events"""
+
+ORACLE_SQL["validation_tail"] = f"""
+SELECT event_id, CASE WHEN substr(md5(CAST(event_id AS VARCHAR) || ':42'), 1, 8) < '{_hex(0.2)}' THEN 'test'
+  WHEN substr(md5(CAST(event_id AS VARCHAR) || ':val42'), 1, 8) < '{_hex(0.1)}' THEN 'validation'
+  ELSE 'train' END AS part
+FROM events"""
+
+ORACLE_SQL["variant_rank"] = with_ctes("""
+SELECT user_id, event_id, round(value, 6) AS value, rank FROM ranked""", "ranked")
+
+_Q1 = "'''' || event_type || ''' is predicted to perform best (score: '"
+ORACLE_SQL["variant_summary"] = with_ctes(f"""
+SELECT b.user_id, b.explanation, s.summary FROM
+ (SELECT user_id, {_Q1} || {fixed_sql('value', 1)}
+    || ', label: ' || label || ').' AS explanation FROM ranked WHERE rank = 1) b
+ JOIN (SELECT user_id, string_agg(CAST(rank AS VARCHAR) || '. "' || event_type || '" — score: ' ||
+    {fixed_sql('value', 1)} || ', label: ' || label, chr(10) ORDER BY rank) AS summary
+    FROM ranked WHERE rank <= 10 GROUP BY user_id) s ON s.user_id = b.user_id""", "ranked")
+
+ORACLE_SQL["suggestion_rank"] = with_ctes("""
+, sugg AS (SELECT e.* FROM events e WHERE e.event_id NOT IN (SELECT event_id FROM orig)
+   AND NOT EXISTS (SELECT 1 FROM orig o WHERE o.user_id = e.user_id AND o.event_type = e.event_type)),
+both_ AS (SELECT user_id, event_id, value, 1 AS is_original FROM orig
+   UNION ALL SELECT user_id, event_id, value, 0 AS is_original FROM sugg)
+SELECT user_id, event_id, round(value, 6) AS value, CAST(is_original AS BIGINT) AS is_original,
+  row_number() OVER (PARTITION BY user_id ORDER BY value DESC, is_original DESC, event_id) AS rank
+FROM both_""", "orig").replace("\n, sugg", ",\nsugg", 1)
+
+ORACLE_SQL["optimise_trace"] = with_ctes("""
+, o AS (SELECT user_id AS pitch, event_type AS title0, value AS s0 FROM orig),
+v5 AS (SELECT user_id AS pitch, event_id % 5 + 1 AS rnd, event_type AS title, value AS score FROM events
+   WHERE event_id NOT IN (SELECT event_id FROM orig) AND event_id % 5 + 1 <= 5),
+f AS (SELECT pitch, title, min(rnd) AS fr FROM v5 GROUP BY ALL),
+u AS (SELECT v5.* FROM v5 JOIN f ON f.pitch = v5.pitch AND f.title = v5.title JOIN o ON o.pitch = v5.pitch
+   WHERE v5.rnd = f.fr AND v5.title <> o.title0),
+best AS (SELECT pitch, rnd, max(score) AS best FROM u GROUP BY ALL),
+sp AS (SELECT DISTINCT pitch, rnd FROM v5),
+s1 AS (SELECT sp.pitch, sp.rnd, best.best, o.s0 FROM sp LEFT JOIN best ON best.pitch = sp.pitch AND best.rnd = sp.rnd
+   JOIN o ON o.pitch = sp.pitch),
+s2 AS (SELECT *, greatest(s0, coalesce(max(best) OVER (PARTITION BY pitch ORDER BY rnd
+   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s0)) AS prev FROM s1),
+s3 AS (SELECT *, (best IS NOT NULL AND best > prev AND best - prev >= 2.0) AS ok FROM s2),
+s4 AS (SELECT *, min(CASE WHEN NOT ok THEN rnd END) OVER (PARTITION BY pitch) AS stop FROM s3)
+SELECT pitch AS user_id, count(*) AS rounds_run,
+  round(coalesce(max(CASE WHEN ok AND (stop IS NULL OR rnd < stop) THEN best END), max(s0)), 6) AS best_score,
+  round(coalesce(max(CASE WHEN ok AND (stop IS NULL OR rnd < stop) THEN best END) - max(s0), 0.0), 6) AS total_gain
+FROM s4 WHERE stop IS NULL OR rnd <= stop GROUP BY pitch""", "orig").replace("\n, o AS", ",\no AS", 1)
+
+ORACLE_SQL["tried_titles"] = """
+SELECT user_id, array_to_string(list_transform(list_sort(list_distinct(
+  list(event_type) FILTER (WHERE event_type IS NOT NULL))), lambda t: '"' || t || '"'), ', ') AS tried
+FROM events GROUP BY user_id"""
+
+_TOPK = """topk AS (
+ SELECT vec_id, 'emb_' || CAST(i - 1 AS VARCHAR) AS feature, CAST(embedding[i] AS DOUBLE) AS importance,
+   CASE WHEN CAST(embedding[i] AS DOUBLE) > 0 THEN 'up' ELSE 'down' END AS direction,
+   row_number() OVER (PARTITION BY vec_id ORDER BY abs(CAST(embedding[i] AS DOUBLE)) DESC, i) AS position
+ FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
+ QUALIFY position <= 5)"""
+
+ORACLE_SQL["attribution_topk"] = f"""WITH {_TOPK}
+SELECT vec_id, position, feature, round(importance, 6) AS importance, direction FROM topk"""
+
+ORACLE_SQL["attribution_text"] = f"""WITH {_TOPK}
+SELECT vec_id, string_agg('  ' || CASE WHEN direction = 'up' THEN '↑' ELSE '↓' END || ' ' || feature || ' (' ||
+  {fixed_sql('importance', 2, plus=True)} || ')', chr(10) ORDER BY position) AS text
+FROM topk GROUP BY vec_id"""

@@ -213,3 +213,267 @@ def reception_described(spark, sf):
     e = _events(spark, sf).withColumn("label", L.reception_label("value"))
     t = F.broadcast(L.label_table(spark).select("label", "description"))  # 5 rows
     return e.join(t, "label", "left").select("event_id", "label", "description")
+
+
+# ---- nearest neighbours, context, prompts ------------------------------------
+
+from postcast.operators import knn as K  # noqa: E402
+from postcast.operators.prompts import prompt_table  # noqa: E402
+
+
+def _knn_hits(spark, sf):
+    emb = read_table(spark, sf, "embeddings")
+    return K.knn(emb, emb, k=5, index_id="vec_id", query_id="vec_id", vec="embedding",
+                 exclude_self=True)
+
+
+@query("knn_topk")
+def knn_topk(spark, sf):
+    return rounded(_knn_hits(spark, sf))
+
+
+@query("knn_context")
+def knn_context(spark, sf):
+    ctx = K.context_comments(_knn_hits(spark, sf), comments(spark, sf))
+    return ctx.select("query_id", "neighbour_id", F.col("neighbour_rank").cast("long"),
+                      "comment_id", F.col("comment_rank").cast("long"), "author")
+
+
+@query("comment_lookup")
+def comment_lookup(spark, sf):
+    from postcast.sources.items import per_group_limit
+    c = comments(spark, sf)
+    r = per_group_limit(c, ["parent"], [F.col("id")], 20, rank_col="rank")
+    return r.select("id", "parent", "author", F.col("rank").cast("long"))
+
+
+@query("prompt_table")
+def prompt_table_q(spark, sf):
+    st = stories(spark, sf).select("id", "title", "score", "descendants")
+    ev = read_table(spark, sf, "events").select("event_id", "value")
+    emb = read_table(spark, sf, "embeddings").select("vec_id")
+    pitches = (emb.join(st, emb.vec_id == st.id, "left")
+               .join(ev, emb.vec_id == ev.event_id, "left")
+               .select(F.col("vec_id").alias("query_id"), "title", F.lit("").alias("description"),
+                       F.col("value").alias("predicted_score"),
+                       L.reception_label("value").alias("label")))
+    hits = _knn_hits(spark, sf)
+    sims = hits.join(st, hits.neighbour_id == st.id, "left").select(
+        "query_id", "rank", "title", "score", "descendants")
+    ctx = K.context_comments(hits, comments(spark, sf))
+    return prompt_table(pitches, sims, ctx)
+
+
+# ---- evaluation --------------------------------------------------------------
+
+from postcast.operators import evaluate as EV  # noqa: E402
+
+
+def _evalbase(spark, sf):
+    lb = read_table(spark, sf, "labels").select("doc_id")
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("_d"), "n_chars")
+    e = read_table(spark, sf, "events").select("event_id", "value")
+    j = lb.join(d, lb.doc_id == d._d).join(e, lb.doc_id == e.event_id)
+    return j.select("doc_id", F.col("value").alias("actual"),
+                    (F.col("n_chars") / 50.0).alias("predicted"))
+
+
+@query("class_weights")
+def class_weights_q(spark, sf):
+    b = _evalbase(spark, sf).withColumn("cls", L.reception_class("actual"))
+    return rounded(stats.class_weights(b, "cls"))
+
+
+@query("regression_error")
+def regression_error_q(spark, sf):
+    b = _evalbase(spark, sf).withColumn("predicted_log", F.log1p("predicted"))
+    return rounded(EV.regression_error(b, "actual", "predicted_log"))
+
+
+@query("accuracy_logloss")
+def accuracy_logloss_q(spark, sf):
+    b = _evalbase(spark, sf).select(L.reception_class("actual").alias("y"),
+                                    L.soft_distribution("predicted").alias("p"))
+    return rounded(b.agg(EV.accuracy(F.col("y"), L.argmax("p")).alias("accuracy"),
+                         EV.log_loss(F.col("p"), F.col("y")).alias("log_loss"),
+                         F.count(F.lit(1)).alias("n")))
+
+
+def _classes(spark, sf):
+    return _evalbase(spark, sf).select(L.reception_class("actual").alias("actual"),
+                                       L.reception_class("predicted").alias("predicted"))
+
+
+@query("confusion")
+def confusion_q(spark, sf):
+    return EV.confusion(_classes(spark, sf), "actual", "predicted")
+
+
+@query("precision_recall")
+def precision_recall_q(spark, sf):
+    return rounded(EV.precision_recall(EV.confusion(_classes(spark, sf), "actual", "predicted")))
+
+
+@query("spearman")
+def spearman_q(spark, sf):
+    return rounded(EV.spearman(_evalbase(spark, sf), "predicted", "actual"))
+
+
+# ---- splits ----------------------------------------------------------------
+
+from postcast.operators import splits as SP  # noqa: E402
+
+
+def _flag(c):
+    return F.col(c).cast("long").alias(c)
+
+
+@query("temporal_split")
+def temporal_split_q(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return SP.temporal_split(o, "o_orderdate", "1999-01-01").select("o_orderkey", _flag("is_validation"))
+
+
+@query("fallback_split")
+def fallback_split_q(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return SP.fallback_split(o, "o_orderdate", "o_orderkey", "1990-01-01").select(
+        "o_orderkey", _flag("is_validation"))
+
+
+@query("hash_split")
+def hash_split_q(spark, sf):
+    e = read_table(spark, sf, "events").select("event_id")
+    return SP.hash_split(e, "event_id").select("event_id", _flag("is_test"))
+
+
+@query("validation_tail")
+def validation_tail_q(spark, sf):
+    e = SP.validation_tail(SP.hash_split(read_table(spark, sf, "events").select("event_id"),
+                                         "event_id"), "event_id")
+    part = (F.when(F.col("is_test"), F.lit("test"))
+            .when(F.col("is_validation"), F.lit("validation")).otherwise(F.lit("train")))
+    return e.select("event_id", part.alias("part"))
+
+
+# ---- ranking ---------------------------------------------------------------
+
+from postcast.operators import ranking as R  # noqa: E402
+
+
+def _variants(spark, sf):
+    e = read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    return e.withColumn("label", L.reception_label("value"))
+
+
+@query("variant_rank")
+def variant_rank_q(spark, sf):
+    r = R.rank_variants(_variants(spark, sf), "user_id", "event_id", "value")
+    return rounded(r.select("user_id", "event_id", "value", "rank"))
+
+
+@query("variant_summary")
+def variant_summary_q(spark, sf):
+    r = R.rank_variants(_variants(spark, sf), "user_id", "event_id", "value")
+    ex = R.best_explanation(r, "user_id", "event_type", "value", "label")
+    sm = R.ranked_summary(r, "user_id", "event_type", "value", "label", top=10)
+    return ex.join(sm, "user_id")
+
+
+def _originals(v):
+    first = v.groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    return v.join(first, ["user_id", "event_id"], "left_semi")
+
+
+@query("suggestion_rank")
+def suggestion_rank_q(spark, sf):
+    v = _variants(spark, sf)
+    orig = _originals(v)
+    sugg = v.join(orig.select("event_id"), "event_id", "left_anti")
+    sugg = R.drop_seen(sugg, orig, ["user_id", "event_type"])
+    r = R.rank_with_original(orig, sugg, "user_id", "event_id", "value")
+    return rounded(r.select("user_id", "event_id", "value", "is_original", "rank"))
+
+
+@query("optimise_trace")
+def optimise_trace_q(spark, sf):
+    v = _variants(spark, sf)
+    orig = _originals(v)
+    o = orig.select(F.col("user_id").alias("pitch"), F.col("event_type").alias("title0"),
+                    F.col("value").alias("s0"))
+    sugg = (v.join(orig.select("event_id"), "event_id", "left_anti")
+            .select(F.col("user_id").alias("pitch"), (F.col("event_id") % 5 + 1).alias("rnd"),
+                    F.col("event_type").alias("title"), F.col("value").alias("score")))
+    t = R.optimise_trace(sugg, o)
+    return rounded(t.withColumnRenamed("pitch", "user_id"))
+
+
+@query("tried_titles")
+def tried_titles_q(spark, sf):
+    return R.tried_list(_variants(spark, sf), "user_id", "event_type")
+
+
+# ---- attribution reports ----------------------------------------------------
+
+from postcast.operators import explain as X  # noqa: E402
+
+EMB_NAMES = [f"emb_{i}" for i in range(64)]
+
+
+def _top(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    vals = F.transform("embedding", lambda v: v.cast("double"))
+    return e.select("vec_id", X.top_features(vals, EMB_NAMES, k=5).alias("top"))
+
+
+@query("attribution_topk")
+def attribution_topk_q(spark, sf):
+    t = _top(spark, sf).select("vec_id", F.posexplode("top").alias("pos", "f"))
+    return rounded(t.select("vec_id", (F.col("pos") + 1).cast("long").alias("position"),
+                            F.col("f.feature").alias("feature"),
+                            F.col("f.importance").alias("importance"),
+                            F.col("f.direction").alias("direction")))
+
+
+@query("attribution_text")
+def attribution_text_q(spark, sf):
+    return _top(spark, sf).select("vec_id", X.explanation_text(F.col("top")).alias("text"))
+
+
+# ---- response parsing (rows-only check) -------------------------------------
+
+from postcast.functions.parse import comment_items, suggestion_items  # noqa: E402
+
+
+def _responses(spark, sf, kind):
+    c = read_table(spark, sf, "conversations")
+    if kind == "comments":
+        item = F.struct(F.col("role").alias("username"), F.col("text").alias("comment"),
+                        F.lit("neutral").alias("tone"))
+        partial = F.struct(F.col("role").alias("username"))
+    else:
+        item = F.struct(F.col("text").alias("title"), F.col("role").alias("description"))
+        partial = F.struct(F.col("role").alias("description"))
+    js = F.concat(F.lit("["), F.to_json(item), F.lit(","), F.to_json(partial), F.lit("]"))
+    m = F.col("turn") % 4
+    text = (F.when(m == 0, js)
+            .when(m == 1, F.concat(F.lit("Here you go:\n```json\n"), js, F.lit("\n```\nEnjoy.")))
+            .when(m == 2, F.lit("not json"))
+            .otherwise(F.to_json(F.struct(F.col("text").alias("comment")))))
+    return c.select("conv_id", "turn", text.alias("response"))
+
+
+@query("parse_responses")
+def parse_responses_q(spark, sf):
+    r = _responses(spark, sf, "comments").select("conv_id", "turn",
+                                                 F.posexplode(comment_items(F.col("response"))))
+    return r.select("conv_id", "turn", F.col("pos").cast("long").alias("item"),
+                    F.col("col")["username"].alias("username"), F.col("col")["comment"].alias("comment"))
+
+
+@query("parse_suggestions")
+def parse_suggestions_q(spark, sf):
+    r = _responses(spark, sf, "suggestions").select("conv_id", "turn",
+                                                    F.posexplode(suggestion_items(F.col("response"))))
+    return r.select("conv_id", "turn", F.col("pos").cast("long").alias("item"),
+                    F.col("col")["title"].alias("title"), F.col("col")["description"].alias("description"))
