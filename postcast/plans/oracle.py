@@ -435,3 +435,7 @@ ORACLE_SQL["attribution_text"] = f"""WITH {_TOPK}
 SELECT vec_id, string_agg('  ' || CASE WHEN direction = 'up' THEN '↑' ELSE '↓' END || ' ' || feature || ' (' ||
   {fixed_sql('importance', 2, plus=True)} || ')', chr(10) ORDER BY position) AS text
 FROM topk GROUP BY vec_id"""
+
+ORACLE_SQL["multi_file_scan"] = """
+SELECT event_id, user_id, round(value, 6) AS value, strftime(ts, '%Y-%m-%d') AS day FROM events
+WHERE CAST(ts AS DATE) >= DATE '2024-01-10'"""

@@ -477,3 +477,113 @@ def parse_suggestions_q(spark, sf):
                                                     F.posexplode(suggestion_items(F.col("response"))))
     return r.select("conv_id", "turn", F.col("pos").cast("long").alias("item"),
                     F.col("col")["title"].alias("title"), F.col("col")["description"].alias("description"))
+
+
+# ---- sources written and read back (S2, S5, L3) -------------------------------
+
+import hashlib  # noqa: E402
+
+from postcast.session import scratch_path  # noqa: E402
+
+
+def _tag(sf: str) -> str:
+    return hashlib.md5(sf.encode()).hexdigest()[:8]
+
+
+@query("multi_file_scan")
+def multi_file_scan(spark, sf):
+    """Events written as a day-partitioned parquet table, read back with
+    a partition filter (partition pruning skips the earlier days' files)."""
+    path = scratch_path(spark, f"events_by_day_{_tag(sf)}")
+    e = read_table(spark, sf, "events")
+    (e.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+      .write.mode("overwrite").partitionBy("day").parquet(path))
+    r = spark.read.parquet(path).filter(F.col("day") >= F.lit("2024-01-10").cast("date"))
+    return rounded(r.select("event_id", "user_id", "value", F.col("day").cast("string").alias("day")))
+
+
+@query("random_sample")
+def random_sample_q(spark, sf):
+    e = read_table(spark, sf, "events").select("event_id", "user_id", "value")
+    return sampling.random_sample(e, 100)
+
+
+# ---- learning, scoring, retrieval jobs (rows-only checks) ---------------------
+
+from postcast.plans import jobs as JB  # noqa: E402
+from postcast.operators import models as MD  # noqa: E402
+from postcast.operators.embed import hashing_embedding  # noqa: E402
+
+GBT_SMALL = {"maxIter": 20}
+FOREST_SMALL = {"numTrees": 20}
+_TRAINED: dict = {}
+
+
+def _trained(spark, sf):
+    key = (id(spark), sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = JB.training_job(stories(spark, sf), cutoff=TRAIN_CUTOFF,
+                                        gbt=GBT_SMALL, forest=FOREST_SMALL)
+    return _TRAINED[key]
+
+
+@query("title_embedding")
+def title_embedding_q(spark, sf):
+    return hashing_embedding(live(spark, sf).select("id", "title"), "title")
+
+
+@query("train_score")
+def train_score_q(spark, sf):
+    return rounded(JB.validation_metrics(_trained(spark, sf)))
+
+
+@query("train_reception")
+def train_reception_q(spark, sf):
+    return rounded(JB.classifier_metrics(_trained(spark, sf)))
+
+
+@query("predict_batch")
+def predict_batch_q(spark, sf):
+    t = _trained(spark, sf)
+    p = MD.predict_count(t["score_model"], t["features"], "predicted_score")
+    p = MD.predict_count(t["comment_model"], p, "predicted_comments")
+    p = MD.predict_classes(t["classifier"], p)
+    return rounded(p.select("id", "predicted_score", "predicted_comments", "predicted_class",
+                            "expected_score"))
+
+
+@query("explain_batch")
+def explain_batch_q(spark, sf):
+    t = _trained(spark, sf)
+    val = t["features"].filter(F.col("is_validation"))
+    a = MD.path_attribution(t["score_model"], val, key="id", name=f"explain_{_tag(sf)}")
+    names = JB.feature_names(384)
+    top = a.select("id", F.posexplode(X.top_features(F.col("attribution"), names, 5)).alias("pos", "f"))
+    return rounded(top.select("id", (F.col("pos") + 1).cast("long").alias("position"),
+                              F.col("f.feature").alias("feature"),
+                              F.col("f.importance").alias("importance"),
+                              F.col("f.direction").alias("direction")))
+
+
+@query("backtest")
+def backtest_q(spark, sf):
+    t = _trained(spark, sf)
+    b = JB.backtest(t["features"], **FOREST_SMALL)
+    return rounded(b["summary"].join(b["spearman"].select("spearman"), how="inner"))
+
+
+@query("index_build")
+def index_build_q(spark, sf):
+    idx = JB.index_job(stories(spark, sf), comments(spark, sf), name=f"index_{_tag(sf)}")
+    return idx["stories"].select("id", "title", "domain", "post_type", "score", "descendants")
+
+
+@query("batch_score")
+def batch_score_q(spark, sf):
+    t = _trained(spark, sf)
+    idx = JB.index_job(stories(spark, sf), comments(spark, sf), name=f"index_{_tag(sf)}")
+    pitches = (live(spark, sf).filter(F.col("time") >= F.to_timestamp(F.lit(TRAIN_CUTOFF)))
+               .select(F.col("id").alias("pitch_id"), "title", "time"))
+    out = JB.batch_score(pitches, t, idx["stories"])
+    return out.withColumn("similar_ids", F.array_join(F.col("similar_ids").cast("array<string>"), ","))\
+              .withColumn("distribution", F.to_json("distribution"))
