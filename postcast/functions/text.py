@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postcast.constants import POST_TYPE_PREFIXES
 
@@ -75,7 +76,7 @@ def _strip_one(s):
     return "".join(p.parts).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_to_text_exact(s: pd.Series) -> pd.Series:
     """X1, exact form (all named and numeric entities), Arrow-batched."""
     return s.map(_strip_one)

@@ -7,7 +7,7 @@ an iterator pandas UDF, loaded once per Python worker and fed Arrow batches.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,7 +59,7 @@ def encoder_embedding(df: DataFrame, text_col: str = "title",
     key = id(make)
 
     @F.pandas_udf("array<float>")
-    def enc(batches):
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = _ENCODERS.get(key)
         if model is None:
             model = _ENCODERS[key] = make()
