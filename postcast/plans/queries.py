@@ -192,13 +192,10 @@ def reception(spark, sf):
 
 @query("reception_soft")
 def reception_soft(spark, sf):
-    e = _events(spark, sf)
-    probs = L.soft_probabilities("value")
+    e = L.with_reception(_events(spark, sf), "value")
     return rounded(e.select(
-        "event_id", *[p.alias(f"p_{n}") for p, n in zip(probs, LABELS)],
-        L.reception_label("value").alias("label"),
-        L.confidence("value").alias("confidence"),
-        L.soft_label("value").alias("soft_label")))
+        "event_id", *[F.element_at("probs", i + 1).alias(f"p_{n}") for i, n in enumerate(LABELS)],
+        "label", "confidence", "soft_label"))
 
 
 @query("expected_score")
