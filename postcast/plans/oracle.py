@@ -439,3 +439,37 @@ FROM topk GROUP BY vec_id"""
 ORACLE_SQL["multi_file_scan"] = """
 SELECT event_id, user_id, round(value, 6) AS value, strftime(ts, '%Y-%m-%d') AS day FROM events
 WHERE CAST(ts AS DATE) >= DATE '2024-01-10'"""
+
+ORACLE_SQL["index_build"] = with_ctes(f"""
+SELECT id, coalesce(title, '') AS title, domain,
+  coalesce({post_type_sql('title')}, 'regular') AS post_type, coalesce(score, 0) AS score,
+  CAST(coalesce(descendants, 0) AS BIGINT) AS descendants
+FROM clean""", "clean")
+
+
+def _parse_sql(item: str, partial: str, keys: list[str], required: list[str]) -> str:
+    js = f"'[' || CAST(to_json({item}) AS VARCHAR) || ',' || CAST(to_json({partial}) AS VARCHAR) || ']'"
+    text = (f"CASE turn % 4 WHEN 0 THEN {js} "
+            f"WHEN 1 THEN 'Here you go:' || chr(10) || '```json' || chr(10) || {js} || chr(10) || '```' || chr(10) || 'Enjoy.' "
+            f"WHEN 2 THEN 'not json' ELSE CAST(to_json({{'comment': text}}) AS VARCHAR) END")
+    fenced = "regexp_extract(response, '(?s)```(?:json)?\\s*(\\[.*?\\])\\s*```', 1)"
+    has = " AND ".join(f"json_exists(item, '$.{k}')" for k in required)
+    outs = ", ".join(f"json_extract_string(item, '$.{k}') AS {k}" for k in keys[:2])
+    return f"""
+WITH resp AS (SELECT conv_id, turn, {text} AS response FROM conversations),
+src0 AS (SELECT conv_id, turn,
+    CASE WHEN json_valid(response) THEN response END AS pj,
+    CASE WHEN NOT json_valid(response) AND json_valid({fenced}) THEN {fenced} END AS fj
+  FROM resp),
+src AS (SELECT conv_id, turn, CASE WHEN pj IS NOT NULL THEN CASE WHEN json_type(pj) = 'ARRAY' THEN pj END
+    ELSE CASE WHEN json_type(fj) = 'ARRAY' THEN fj END END AS arr FROM src0),
+items AS (SELECT conv_id, turn, i, json_extract(arr, '$[' || CAST(i AS VARCHAR) || ']') AS item
+  FROM (SELECT conv_id, turn, arr, unnest(range(CAST(json_array_length(arr) AS BIGINT))) AS i FROM src WHERE arr IS NOT NULL))
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS item, {outs}
+FROM items WHERE json_type(item) = 'OBJECT' AND {has}"""
+
+
+ORACLE_SQL["parse_responses"] = _parse_sql("{'username': role, 'comment': text, 'tone': 'neutral'}",
+                                           "{'username': role}", ["username", "comment"], ["username", "comment"])
+ORACLE_SQL["parse_suggestions"] = _parse_sql("{'title': text, 'description': role}",
+                                             "{'description': role}", ["title", "description"], ["title"])
