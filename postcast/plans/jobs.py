@@ -40,27 +40,44 @@ def feature_table(clean: DataFrame, domain_stats: DataFrame | None,
     return assemble(emb)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back (reused by several fits)."""
+def materialise(df: DataFrame, name: str, observation=None) -> DataFrame:
+    """Write once to the shared folder and read back (reused by several fits).
+    An ``Observation`` attached here is filled by the same write (no extra pass)."""
     path = scratch_path(df.sparkSession, name)
+    if observation is not None:
+        df = df.observe(observation, *split_count_exprs())
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def split_count_exprs() -> list:
+    """Rows per split side and per reception class of the training side."""
+    train = ~F.col("is_validation")
+    exprs = [F.count(F.lit(1)).alias("rows"),
+             F.sum(F.col("is_validation").cast("long")).alias("validation_rows")]
+    cls = L.reception_class("score")
+    for i, name in enumerate(L.LABELS):
+        exprs.append(F.sum(F.when(train & (cls == i), 1).otherwise(0)).alias(f"train_{name}"))
+    return exprs
+
+
 def split_features(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, name: str = "features"):
     """P1 (with the P2 fallback) -> domain statistics from the training side
     only -> feature table with the validation flag, materialised."""
+    from pyspark.sql import Observation
     clean = clean_stories(live_stories(items))
     flagged = SP.fallback_split(clean, "time", "id", cutoff)
     dstats = S.domain_stats(flagged.filter(~F.col("is_validation")))
     feats = feature_table(flagged, dstats, extra=["is_validation"])
-    return materialise(feats, name), dstats
+    obs = Observation("split_counts")
+    out = materialise(feats, name, obs)
+    return out, dstats, obs.get
 
 
 def training_job(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, out_dir: str | None = None,
                  gbt: dict | None = None, forest: dict | None = None) -> dict:
     """Split, three models, score CDF, time statistics, domain statistics."""
-    feats, dstats = split_features(items, cutoff)
+    feats, dstats, counts = split_features(items, cutoff)
     train = feats.filter(~F.col("is_validation"))
     score_model = M.fit_regressor(feats, "score", validation_col="is_validation", **(gbt or {}))
     comment_model = M.fit_regressor(feats, "descendants", validation_col="is_validation",
@@ -68,7 +85,7 @@ def training_job(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, out_dir: str |
     classifier = M.fit_classifier(train, "score", **(forest or {}))
     out = {"features": feats, "score_model": score_model, "comment_model": comment_model,
            "classifier": classifier, "score_cdf": S.score_cdf(train, "score"),
-           "time_stats": S.time_stats(train), "domain_stats": dstats}
+           "time_stats": S.time_stats(train), "domain_stats": dstats, "counts": counts}
     if out_dir:
         for k in ("score_model", "comment_model", "classifier"):
             M.save_model(out[k], os.path.join(out_dir, k))
@@ -78,10 +95,23 @@ def training_job(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, out_dir: str |
 
 
 def validation_metrics(trained: dict) -> DataFrame:
-    """A8 for the score model on the validation rows."""
+    """A8 for the score model on the validation rows, with the A15 counts
+    recorded while the feature table was written."""
     val = trained["features"].filter(F.col("is_validation"))
     pred = trained["score_model"].transform(val)
-    return EV.regression_error(pred, "score", trained["score_model"].getPredictionCol())
+    c = trained["counts"]
+    m = EV.regression_error(pred, "score", trained["score_model"].getPredictionCol())
+    return m.withColumns({k: F.lit(int(v or 0)).cast("long") for k, v in c.items()})
+
+
+def explain_classes(trained: dict, df: DataFrame, top: int = 5) -> DataFrame:
+    """M6 + A14 + W7 for the forest: per-class path attributions, ranked by
+    the mean |value| over classes, reported with the mean signed value."""
+    a = M.path_attribution(trained["classifier"], df, key="id", name="explain_classes",
+                           classifier=True)
+    mabs, msigned = X.mean_over_classes(F.col("attribution"))
+    names = feature_names(EMBEDDING_DIM)
+    return a.select("id", X.top_features(msigned, names, top, rank_by=mabs).alias("top"))
 
 
 def classifier_metrics(trained: dict) -> DataFrame:

@@ -559,7 +559,23 @@ def explain_batch_q(spark, sf):
     return rounded(top.select("id", (F.col("pos") + 1).cast("long").alias("position"),
                               F.col("f.feature").alias("feature"),
                               F.col("f.importance").alias("importance"),
-                              F.col("f.direction").alias("direction")))
+                              F.col("f.direction").alias("direction"),
+                              F.lit("log1p_score").alias("unit")))
+
+
+@query("explain_reception")
+def explain_reception_q(spark, sf):
+    t = _trained(spark, sf)
+    val = t["features"].filter(F.col("is_validation"))
+    top = JB.explain_classes(t, val).select("id", F.posexplode("top").alias("pos", "f"))
+    # forest attributions are in class-probability units; they sum to zero over
+    # the classes, so the class-mean signed value is ~0 while the ranking uses
+    # the class-mean absolute value
+    return rounded(top.select("id", (F.col("pos") + 1).cast("long").alias("position"),
+                              F.col("f.feature").alias("feature"),
+                              F.col("f.importance").alias("importance"),
+                              F.col("f.direction").alias("direction"),
+                              F.lit("class_probability").alias("unit")))
 
 
 @query("backtest")
