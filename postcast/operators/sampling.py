@@ -5,17 +5,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postcast.constants import SAMPLE_FLOOR_DATE, STRATA
-from postcast.sources.items import live_stories, per_group_limit, seeded_order
+from postcast.operators.topn import DIRECT_BELOW, seeded_take, top_n
+from postcast.sources.items import live_stories, per_group_limit, seeded_order  # noqa: F401
 
 
 def top_by_score(df: DataFrame, n: int) -> DataFrame:
-    """L1: TakeOrderedAndProject (per-partition top n, then merge)."""
-    return df.orderBy(F.col("score").desc(), F.col("id")).limit(n)
+    """L1: exact top n by score (desc), ties by id; threshold-first on large input."""
+    return top_n(df, n, "score", descending=True, tie=["id"])
 
 
-def seeded_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """N rows by the md5 order of id + seed; stable across engines."""
-    return df.orderBy(*seeded_order(id_col, seed)).limit(n)
+def seeded_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "id",
+                  direct_below: int = DIRECT_BELOW) -> DataFrame:
+    """N rows by the md5 order of id + seed (stable across engines and
+    retries); when the table has at most n rows, all of them."""
+    return seeded_take(df, id_col, seed, n, rank_col="_r", direct_below=direct_below).drop("_r")
 
 
 def random_sample(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
@@ -39,17 +42,17 @@ def score_stratum(score_col: str = "score"):
 
 
 def stratified_sample(items: DataFrame, total: int, seed: int = 42,
-                      floor_date: str = SAMPLE_FLOOR_DATE) -> DataFrame:
+                      floor_date: str = SAMPLE_FLOOR_DATE,
+                      direct_below: int = DIRECT_BELOW) -> DataFrame:
     """Per score stratum, quota max(1, int(total * share)) rows in the
     seeded md5 order; scores below 1 never appear; unused quota is not passed
-    on.  One scan and one window with WindowGroupLimit (the largest quota is a
-    literal bound) instead of four scans unioned."""
+    on.  One scan and one ranking instead of four scans unioned; on large
+    input a per-stratum hash cut keeps a checked superset first, so no
+    stratum sends all its rows to one task."""
     quotas = strata_quotas(total)
     df = (live_stories(items)
           .filter(F.col("time") >= F.to_timestamp(F.lit(floor_date)))
           .withColumn("stratum", score_stratum())
           .filter(F.col("stratum").isNotNull()))
-    ranked = per_group_limit(df, ["stratum"], seeded_order("id", seed), max(quotas),
-                             rank_col="stratum_rank")
-    quota = F.element_at(F.array(*[F.lit(q) for q in quotas]), F.col("stratum") + 1)
-    return ranked.filter(F.col("stratum_rank") <= quota)
+    return seeded_take(df, "id", seed, dict(enumerate(quotas)), group="stratum",
+                       rank_col="stratum_rank", direct_below=direct_below)

@@ -44,10 +44,14 @@ def story_scan(items: DataFrame, limit: int | None, min_score: int = 0,
         df = df.filter(F.col("score") >= min_score)
     if min_date is not None:
         df = df.filter(F.col("time") >= F.to_timestamp(F.lit(min_date)))
-    order = seeded_order("id", seed) if seed is not None else [F.col("score").desc(), F.col("id")]
     df = df.select(*(columns or [c for c in STORY_COLUMNS if c in items.columns]))
-    df = df.orderBy(*order)
-    return df.limit(limit) if limit is not None else df
+    if limit is None:
+        order = seeded_order("id", seed) if seed is not None else [F.col("score").desc(), F.col("id")]
+        return df.orderBy(*order)
+    from postcast.operators.topn import seeded_take, top_n
+    if seed is not None:
+        return (seeded_take(df, "id", seed, limit, rank_col="_r").orderBy("_r").drop("_r"))
+    return top_n(df, limit, "score", descending=True, tie=["id"])
 
 
 def comments_for_stories(comments: DataFrame, story_ids: DataFrame,

@@ -59,3 +59,22 @@ def test_stratified_quotas(spark):
                                      "dead int, deleted int")
     s = stratified_sample(df, 100).groupBy("stratum").count().collect()
     assert sorted((r["stratum"], r["count"]) for r in s) == [(0, 30), (1, 30), (2, 25), (3, 15)]
+
+
+def test_threshold_paths_equal_direct(spark):
+    """The threshold-first plans (forced with direct_below=0) give the exact
+    same rows as the direct sort, also with a hot stratum and ties."""
+    import datetime as dt
+    from postcast.operators.topn import seeded_take, top_n
+    rows = [(i, 1, f"t{i}", (0 if i % 3 else 7) + i % 9, dt.datetime(2024, 1, 1), 0, 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, type int, title string, score int, time timestamp, "
+                                     "dead int, deleted int")
+    a = stratified_sample(df, 300, direct_below=0).orderBy("id").collect()
+    b = stratified_sample(df, 300, direct_below=10 ** 9).orderBy("id").collect()
+    assert a == b and len(a) > 0
+    a = seeded_take(df, "id", 42, 250, direct_below=0).orderBy("sample_rank").collect()
+    b = seeded_take(df, "id", 42, 250, direct_below=10 ** 9).orderBy("sample_rank").collect()
+    assert a == b and len(a) == 250
+    a = [r["id"] for r in top_n(df, 77, "score", tie=["id"], direct_below=0).collect()]
+    b = [r["id"] for r in df.orderBy(F.col("score").desc(), "id").limit(77).collect()]
+    assert a == b
