@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 from postcast.constants import POST_TYPE_PREFIXES
 
 # fixed values: patterns and entity table of the native HTML-to-text form
-HIDDEN_MARKUP = r"(?is)<!--.*?-->|<!doctype[^>]*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+HIDDEN_MARKUP = r"(?is)<(?:!--.*?-->|!doctype[^>]*>|script\b.*?</script\s*>|style\b.*?</style\s*>)"
 BREAK_TAG = r"(?i)<(p|br)\b[^>]*>"
 ANY_TAG = r"<[^>]*>"
 EDGE_SPACE = r"^\s+|\s+$"
+EDGE_CHARS = " \t\n\r\f\u000b"  # the characters of \s, trimmed from both ends
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"),
             ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"),
             ("&amp;", "&")]  # &amp; last so that entities are decoded once
@@ -35,9 +36,11 @@ def html_to_text(c) -> Column:
     x = F.regexp_replace(x, HIDDEN_MARKUP, "")
     x = F.regexp_replace(x, BREAK_TAG, "\n")
     x = F.regexp_replace(x, ANY_TAG, "")
+    decoded = x
     for ent, ch in ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return F.regexp_replace(x, EDGE_SPACE, "")
+        decoded = F.replace(decoded, F.lit(ent), F.lit(ch))
+    x = F.when(x.contains("&"), decoded).otherwise(x)
+    return F.trim(x, F.lit(EDGE_CHARS))
 
 
 class _TextOnly(HTMLParser):

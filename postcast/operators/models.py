@@ -144,11 +144,11 @@ def _attribute(trees, x: np.ndarray, classes: int | None, scale: float):
             go_left = x[r, f] <= thr[nd]
             child = np.where(go_left, left[nd], right[nd])
             delta = w * (val[child] - val[nd])
+            # each row appears once per step, so plain fancy-index addition is exact
             if classes is None:
-                np.add.at(contrib, (r, f), delta)
+                contrib[r, f] += delta
             else:
-                for c in range(classes):
-                    np.add.at(contrib[:, c, :], (r, f), delta[:, c])
+                contrib[r, :, f] += delta
             node[active] = child
             active = left[node] >= 0
     return contrib, base

@@ -50,15 +50,15 @@ ORDER = ["stories", "comments", "live", "clean", "tstats", "evalbase", "hits", "
 
 def html_sql(c: str) -> str:
     x = f"coalesce({c}, '')"
-    x = (f"regexp_replace({x}, '(?is)<!--.*?-->|<!doctype[^>]*>|<script\\b.*?</script\\s*>"
-         f"|<style\\b.*?</style\\s*>', '', 'g')")
+    x = (f"regexp_replace({x}, '(?is)<(?:!--.*?-->|!doctype[^>]*>|script\\b.*?</script\\s*>"
+         f"|style\\b.*?</style\\s*>)', '', 'g')")
     x = f"regexp_replace({x}, '(?i)<(p|br)\\b[^>]*>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
     for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"),
                     ("&#39;", "''"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"),
                     ("&amp;", "&")]:
         x = f"replace({x}, '{ent}', '{ch}')"
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
 
 
 def domain_sql(c: str) -> str:
