@@ -87,9 +87,15 @@ def load_model(kind: str, path: str):
 
 # ---- M6: tree-path attribution ------------------------------------------
 
+_NODE_TABLES: dict = {}
+
+
 def node_table(model, spark, name: str) -> tuple[pd.DataFrame, np.ndarray]:
-    """All nodes of a tree ensemble (model-sized) plus the tree weights."""
-    path = scratch_path(spark, f"models/{name}")
+    """All nodes of a tree ensemble (model-sized) plus the tree weights; read
+    once per trained model (by uid) from the saved model's node data."""
+    if model.uid in _NODE_TABLES:
+        return _NODE_TABLES[model.uid]
+    path = scratch_path(spark, f"models/{name}_{model.uid}")
     model.write().overwrite().save(path)
     nodes = (spark.read.parquet(os.path.join(path, "data"))
              .select("treeID", "nodeData.id", "nodeData.prediction", "nodeData.impurityStats",
@@ -97,7 +103,8 @@ def node_table(model, spark, name: str) -> tuple[pd.DataFrame, np.ndarray]:
                      F.col("nodeData.split.featureIndex").alias("feature"),
                      F.try_element_at(F.col("nodeData.split.leftCategoriesOrThreshold"), F.lit(1)).alias("threshold"))
              .toPandas())
-    return nodes, np.asarray(model.treeWeights, dtype=np.float64)
+    _NODE_TABLES[model.uid] = (nodes, np.asarray(model.treeWeights, dtype=np.float64))
+    return _NODE_TABLES[model.uid]
 
 
 def _pack(nodes: pd.DataFrame, weights: np.ndarray, classes: int | None):
@@ -155,12 +162,15 @@ def _attribute(trees, x: np.ndarray, classes: int | None, scale: float):
 
 
 def path_attribution(model, df: DataFrame, features: str = "features", key: str = "id",
-                     name: str = "explain", classifier: bool = False) -> DataFrame:
+                     name: str = "explain", classifier: bool = False,
+                     reduce_classes: bool = False) -> DataFrame:
     """Per-row attribution of a tree ensemble: along each row's decision path,
     the change of the node value is credited to the split feature.  Additive:
     sum(attribution) + base = raw prediction (log-score for the regressor,
     class probability for the forest).  Runs in mapInPandas over Arrow batches
-    with the node table broadcast."""
+    with the node table broadcast.  ``reduce_classes`` (forest) returns the
+    class means of |value| and value (A14) computed in the same task, instead
+    of the per-class matrix."""
     from pyspark.ml.functions import vector_to_array
     spark = df.sparkSession
     nodes, weights = node_table(model, spark, name)
@@ -170,7 +180,9 @@ def path_attribution(model, df: DataFrame, features: str = "features", key: str
     scale = 1.0 / len(weights) if classifier else 1.0
     bc = spark.sparkContext.broadcast(_pack(nodes, weights, classes))
     src = df.select(F.col(key).alias("_k"), vector_to_array(F.col(features)).alias("_x"))
-    if classifier:
+    if classifier and reduce_classes:
+        schema = "_k long, mean_abs array<double>, mean_signed array<double>"
+    elif classifier:
         schema = "_k long, attribution array<array<double>>, base array<double>"
     else:
         schema = "_k long, attribution array<double>, base double"
@@ -185,6 +197,10 @@ def path_attribution(model, df: DataFrame, features: str = "features", key: str
             if classes is None:
                 yield pd.DataFrame({"_k": pdf["_k"].astype("int64"), "attribution": list(contrib),
                                     "base": float(base)})
+            elif reduce_classes:
+                yield pd.DataFrame({"_k": pdf["_k"].astype("int64"),
+                                    "mean_abs": list(np.abs(contrib).mean(axis=1)),
+                                    "mean_signed": list(contrib.mean(axis=1))})
             else:
                 yield pd.DataFrame({"_k": pdf["_k"].astype("int64"),
                                     "attribution": [list(m) for m in contrib],

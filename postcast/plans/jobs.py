@@ -46,7 +46,11 @@ def materialise(df: DataFrame, name: str, observation=None) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     if observation is not None:
         df = df.observe(observation, *split_count_exprs())
-    df.write.mode("overwrite").parquet(path)
+    # hash-partitioned by id: every later fit scans balanced files (a small
+    # upstream may have been coalesced to one partition) and joins back by id
+    # find their side already clustered
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, "id").write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -68,7 +72,9 @@ def split_features(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, name: str =
     clean = clean_stories(live_stories(items))
     flagged = SP.fallback_split(clean, "time", "id", cutoff)
     dstats = S.domain_stats(flagged.filter(~F.col("is_validation")))
-    feats = feature_table(flagged, dstats, extra=["is_validation"])
+    # the embedding is inside the assembled vector; storing it twice would
+    # double the table the fits scan
+    feats = feature_table(flagged, dstats, extra=["is_validation"]).drop("embedding")
     obs = Observation("split_counts")
     out = materialise(feats, name, obs)
     return out, dstats, obs.get
@@ -108,10 +114,10 @@ def explain_classes(trained: dict, df: DataFrame, top: int = 5) -> DataFrame:
     """M6 + A14 + W7 for the forest: per-class path attributions, ranked by
     the mean |value| over classes, reported with the mean signed value."""
     a = M.path_attribution(trained["classifier"], df, key="id", name="explain_classes",
-                           classifier=True)
-    mabs, msigned = X.mean_over_classes(F.col("attribution"))
+                           classifier=True, reduce_classes=True)
     names = feature_names(EMBEDDING_DIM)
-    return a.select("id", X.top_features(msigned, names, top, rank_by=mabs).alias("top"))
+    return a.select("id", X.top_features(F.col("mean_signed"), names, top,
+                                         rank_by=F.col("mean_abs")).alias("top"))
 
 
 def classifier_metrics(trained: dict) -> DataFrame:

@@ -585,16 +585,25 @@ def backtest_q(spark, sf):
     return rounded(b["summary"].join(b["spearman"].select("spearman"), how="inner"))
 
 
+_INDEXES: dict = {}
+
+
+def _index(spark, sf):
+    key = (id(spark), sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = JB.index_job(stories(spark, sf), comments(spark, sf), name=f"index_{_tag(sf)}")
+    return _INDEXES[key]
+
+
 @query("index_build")
 def index_build_q(spark, sf):
-    idx = JB.index_job(stories(spark, sf), comments(spark, sf), name=f"index_{_tag(sf)}")
-    return idx["stories"].select("id", "title", "domain", "post_type", "score", "descendants")
+    return _index(spark, sf)["stories"].select("id", "title", "domain", "post_type", "score", "descendants")
 
 
 @query("batch_score")
 def batch_score_q(spark, sf):
     t = _trained(spark, sf)
-    idx = JB.index_job(stories(spark, sf), comments(spark, sf), name=f"index_{_tag(sf)}")
+    idx = _index(spark, sf)
     pitches = (live(spark, sf).filter(F.col("time") >= F.to_timestamp(F.lit(TRAIN_CUTOFF)))
                .select(F.col("id").alias("pitch_id"), "title", "time"))
     out = JB.batch_score(pitches, t, idx["stories"])

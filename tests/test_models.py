@@ -62,3 +62,15 @@ def test_embeddings(spark):
     assert abs(sum(v * v for v in h[1]) - 1.0) < 1e-5
     e = {r["id"]: r["embedding"] for r in encoder_embedding(df).collect()}
     assert len(e[1]) == 384 and e[1] == e[2] and abs(sum(v * v for v in e[3]) - 1.0) < 1e-5
+
+
+def test_reduced_class_attribution(spark):
+    df = regression_data(spark, n=200, d=6).withColumn("score", F.col("score") * 20)
+    model = M.fit_classifier(df, "score", numTrees=4, maxDepth=3)
+    full = M.path_attribution(model, df, key="id", name="t_full", classifier=True).toPandas()
+    red = M.path_attribution(model, df, key="id", name="t_red", classifier=True,
+                             reduce_classes=True).toPandas()
+    j = full.merge(red, on="id")
+    for a, ma, ms in zip(j["attribution"], j["mean_abs"], j["mean_signed"]):
+        m = np.stack(list(a))
+        assert np.allclose(np.abs(m).mean(axis=0), ma) and np.allclose(m.mean(axis=0), ms)
