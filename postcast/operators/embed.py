@@ -55,6 +55,8 @@ def encoder_embedding(df: DataFrame, text_col: str = "title",
     """Pluggable encoder as an iterator pandas UDF: the model is created once
     per worker process (``factory`` is called lazily), texts are encoded in
     batches of ``batch_size``."""
+    from postcast.session import ship_package
+    ship_package(df.sparkSession)
     make = factory or seeded_encoder
     key = id(make)
 

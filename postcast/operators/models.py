@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from postcast.constants import N_CLASSES
 from postcast.functions.labels import argmax, expected_score, from_log, log_target, reception_class
 from postcast.operators.stats import with_class_weight
-from postcast.session import scratch_path
+from postcast.session import scratch_path, ship_package
 
 # boosting defaults (learning rate, row and feature fraction, depth ~ 63 leaves,
 # rounds); depth-wise trees, so values differ from a leaf-wise learner
@@ -173,6 +173,7 @@ def path_attribution(model, df: DataFrame, features: str = "features", key: str
     of the per-class matrix."""
     from pyspark.ml.functions import vector_to_array
     spark = df.sparkSession
+    ship_package(spark)
     nodes, weights = node_table(model, spark, name)
     classes = N_CLASSES if classifier else None
     if classifier:

@@ -36,6 +36,7 @@ def get_spark(master: str | None = None, app: str = "postcast",
     spark.sparkContext.setLogLevel("ERROR")
     for k in ("spark.sql.session.timeZone",):
         spark.conf.set(k, conf[k])
+    ship_package(spark)
     return spark
 
 
@@ -59,3 +60,28 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     base = shared_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``postcast`` importable in the Python workers (pandas UDFs,
+    mapInPandas), as ``--py-files`` would: the package is zipped once per
+    SparkContext on the driver and distributed by Spark's file server."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="postcast-pyfiles-"), "postcast.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
