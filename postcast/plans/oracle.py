@@ -12,11 +12,12 @@ CTES = {
    p.url AS url, p.html AS text, CAST(floor(e.value) AS INT) AS score,
    CAST(CASE WHEN n.n IS NULL THEN 0 ELSE n.n END AS BIGINT) AS descendants,
    concat('u', CAST(e.user_id AS VARCHAR)) AS author, e.ts AS time,
-   CASE WHEN d.doc_id % 17 = 0 THEN 1 ELSE 0 END AS dead,
-   CASE WHEN d.doc_id % 19 = 0 THEN 1 ELSE 0 END AS deleted
+   CASE WHEN lb.toxic = 1 THEN 1 ELSE 0 END AS dead,
+   CASE WHEN lb.quality = 0 THEN 1 ELSE 0 END AS deleted
  FROM documents d JOIN events e ON e.event_id = d.doc_id
  LEFT JOIN pages p ON p.page_id = d.doc_id
- LEFT JOIN (SELECT conv_id, count(*) n FROM conversations GROUP BY conv_id) n ON n.conv_id = d.doc_id)""",
+ LEFT JOIN (SELECT conv_id, count(*) n FROM conversations GROUP BY conv_id) n ON n.conv_id = d.doc_id
+ LEFT JOIN labels lb ON lb.doc_id = d.doc_id)""",
     "comments": """comments AS (SELECT conv_id*1000+turn AS id, conv_id AS parent, text,
    role AS author, 2 AS type FROM conversations)""",
     "live": """live AS (SELECT * FROM stories WHERE type = 1 AND dead = 0 AND deleted = 0

@@ -6,10 +6,11 @@ DuckDB oracle, see ``postcast.plans.oracle``):
 
 * a story per document that has an event: the event gives score, author and
   time, the page with the same id gives url and HTML text, the conversation
-  with the same id gives the comment count;
+  with the same id gives the comment count, and the document's labels give
+  the moderation flags (toxic -> dead, low quality -> deleted);
 * a comment per conversation turn, its parent being the conversation id.
 
-All four joins are on the same key, so after the first shuffle the later
+All five joins are on the same key, so after the first shuffle the later
 joins reuse its hash partitioning (no re-shuffle of the joined side).
 """
 from __future__ import annotations
@@ -30,6 +31,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     n = (read_table(spark, sf_dir, "conversations")
          .groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns")))
+    lb = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_doc"), "toxic", "quality")
 
     k = F.col("doc_id") % 10
     prefix = F.lit("")
@@ -41,7 +43,8 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     j = (d.join(e, d.doc_id == e.event_id, "inner")
           .join(p, d.doc_id == p.page_id, "left")
-          .join(n, d.doc_id == n.conv_id, "left"))
+          .join(n, d.doc_id == n.conv_id, "left")
+          .join(lb, d.doc_id == lb.l_doc, "left"))
     return j.select(
         F.col("doc_id").alias("id"),
         F.lit(1).cast("tinyint").alias("type"),
@@ -52,8 +55,8 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("n_turns"), F.lit(0)).cast("long").alias("descendants"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("author"),
         F.col("ts").alias("time"),
-        F.when(F.col("doc_id") % 17 == 0, 1).otherwise(0).alias("dead"),
-        F.when(F.col("doc_id") % 19 == 0, 1).otherwise(0).alias("deleted"),
+        F.when(F.col("toxic") == 1, 1).otherwise(0).alias("dead"),
+        F.when(F.col("quality") == 0, 1).otherwise(0).alias("deleted"),
     )
 
 
