@@ -4,6 +4,7 @@ an Arrow-batched pandas UDF around the standard-library HTML tokenizer."""
 from __future__ import annotations
 
 import html
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -16,6 +17,7 @@ from postcast.constants import POST_TYPE_PREFIXES
 # fixed values: patterns and entity table of the native HTML-to-text form
 HIDDEN_MARKUP = r"(?is)<(?:!--.*?-->|!doctype[^>]*>|script\b.*?</script\s*>|style\b.*?</style\s*>)"
 BREAK_TAG = r"(?i)<(p|br)\b[^>]*>"
+BARE_AMP = r"&amp([^A-Za-z0-9;])"  # '&amp' without ';' before a non-name character
 ANY_TAG = r"<[^>]*>"
 EDGE_SPACE = r"^\s+|\s+$"
 EDGE_CHARS = " \t\n\r\f\u000b"  # the characters of \s, trimmed from both ends
@@ -31,9 +33,11 @@ def _c(c) -> Column:
 
 def html_to_text(c) -> Column:
     """X1, native form: newline before each p/br tag, tags dropped, entities
-    decoded once, ends stripped, inner newlines kept; null/empty -> ''."""
+    decoded once (also a bare '&amp' before a non-name character, as an HTML
+    tokenizer reads it), ends stripped, inner newlines kept; null/empty -> ''."""
     x = F.coalesce(_c(c), F.lit(""))
     x = F.regexp_replace(x, HIDDEN_MARKUP, "")
+    x = F.regexp_replace(x, BARE_AMP, "&$1")
     x = F.regexp_replace(x, BREAK_TAG, "\n")
     x = F.regexp_replace(x, ANY_TAG, "")
     decoded = x
@@ -44,10 +48,14 @@ def html_to_text(c) -> Column:
 
 
 class _TextOnly(HTMLParser):
-    """Collects text nodes; newline before p/br; script/style/comments dropped."""
+    """Collects text nodes; newline before p/br; script/style/comments dropped.
+    Entities are resolved as a tree builder on top of this tokenizer does it:
+    a name is read up to the next non-alphanumeric character and replaced only
+    when it is a known (HTML 4) entity, otherwise kept as written; numeric
+    references become their character."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.parts: list[str] = []
         self._hidden = 0
 
@@ -69,6 +77,17 @@ class _TextOnly(HTMLParser):
         if not self._hidden:
             self.parts.append(data)
 
+    def handle_entityref(self, name):
+        cp = name2codepoint.get(name)
+        self.handle_data(chr(cp) if cp is not None else f"&{name}")
+
+    def handle_charref(self, name):
+        try:
+            cp = int(name[1:], 16) if name[:1] in ("x", "X") else int(name)
+            self.handle_data(chr(cp))
+        except (ValueError, OverflowError):
+            self.handle_data(f"&#{name};")
+
 
 def _strip_one(s):
     if not s:

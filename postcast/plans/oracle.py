@@ -53,6 +53,7 @@ def html_sql(c: str) -> str:
     x = f"coalesce({c}, '')"
     x = (f"regexp_replace({x}, '(?is)<(?:!--.*?-->|!doctype[^>]*>|script\\b.*?</script\\s*>"
          f"|style\\b.*?</style\\s*>)', '', 'g')")
+    x = f"regexp_replace({x}, '&amp([^A-Za-z0-9;])', '&\\1', 'g')"
     x = f"regexp_replace({x}, '(?i)<(p|br)\\b[^>]*>', chr(10), 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
     for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"),
