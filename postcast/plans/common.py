@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postcast.operators.clean import clean_comments, clean_stories
-from postcast.sources.bindings import comments, stories
+from postcast.sources.bindings import comments, stories_table
 from postcast.sources.items import live_stories
 from postcast.sources.tables import read_table
 
@@ -22,6 +22,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
+def stories(spark, sf) -> DataFrame:
+    """The derived story table (materialised once per session)."""
+    return stories_table(spark, sf)
+
+
 def live(spark, sf) -> DataFrame:
     return live_stories(stories(spark, sf))
 

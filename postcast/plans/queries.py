@@ -11,8 +11,8 @@ from postcast.functions.text import html_to_text, title_features, url_domain, ur
 from postcast.functions.time import time_features
 from postcast.operators import sampling, stats
 from postcast.operators.features import structural_features
-from postcast.plans.common import clean_live, live, rounded, time_text
-from postcast.sources.bindings import comments, stories
+from postcast.plans.common import clean_live, live, rounded, stories, time_text
+from postcast.sources.bindings import comments
 from postcast.sources.items import comments_for_stories, story_scan
 from postcast.sources.tables import read_table
 from postcast.operators.clean import clean_comments

@@ -69,3 +69,23 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").alias("author"),
         F.lit(2).alias("type"),
     )
+
+
+_WRITTEN: dict = {}
+
+
+def stories_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The story binding written once per session to the shared folder and
+    read back: every later query scans one table instead of re-running the
+    five-way join, and a lost executor recomputes from that table, not from
+    the raw inputs."""
+    import hashlib
+
+    from postcast.session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _WRITTEN.get(key)
+    if path is None:
+        path = scratch_path(spark, f"stories_{hashlib.md5(sf_dir.encode()).hexdigest()[:10]}")
+        stories(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
