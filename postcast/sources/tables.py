@@ -17,3 +17,13 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Plain parquet scan; projections and filters applied later reach the scan."""
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def read_files(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
+    """One scan over an explicit list of files or globs (e.g. the month
+    files of chosen years), with a declared schema so no file is opened for
+    inference.  For a directory laid out as ``.../year=YYYY/month=MM/``, read
+    the base path instead and filter on ``year``: partition pruning then
+    skips the other directories without listing them in code."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(*paths)

@@ -78,3 +78,11 @@ def test_threshold_paths_equal_direct(spark):
     a = [r["id"] for r in top_n(df, 77, "score", tie=["id"], direct_below=0).collect()]
     b = [r["id"] for r in df.orderBy(F.col("score").desc(), "id").limit(77).collect()]
     assert a == b
+
+
+def test_read_files_explicit_list(spark):
+    from postcast.sources.tables import read_files, table_path
+    sf = "/root/testdata/sf0.001"
+    one = spark.read.parquet(table_path(sf, "events")).count()
+    both = read_files(spark, [table_path(sf, "events"), table_path(sf, "events")]).count()
+    assert both == 2 * one
