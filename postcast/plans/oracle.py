@@ -475,3 +475,8 @@ ORACLE_SQL["parse_responses"] = _parse_sql("{'username': role, 'comment': text,
                                            "{'username': role}", ["username", "comment"], ["username", "comment"])
 ORACLE_SQL["parse_suggestions"] = _parse_sql("{'title': text, 'description': role}",
                                              "{'description': role}", ["title", "description"], ["title"])
+
+ORACLE_SQL["stream_domain_stats"] = with_ctes("""
+SELECT domain, count(score) AS post_count,
+  round((coalesce(sum(score), 0) + 10 * 47.57) / (count(score) + 10), 6) AS avg_score
+FROM clean WHERE domain <> '' GROUP BY domain""", "clean")

@@ -609,3 +609,25 @@ def batch_score_q(spark, sf):
     out = JB.batch_score(pitches, t, idx["stories"])
     return out.withColumn("similar_ids", F.array_join(F.col("similar_ids").cast("array<string>"), ","))\
               .withColumn("distribution", F.to_json("distribution"))
+
+
+# ---- streaming build (Structured Streaming, run to completion) ----------------
+
+import uuid  # noqa: E402
+
+from postcast.streaming import index_stream as ST  # noqa: E402
+
+
+@query("stream_domain_stats")
+def stream_domain_stats_q(spark, sf):
+    """Items derived from the driver tables land as files; the streaming index
+    build processes them (availableNow) and its running (n, sum) state gives the
+    smoothed domain table, equal to the batch statistics with the fixed prior."""
+    run = scratch_path(spark, f"stream_{_tag(sf)}_{uuid.uuid4().hex[:8]}")
+    items = ST.as_items(stories(spark, sf), comments(spark, sf).withColumn("dead", F.lit(0))
+                        .withColumn("deleted", F.lit(0)))
+    items.filter("type = 1").write.parquet(f"{run}/landing/stories")
+    items.filter("type = 2").write.parquet(f"{run}/landing/comments")
+    for q in ST.start_index_stream(spark, f"{run}/landing/*", f"{run}/out", name=run.rsplit("/", 1)[-1]):
+        q.awaitTermination()
+    return rounded(ST.smoothed_domains(spark, f"{run}/out"))

@@ -81,8 +81,9 @@ def smoothed_domains(spark: SparkSession, out_dir: str, k: int = SMOOTHING_K,
                      prior: float = SMOOTHING_PRIOR) -> DataFrame:
     """A1 from the streamed (n, sum) table."""
     c = spark.read.parquet(os.path.join(out_dir, "domain_counts"))
-    return c.select("domain", F.col("n").alias("post_count"),
-                    ((F.col("total") + F.lit(k * prior)) / (F.col("n") + F.lit(k))).alias("avg_score"))
+    return c.select("domain", F.col("n").cast("long").alias("post_count"),
+                    ((F.coalesce(F.col("total"), F.lit(0.0)) + F.lit(k * prior))
+                     / (F.col("n") + F.lit(k))).alias("avg_score"))
 
 
 def time_means(spark: SparkSession, out_dir: str) -> DataFrame:
@@ -93,3 +94,11 @@ def time_means(spark: SparkSession, out_dir: str) -> DataFrame:
         F.grouping("hour").alias("_gh"))
     return g.select(F.when(F.col("_gh") == 0, "hour").otherwise("day").alias("grain"),
                     F.coalesce("hour", "dow").alias("key"), "avg_score", "n")
+
+
+def as_items(stories: DataFrame, comments: DataFrame) -> DataFrame:
+    """Stories and comments in the one item schema the landing folder holds."""
+    both = stories.unionByName(comments, allowMissingColumns=True)
+    cols = [(F.col(f.name) if f.name in both.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in ITEM.fields]
+    return both.select(*cols)

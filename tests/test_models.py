@@ -74,3 +74,33 @@ def test_reduced_class_attribution(spark):
     for a, ma, ms in zip(j["attribution"], j["mean_abs"], j["mean_signed"]):
         m = np.stack(list(a))
         assert np.allclose(np.abs(m).mean(axis=0), ma) and np.allclose(m.mean(axis=0), ms)
+
+
+def test_model_save_load_and_missing(spark):
+    import pytest
+    from postcast.session import scratch_path
+    df = regression_data(spark, n=120, d=4)
+    m = M.fit_regressor(df, "score", maxIter=3, maxDepth=2)
+    path = scratch_path(spark, "test_saved_gbt")
+    M.save_model(m, path)
+    back = M.load_model("regressor", path)
+    a = m.transform(df).select("prediction").collect()
+    b = back.transform(df).select("prediction").collect()
+    assert a == b
+    with pytest.raises(FileNotFoundError):
+        M.load_model("regressor", scratch_path(spark, "no_such_model"))
+
+
+def test_fill_invalid_and_assemble(spark):
+    from postcast.operators.features import assemble, feature_names, fill_invalid
+    from postcast.schema import STRUCTURAL_FEATURES
+    vals = {c: 1.0 for c in STRUCTURAL_FEATURES}
+    vals.update(title_length=None, text_length=float("nan"))
+    ddl = "id long, " + ", ".join(f"{c} double" for c in STRUCTURAL_FEATURES) + ", embedding array<float>"
+    df = spark.createDataFrame([tuple([1] + [vals[c] for c in STRUCTURAL_FEATURES] + [[0.5, 0.5]])], ddl)
+    f = fill_invalid(df, STRUCTURAL_FEATURES).first()
+    assert f["title_length"] == 0.0 and f["text_length"] == 0.0
+    v = assemble(df).first()["features"]
+    assert len(v) == 17 and not np.isnan(v.toArray()).any()
+    assert feature_names(384)[0] == "title_length" and feature_names(384)[-1] == "emb_383"
+    assert len(feature_names(384)) == 399
