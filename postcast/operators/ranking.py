@@ -11,12 +11,14 @@ from postcast.sources.items import per_group_limit
 
 
 def rank_variants(df: DataFrame, pitch: str, idx: str, score: str,
-                  extra_order: list | None = None, out: str = "rank") -> DataFrame:
+                  extra_order: list | None = None, out: str = "rank",
+                  max_group_rows: int | None = None) -> DataFrame:
     """Rank per pitch by predicted score descending, ties in input order
     (variant index).  Exact and skew-safe: a pitch with a third of all rows is
-    spread over many tasks (see ``running.running_total``)."""
+    spread over many tasks (see ``running.row_number``)."""
     order = [F.col(score).desc()] + (extra_order or []) + [F.col(idx)]
-    return row_number(df, [pitch], order, out=out)
+    kw = {} if max_group_rows is None else {"max_group_rows": max_group_rows}
+    return row_number(df, [pitch], order, out=out, **kw)
 
 
 def drop_seen(suggestions: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:

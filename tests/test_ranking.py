@@ -113,3 +113,18 @@ def test_attribution_topk(spark):
     mabs, msigned = mean_over_classes(F.col("a"))
     r = pc.select(mabs.alias("m"), msigned.alias("s")).first()
     assert r["m"] == [2.0, 2.0] and r["s"] == [2.0, 0.0]
+
+
+def test_rank_variants_window_and_skew_paths_agree(spark):
+    rng = np.random.default_rng(11)
+    n = 2000
+    pitch = np.where(np.arange(n) < n // 3, 0, rng.integers(1, 40, n))  # one hot pitch
+    pdf = pd.DataFrame({"pitch": pitch, "idx": np.arange(n), "score": rng.integers(0, 50, n).astype(float)})
+    df = spark.createDataFrame(pdf)
+    a = R.rank_variants(df, "pitch", "idx", "score").toPandas()
+    b = R.rank_variants(df, "pitch", "idx", "score", max_group_rows=0).toPandas()
+    m = a.merge(b, on="idx", suffixes=("_w", "_s"))
+    assert len(m) == n and (m["rank_w"] == m["rank_s"]).all()
+    exp = pdf.sort_values(["pitch", "score", "idx"], ascending=[True, False, True])
+    exp["rank"] = exp.groupby("pitch").cumcount() + 1
+    assert (a.set_index("idx")["rank"].sort_index() == exp.set_index("idx")["rank"].sort_index()).all()
