@@ -169,7 +169,10 @@ def batch_score(pitches: DataFrame, trained: dict, story_index: DataFrame,
     })
     hist = trained["features"].filter(~F.col("is_validation")).select("score")
     pct = S.percentile_of(scored.select("id", "predicted_score"), hist, "id", "predicted_score")
-    hits = K.knn(story_index, scored.select(F.col("id").alias("query_id"), "embedding"), k=k)
+    # pitches share the id space of the index: a pitch never counts as its own
+    # neighbour (a new title is not in the index either)
+    hits = K.knn(story_index, scored.select(F.col("id").alias("query_id"), "embedding"), k=k,
+                 exclude_self=True)
     similar = hits.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "neighbour_id"))).alias("_h"))
     attr = M.path_attribution(trained["score_model"], scored, key="id", name="batch_score")
