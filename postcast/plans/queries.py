@@ -2,20 +2,35 @@
 the whole driver tables.  Keys and output columns match ``oracle.ORACLE_SQL``."""
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postcast.constants import LABELS
 from postcast.functions import labels as L
-from postcast.functions.text import html_to_text, title_features, url_domain, url_text_features, post_type
+from postcast.functions.parse import comment_items, suggestion_items
+from postcast.functions.text import html_to_text, post_type, title_features, url_domain, url_text_features
 from postcast.functions.time import time_features
+from postcast.operators import evaluate as EV
+from postcast.operators import explain as X
+from postcast.operators import knn as K
+from postcast.operators import models as MD
+from postcast.operators import ranking as R
 from postcast.operators import sampling, stats
+from postcast.operators import splits as SP
+from postcast.operators.clean import clean_comments
+from postcast.operators.embed import hashing_embedding
 from postcast.operators.features import structural_features
+from postcast.operators.prompts import prompt_table
+from postcast.plans import jobs as JB
 from postcast.plans.common import clean_live, live, rounded, stories, time_text
+from postcast.session import scratch_path
 from postcast.sources.bindings import comments
 from postcast.sources.items import comments_for_stories, story_scan
 from postcast.sources.tables import read_table
-from postcast.operators.clean import clean_comments
+from postcast.streaming import index_stream as ST
 
 REGISTRY: dict = {}
 
@@ -214,9 +229,6 @@ def reception_described(spark, sf):
 
 # ---- nearest neighbours, context, prompts ------------------------------------
 
-from postcast.operators import knn as K  # noqa: E402
-from postcast.operators.prompts import prompt_table  # noqa: E402
-
 
 def _knn_hits(spark, sf):
     emb = read_table(spark, sf, "embeddings")
@@ -263,8 +275,6 @@ def prompt_table_q(spark, sf):
 
 # ---- evaluation --------------------------------------------------------------
 
-from postcast.operators import evaluate as EV  # noqa: E402
-
 
 def _evalbase(spark, sf):
     lb = read_table(spark, sf, "labels").select("doc_id")
@@ -318,8 +328,6 @@ def spearman_q(spark, sf):
 
 # ---- splits ----------------------------------------------------------------
 
-from postcast.operators import splits as SP  # noqa: E402
-
 
 def _flag(c):
     return F.col(c).cast("long").alias(c)
@@ -355,8 +363,6 @@ def validation_tail_q(spark, sf):
 
 # ---- ranking ---------------------------------------------------------------
 
-from postcast.operators import ranking as R  # noqa: E402
-
 
 def _variants(spark, sf):
     e = read_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
@@ -412,7 +418,6 @@ def tried_titles_q(spark, sf):
 
 # ---- attribution reports ----------------------------------------------------
 
-from postcast.operators import explain as X  # noqa: E402
 
 EMB_NAMES = [f"emb_{i}" for i in range(64)]
 
@@ -439,8 +444,6 @@ def attribution_text_q(spark, sf):
 
 # ---- response parsing (rows-only check) -------------------------------------
 
-from postcast.functions.parse import comment_items, suggestion_items  # noqa: E402
-
 
 def _responses(spark, sf, kind):
     c = read_table(spark, sf, "conversations")
@@ -478,10 +481,6 @@ def parse_suggestions_q(spark, sf):
 
 # ---- sources written and read back (S2, S5, L3) -------------------------------
 
-import hashlib  # noqa: E402
-
-from postcast.session import scratch_path  # noqa: E402
-
 
 def _tag(sf: str) -> str:
     return hashlib.md5(sf.encode()).hexdigest()[:8]
@@ -507,9 +506,6 @@ def random_sample_q(spark, sf):
 
 # ---- learning, scoring, retrieval jobs (rows-only checks) ---------------------
 
-from postcast.plans import jobs as JB  # noqa: E402
-from postcast.operators import models as MD  # noqa: E402
-from postcast.operators.embed import hashing_embedding  # noqa: E402
 
 GBT_SMALL = {"maxIter": 20}
 FOREST_SMALL = {"numTrees": 20}
@@ -517,7 +513,7 @@ _TRAINED: dict = {}
 
 
 def _trained(spark, sf):
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
         _TRAINED[key] = JB.training_job(stories(spark, sf), cutoff=TRAIN_CUTOFF,
                                         gbt=GBT_SMALL, forest=FOREST_SMALL)
@@ -589,7 +585,7 @@ _INDEXES: dict = {}
 
 
 def _index(spark, sf):
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEXES:
         _INDEXES[key] = JB.index_job(stories(spark, sf), comments(spark, sf), name=f"index_{_tag(sf)}")
     return _INDEXES[key]
@@ -613,10 +609,6 @@ def batch_score_q(spark, sf):
 
 # ---- streaming build (Structured Streaming, run to completion) ----------------
 
-import uuid  # noqa: E402
-
-from postcast.streaming import index_stream as ST  # noqa: E402
-
 
 @query("stream_domain_stats")
 def stream_domain_stats_q(spark, sf):
