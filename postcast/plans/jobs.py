@@ -43,7 +43,7 @@ def feature_table(clean: DataFrame, domain_stats: DataFrame | None,
 def materialise(df: DataFrame, name: str, observation=None) -> DataFrame:
     """Write once to the shared folder and read back (reused by several fits).
     An ``Observation`` attached here is filled by the same write (no extra pass)."""
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name, unique=True)
     if observation is not None:
         df = df.observe(observation, *split_count_exprs())
     # hash-partitioned by id: every later fit scans balanced files (a small
@@ -195,7 +195,8 @@ def index_job(items: DataFrame, comments: DataFrame, name: str = "index") -> dic
     spark = items.sparkSession
     clean = clean_stories(live_stories(items))
     emb = hashing_embedding(clean.select("id", "title"), "title")
-    spath, cpath = scratch_path(spark, f"{name}/stories"), scratch_path(spark, f"{name}/comments")
+    run = scratch_path(spark, name, unique=True)
+    spath, cpath = os.path.join(run, "stories"), os.path.join(run, "comments")
     write_story_index(clean, emb, spath)
     write_comment_index(clean_comments(comments), cpath)
     return {"stories": spark.read.parquet(spath), "comments": spark.read.parquet(cpath)}

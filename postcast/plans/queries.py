@@ -3,7 +3,6 @@ the whole driver tables.  Keys and output columns match ``oracle.ORACLE_SQL``.""
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -490,7 +489,7 @@ def _tag(sf: str) -> str:
 def multi_file_scan(spark, sf):
     """Events written as a day-partitioned parquet table, read back with
     a partition filter (partition pruning skips the earlier days' files)."""
-    path = scratch_path(spark, f"events_by_day_{_tag(sf)}")
+    path = scratch_path(spark, f"events_by_day_{_tag(sf)}", unique=True)
     e = read_table(spark, sf, "events")
     (e.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
       .write.mode("overwrite").partitionBy("day").parquet(path))
@@ -615,7 +614,7 @@ def stream_domain_stats_q(spark, sf):
     """Items derived from the driver tables land as files; the streaming index
     build processes them (availableNow) and its running (n, sum) state gives the
     smoothed domain table, equal to the batch statistics with the fixed prior."""
-    run = scratch_path(spark, f"stream_{_tag(sf)}_{uuid.uuid4().hex[:8]}")
+    run = scratch_path(spark, f"stream_{_tag(sf)}", unique=True)
     items = ST.as_items(stories(spark, sf), comments(spark, sf).withColumn("dead", F.lit(0))
                         .withColumn("deleted", F.lit(0)))
     items.filter("type = 1").write.parquet(f"{run}/landing/stories")

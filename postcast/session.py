@@ -57,9 +57,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
+def scratch_path(spark: SparkSession, name: str, unique: bool = False) -> str:
+    """A folder for a written table under the shared folder, per application
+    (two applications sharing the checkpoint folder never overwrite each
+    other); ``unique`` adds a run suffix for tables written once per call."""
+    import uuid
     base = shared_dir(spark)
-    return os.path.join(base, "tables", name)
+    leaf = f"{name}_{uuid.uuid4().hex[:8]}" if unique else name
+    return os.path.join(base, "tables", spark.sparkContext.applicationId, leaf)
 
 
 _SHIPPED: set = set()
