@@ -50,8 +50,11 @@ def fit_classifier(train: DataFrame, score: str, features: str = "features", **p
     """M4: 5-class forest on the reception class of ``score`` with balanced
     class weights (joined by class id)."""
     from pyspark.ml.classification import RandomForestClassifier
-    data = with_class_weight(train.withColumn("_cls", reception_class(score).cast("double")),
-                             "_cls", "_wt")
+    # the label is declared nominal with all 5 values, so the model always has 5
+    # classes (a class absent from the training rows gets probability 0)
+    meta = {"ml_attr": {"type": "nominal", "num_vals": N_CLASSES, "name": "_cls"}}
+    cls = reception_class(score).cast("double").alias("_cls", metadata=meta)
+    data = with_class_weight(train.withColumn("_cls", cls), "_cls", "_wt")
     p = dict(numTrees=50, maxDepth=6, seed=42, featureSubsetStrategy="sqrt")
     p.update(params)
     est = RandomForestClassifier(featuresCol=features, labelCol="_cls", weightCol="_wt", **p)

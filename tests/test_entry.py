@@ -42,3 +42,11 @@ def test_query_matches_oracle(spark, con, key):
     assert c1 == c2
     assert len(sp) == len(od)
     assert h1 == h2
+
+
+@pytest.mark.parametrize("key", sorted(E.queries()))
+def test_every_query_runs_on_smallest_tables(spark, key):
+    """Every registered query executes on sf0.001 with a stable, named schema."""
+    df = E.queries()[key](spark, SF)
+    df.write.format("noop").mode("overwrite").save()
+    assert len(df.columns) == len(set(df.columns)) and all(df.columns)

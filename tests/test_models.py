@@ -104,3 +104,11 @@ def test_fill_invalid_and_assemble(spark):
     assert len(v) == 17 and not np.isnan(v.toArray()).any()
     assert feature_names(384)[0] == "title_length" and feature_names(384)[-1] == "emb_383"
     assert len(feature_names(384)) == 399
+
+
+def test_classifier_always_has_five_classes(spark):
+    df = regression_data(spark, n=200, d=4).withColumn("score", F.lit(5.0) + F.col("id") % 3)  # class 1 only
+    model = M.fit_classifier(df, "score", numTrees=3, maxDepth=2)
+    assert model.numClasses == 5
+    p = M.predict_classes(model, df).first()
+    assert len(p["probs"]) == 5 and p["predicted_class"] == 1
