@@ -108,7 +108,8 @@ def history_percentile(df: DataFrame, id_col: str, score_col: str = "score") ->
     cdf = score_cdf(df, score_col).select(F.col("score").alias("_s"), "cum_n", "total")
     j = df.select(id_col, score_col).join(cdf, F.col(score_col) == F.col("_s"), "inner")
     return j.select(id_col, score_col,
-                    (F.lit(100.0) * (F.lit(1.0) - F.col("cum_n") / F.col("total"))).alias("percentile"))
+                    (F.lit(100.0) * (F.lit(1.0) - F.try_divide(F.col("cum_n"), F.col("total"))))
+                    .alias("percentile"))
 
 
 def percentile_of(queries: DataFrame, history: DataFrame, query_id: str,
@@ -125,7 +126,7 @@ def percentile_of(queries: DataFrame, history: DataFrame, query_id: str,
     total = history.select(F.count(history_score)).scalar()
     cum = running_total(h.unionByName(q), [], ["_v", "_kind"], "_n", out="_le")
     per_score = cum.filter(F.col("_kind") == 1).select(
-        "_v", (F.lit(100.0) * (F.lit(1.0) - F.col("_le") / total)).alias("percentile"))
+        "_v", (F.lit(100.0) * (F.lit(1.0) - F.try_divide(F.col("_le"), total))).alias("percentile"))
     return (queries.select(query_id, F.col(query_score).cast("double").alias(query_score))
             .join(per_score, F.col(query_score) == F.col("_v"), "left").drop("_v"))
 

@@ -101,3 +101,9 @@ def test_class_weights_balanced(spark):
     df = spark.createDataFrame([(c,) for c in [0, 1, 2, 3, 4] * 10], "cls long")
     w = [r["weight"] for r in S.class_weights(df).collect()]
     assert len(set(w)) == 1 and abs(w[0] - 1.0) < 1e-12
+
+
+def test_percentile_with_empty_history_is_null(spark):
+    hist = spark.createDataFrame([], "score double")
+    q = spark.createDataFrame([(1, 5.0)], "id long, s double")
+    assert S.percentile_of(q, hist, "id", "s").first()["percentile"] is None
