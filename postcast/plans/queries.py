@@ -577,7 +577,7 @@ def explain_reception_q(spark, sf):
 def backtest_q(spark, sf):
     t = _trained(spark, sf)
     b = JB.backtest(t["features"], **FOREST_SMALL)
-    return rounded(b["summary"].join(b["spearman"].select("spearman"), how="inner"))
+    return rounded(b["summary"].withColumn("spearman", b["spearman"].select("spearman").scalar()))
 
 
 _INDEXES: dict = {}
