@@ -50,3 +50,5 @@ def test_every_query_runs_on_smallest_tables(spark, key):
     df = E.queries()[key](spark, SF)
     df.write.format("noop").mode("overwrite").save()
     assert len(df.columns) == len(set(df.columns)) and all(df.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
