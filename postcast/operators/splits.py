@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postcast.constants import SPLIT_SEED, TEMPORAL_CUTOFF, TEST_FRACTION, VALIDATION_FRACTION
+from postcast.constants import (SPLIT_SEED, TEMPORAL_CUTOFF, TEST_FRACTION, VALIDATION_FRACTION,
+                                VALIDATION_MIN_ROWS)
 
 
 def temporal_split(df: DataFrame, time_col: str = "time", cutoff: str = TEMPORAL_CUTOFF,
@@ -26,18 +27,53 @@ def hash_below(id_col: str, fraction: float, salt: str) -> Column:
     return h < F.lit(hash_threshold(fraction))
 
 
+def hash_key(id_col: str, salt: str) -> Column:
+    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{salt}")))
+
+
+def exact_share(df: DataFrame, id_col: str, rows: int, salt: str) -> Column:
+    """True for exactly ``rows`` rows of ``df``: those with the smallest
+    md5('<id>:<salt>') (ties by id).  The selection runs threshold-first (no
+    global sort of all rows) and only the last chosen (key, id) comes back to
+    the driver; the flag is then a plain comparison, so no join is needed."""
+    from postcast.operators.topn import seeded_take
+    if rows <= 0:
+        return F.lit(False)
+    chosen = seeded_take(df.select(id_col), id_col, 0, rows, key=hash_key(id_col, salt),
+                         rank_col="_r")
+    last = chosen.select(F.max(F.struct(hash_key(id_col, salt).alias("h"),
+                                        F.col(id_col).alias("i")))).first()[0]
+    if last is None:
+        return F.lit(False)
+    k = hash_key(id_col, salt)
+    return (k < F.lit(last["h"])) | ((k == F.lit(last["h"])) & (F.col(id_col) <= F.lit(last["i"])))
+
+
 def hash_split(df: DataFrame, id_col: str, test_fraction: float = TEST_FRACTION,
-               seed: int = SPLIT_SEED, out: str = "is_test") -> DataFrame:
-    """Seeded random test share."""
-    return df.withColumn(out, hash_below(id_col, test_fraction, str(seed)))
+               seed: int = SPLIT_SEED, out: str = "is_test", exact: bool = True) -> DataFrame:
+    """Seeded random test part of exactly int(n * test_fraction) rows, the
+    smallest md5('<id>:<seed>') keys (stable under repartitioning and retries,
+    the same rows in any engine).  ``exact=False`` gives the one-pass
+    expression cut with only approximately that share."""
+    if not exact:
+        return df.withColumn(out, hash_below(id_col, test_fraction, str(seed)))
+    n = df.count()
+    return df.withColumn(out, exact_share(df, id_col, int(n * test_fraction), str(seed)))
 
 
 def validation_tail(df: DataFrame, id_col: str, fraction: float = VALIDATION_FRACTION,
                     seed: int = SPLIT_SEED, train_flag: str = "is_test",
-                    out: str = "is_validation") -> DataFrame:
-    """An independent second hash cut inside the training part."""
-    inside = ~F.col(train_flag) & hash_below(id_col, fraction, f"val{seed}")
-    return df.withColumn(out, inside)
+                    out: str = "is_validation", min_rows: int = VALIDATION_MIN_ROWS,
+                    exact: bool = True) -> DataFrame:
+    """max(int(n_train * fraction), min_rows) training rows chosen by an
+    independent second key, md5('<id>:val<seed>'), as validation."""
+    if not exact:
+        inside = ~F.col(train_flag) & hash_below(id_col, fraction, f"val{seed}")
+        return df.withColumn(out, inside)
+    train = df.filter(~F.col(train_flag))
+    n = train.count()
+    rows = min(max(int(n * fraction), min_rows), n)
+    return df.withColumn(out, ~F.col(train_flag) & exact_share(train, id_col, rows, f"val{seed}"))
 
 
 def fallback_split(df: DataFrame, time_col: str, id_col: str, cutoff: str = TEMPORAL_CUTOFF,

@@ -43,10 +43,11 @@ def _cut(quota: int, n: int) -> int:
 
 def seeded_take(df: DataFrame, id_col: str, seed: int, quotas: dict | int,
                 group: str | None = None, rank_col: str = "sample_rank",
-                direct_below: int = DIRECT_BELOW) -> DataFrame:
-    """Per group (or overall) the ``quota`` rows with the smallest md5(id + seed),
-    ties by id; ``rank_col`` is the position in that order."""
-    h = hash_key(id_col, seed)
+                direct_below: int = DIRECT_BELOW, key: Column | None = None) -> DataFrame:
+    """Per group (or overall) the ``quota`` rows with the smallest md5(id + seed)
+    (or the given md5 ``key``), ties by id; ``rank_col`` is the position in that
+    order."""
+    h = hash_key(id_col, seed) if key is None else key
     g = F.col(group) if group else F.lit(0)
     keyed = df.withColumn("_h", h).withColumn("_g", g)
     qmap = quotas if isinstance(quotas, dict) else {0: quotas}

@@ -367,15 +367,20 @@ SELECT o_orderkey, CAST(CASE WHEN (SELECT count(*) FROM orders WHERE o_orderdate
   ELSE substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) < '{_hex(0.2)}' END AS BIGINT) AS is_validation
 FROM orders"""
 
-ORACLE_SQL["hash_split"] = f"""
-SELECT event_id, CAST(substr(md5(CAST(event_id AS VARCHAR) || ':42'), 1, 8) < '{_hex(0.2)}' AS BIGINT) AS is_test
+ORACLE_SQL["hash_split"] = """
+SELECT event_id, CAST(row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id)
+  <= CAST(floor(0.2 * count(*) OVER ()) AS BIGINT) AS BIGINT) AS is_test
 FROM events"""
 
-ORACLE_SQL["validation_tail"] = f"""
-SELECT event_id, CASE WHEN substr(md5(CAST(event_id AS VARCHAR) || ':42'), 1, 8) < '{_hex(0.2)}' THEN 'test'
-  WHEN substr(md5(CAST(event_id AS VARCHAR) || ':val42'), 1, 8) < '{_hex(0.1)}' THEN 'validation'
+ORACLE_SQL["validation_tail"] = """
+WITH t AS (SELECT event_id, row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id)
+    <= CAST(floor(0.2 * count(*) OVER ()) AS BIGINT) AS is_test FROM events),
+v AS (SELECT event_id FROM t WHERE NOT is_test
+  QUALIFY row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR) || ':val42'), event_id)
+    <= least(greatest(CAST(floor(0.1 * count(*) OVER ()) AS BIGINT), 5), count(*) OVER ()))
+SELECT event_id, CASE WHEN is_test THEN 'test' WHEN event_id IN (SELECT event_id FROM v) THEN 'validation'
   ELSE 'train' END AS part
-FROM events"""
+FROM t"""
 
 ORACLE_SQL["variant_rank"] = with_ctes("""
 SELECT user_id, event_id, round(value, 6) AS value, rank FROM ranked""", "ranked")

@@ -78,13 +78,23 @@ def test_temporal_split(spark, stories_df):
     assert {r["is_validation"]: r["count"] for r in s} == {False: 2, True: 3}
 
 
-def test_hash_split_stable_share(spark):
+def test_hash_split_exact_and_stable(spark):
     df = spark.range(20000).withColumnRenamed("id", "id")
     a = SP.hash_split(df, "id")
-    share = a.filter("is_test").count() / 20000
-    assert abs(share - 0.2) < 0.02
+    assert a.filter("is_test").count() == 4000  # int(n * 0.2), as a seeded permutation gives
     b = SP.hash_split(df.repartition(13), "id")
     assert a.filter("is_test").select("id").subtract(b.filter("is_test").select("id")).count() == 0
+    approx = SP.hash_split(df, "id", exact=False).filter("is_test").count() / 20000
+    assert abs(approx - 0.2) < 0.02
+
+
+def test_validation_tail_sizes(spark):
+    df = SP.hash_split(spark.range(1000).withColumnRenamed("id", "id"), "id")
+    v = SP.validation_tail(df, "id")
+    assert v.filter("is_validation").count() == 80  # int(800 * 0.1)
+    assert v.filter("is_validation AND is_test").count() == 0
+    small = SP.hash_split(spark.range(20).withColumnRenamed("id", "id"), "id")
+    assert SP.validation_tail(small, "id").filter("is_validation").count() == 5  # at least 5 rows
 
 
 def test_parse_responses(spark):
