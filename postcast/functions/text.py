@@ -135,10 +135,13 @@ def as_flag(cond: Column) -> Column:
 def title_features(c) -> dict[str, Column]:
     """X4-X8 on a title column (null counts as '')."""
     t = F.coalesce(_c(c), F.lit(""))
-    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != F.lit(""))
+    # runs of Unicode whitespace separate words; trimming first means split
+    # yields no empty pieces, so no (interpreted) higher-order filter is needed
+    core = F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    words = F.when(core == F.lit(""), F.lit(0)).otherwise(F.size(F.split(core, r"(?U)\s+")))
     return {
         "title_length": F.char_length(t).cast("long"),
-        "title_word_count": F.size(words).cast("long"),
+        "title_word_count": words.cast("long"),
         "title_has_question": as_flag(t.contains("?")),
         "title_has_number": as_flag(t.rlike(r"\p{Nd}")),
         "is_show_hn": as_flag(t.startswith("Show HN:")),
