@@ -164,16 +164,30 @@ def _attribute(trees, x: np.ndarray, classes: int | None, scale: float):
     return contrib, base
 
 
+def _top_rows(signed: np.ndarray, rank_by: np.ndarray, names: list[str], k: int) -> list:
+    """W7 inside the task: per row the k largest ``rank_by`` (ties by position),
+    reported with the signed value and its direction."""
+    order = np.argsort(-rank_by, axis=1, kind="stable")[:, :k]
+    out = []
+    for r, idx in enumerate(order):
+        out.append([{"feature": names[j], "importance": float(signed[r, j]),
+                     "direction": "up" if signed[r, j] > 0 else "down"} for j in idx])
+    return out
+
+
 def path_attribution(model, df: DataFrame, features: str = "features", key: str = "id",
                      name: str = "explain", classifier: bool = False,
-                     reduce_classes: bool = False) -> DataFrame:
+                     reduce_classes: bool = False, top_k: int | None = None,
+                     names: list[str] | None = None) -> DataFrame:
     """Per-row attribution of a tree ensemble: along each row's decision path,
     the change of the node value is credited to the split feature.  Additive:
     sum(attribution) + base = raw prediction (log-score for the regressor,
     class probability for the forest).  Runs in mapInPandas over Arrow batches
     with the node table broadcast.  ``reduce_classes`` (forest) returns the
     class means of |value| and value (A14) computed in the same task, instead
-    of the per-class matrix."""
+    of the per-class matrix.  ``top_k`` (with ``names``) returns only the
+    top-k features per row (W7, computed in the task), so the wide attribution
+    vectors never leave the executor."""
     from pyspark.ml.functions import vector_to_array
     spark = df.sparkSession
     ship_package(spark)
@@ -184,7 +198,10 @@ def path_attribution(model, df: DataFrame, features: str = "features", key: str
     scale = 1.0 / len(weights) if classifier else 1.0
     bc = spark.sparkContext.broadcast(_pack(nodes, weights, classes))
     src = df.select(F.col(key).alias("_k"), vector_to_array(F.col(features)).alias("_x"))
-    if classifier and reduce_classes:
+    if top_k is not None:
+        schema = ("_k long, top array<struct<feature:string,importance:double,"
+                  "direction:string>>")
+    elif classifier and reduce_classes:
         schema = "_k long, mean_abs array<double>, mean_signed array<double>"
     elif classifier:
         schema = "_k long, attribution array<array<double>>, base array<double>"
@@ -198,7 +215,14 @@ def path_attribution(model, df: DataFrame, features: str = "features", key: str
                 continue
             x = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
             contrib, base = _attribute(trees, x, classes, scale)
-            if classes is None:
+            if top_k is not None:
+                if classes is None:
+                    signed, rank_by = contrib, np.abs(contrib)
+                else:
+                    signed, rank_by = contrib.mean(axis=1), np.abs(contrib).mean(axis=1)
+                yield pd.DataFrame({"_k": pdf["_k"].astype("int64"),
+                                    "top": _top_rows(signed, rank_by, names, top_k)})
+            elif classes is None:
                 yield pd.DataFrame({"_k": pdf["_k"].astype("int64"), "attribution": list(contrib),
                                     "base": float(base)})
             elif reduce_classes:

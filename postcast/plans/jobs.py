@@ -113,11 +113,8 @@ def validation_metrics(trained: dict) -> DataFrame:
 def explain_classes(trained: dict, df: DataFrame, top: int = 5) -> DataFrame:
     """M6 + A14 + W7 for the forest: per-class path attributions, ranked by
     the mean |value| over classes, reported with the mean signed value."""
-    a = M.path_attribution(trained["classifier"], df, key="id", name="explain_classes",
-                           classifier=True, reduce_classes=True)
-    names = feature_names(EMBEDDING_DIM)
-    return a.select("id", X.top_features(F.col("mean_signed"), names, top,
-                                         rank_by=F.col("mean_abs")).alias("top"))
+    return M.path_attribution(trained["classifier"], df, key="id", name="explain_classes",
+                              classifier=True, top_k=top, names=feature_names(EMBEDDING_DIM))
 
 
 def classifier_metrics(trained: dict) -> DataFrame:
@@ -175,9 +172,8 @@ def batch_score(pitches: DataFrame, trained: dict, story_index: DataFrame,
                  exclude_self=True)
     similar = hits.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "neighbour_id"))).alias("_h"))
-    attr = M.path_attribution(trained["score_model"], scored, key="id", name="batch_score")
-    names = feature_names(EMBEDDING_DIM)
-    attr = attr.select("id", X.top_features(F.col("attribution"), names, top_features).alias("top"))
+    attr = M.path_attribution(trained["score_model"], scored, key="id", name="batch_score",
+                              top_k=top_features, names=feature_names(EMBEDDING_DIM))
     advice = S.best_time(trained["time_stats"]).select("advice").scalar()
     out = (scored.join(pct.select("id", "percentile"), "id", "left")
            .join(similar.withColumnRenamed("query_id", "id"), "id", "left")

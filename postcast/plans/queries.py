@@ -548,9 +548,9 @@ def predict_batch_q(spark, sf):
 def explain_batch_q(spark, sf):
     t = _trained(spark, sf)
     val = t["features"].filter(F.col("is_validation"))
-    a = MD.path_attribution(t["score_model"], val, key="id", name=f"explain_{_tag(sf)}")
-    names = JB.feature_names(384)
-    top = a.select("id", F.posexplode(X.top_features(F.col("attribution"), names, 5)).alias("pos", "f"))
+    a = MD.path_attribution(t["score_model"], val, key="id", name=f"explain_{_tag(sf)}",
+                            top_k=5, names=JB.feature_names(384))
+    top = a.select("id", F.posexplode("top").alias("pos", "f"))
     return rounded(top.select("id", (F.col("pos") + 1).cast("long").alias("position"),
                               F.col("f.feature").alias("feature"),
                               F.col("f.importance").alias("importance"),

@@ -112,3 +112,17 @@ def test_classifier_always_has_five_classes(spark):
     assert model.numClasses == 5
     p = M.predict_classes(model, df).first()
     assert len(p["probs"]) == 5 and p["predicted_class"] == 1
+
+
+def test_top_k_in_task_equals_w7_operator(spark):
+    from postcast.operators.explain import top_features
+    df = regression_data(spark, n=150, d=8)
+    model = M.fit_regressor(df, "score", maxIter=5, maxDepth=3)
+    names = [f"f{i}" for i in range(8)]
+    full = M.path_attribution(model, df, key="id", name="t_top_full")
+    a = full.select("id", top_features(F.col("attribution"), names, 3).alias("t")).toPandas()
+    b = M.path_attribution(model, df, key="id", name="t_top_task", top_k=3, names=names).toPandas()
+    m = a.merge(b, on="id")
+    for x, y in zip(m["t"], m["top"]):
+        assert [(r["feature"], r["direction"]) for r in x] == [(r["feature"], r["direction"]) for r in y]
+        assert np.allclose([r["importance"] for r in x], [r["importance"] for r in y])
