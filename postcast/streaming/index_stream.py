@@ -45,8 +45,11 @@ def start_index_stream(spark: SparkSession, landing_dir: str, out_dir: str,
     comments = clean_comments(live_comments(items)).select(
         F.col("id").cast("long"), F.col("parent").cast("long"), "clean_text", "author")
 
-    def append_stories(batch: DataFrame, _batch_id: int) -> None:
-        _story_rows(batch).write.mode("append").parquet(os.path.join(out_dir, "stories"))
+    def append_stories(batch: DataFrame, batch_id: int) -> None:
+        # idempotent: a micro-batch replayed after a failure overwrites its own
+        # folder instead of appending its rows a second time
+        (_story_rows(batch).write.mode("overwrite")
+         .parquet(os.path.join(out_dir, "stories", f"batch_id={batch_id}")))
 
     def trig(w):
         return w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
