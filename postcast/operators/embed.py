@@ -25,7 +25,7 @@ def hashing_embedding(df: DataFrame, text_col: str = "title", dim: int = EMBEDDI
     from pyspark.ml.functions import vector_to_array
 
     src = df.withColumn("_txt", F.coalesce(F.col(text_col), F.lit("")))
-    stages = [RegexTokenizer(inputCol="_txt", outputCol="_tok", pattern=r"\W+", toLowercase=True),
+    stages = [RegexTokenizer(inputCol="_txt", outputCol="_tok", pattern=r"(?U)\W+", toLowercase=True),
               HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
               Normalizer(inputCol="_tf", outputCol="_nv", p=2.0)]
     res = PipelineModel(stages).transform(src)

@@ -126,3 +126,9 @@ def test_top_k_in_task_equals_w7_operator(spark):
     for x, y in zip(m["t"], m["top"]):
         assert [(r["feature"], r["direction"]) for r in x] == [(r["feature"], r["direction"]) for r in y]
         assert np.allclose([r["importance"] for r in x], [r["importance"] for r in y])
+
+
+def test_hashing_tokens_are_unicode_words(spark):
+    df = spark.createDataFrame([(1, "Über Änderung"), (2, "über änderung")], "id long, title string")
+    e = {r["id"]: r["embedding"] for r in hashing_embedding(df).collect()}
+    assert e[1] == e[2] and sum(1 for v in e[1] if v != 0) == 2  # two whole words, case-folded
