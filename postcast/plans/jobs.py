@@ -81,14 +81,23 @@ def split_features(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, name: str =
 
 
 def training_job(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, out_dir: str | None = None,
-                 gbt: dict | None = None, forest: dict | None = None) -> dict:
+                 gbt: dict | None = None, forest: dict | None = None,
+                 parallel_fits: int = 3) -> dict:
     """Split, three models, score CDF, time statistics, domain statistics."""
+    from concurrent.futures import ThreadPoolExecutor
+
     feats, dstats, counts = split_features(items, cutoff)
     train = feats.filter(~F.col("is_validation"))
-    score_model = M.fit_regressor(feats, "score", validation_col="is_validation", **(gbt or {}))
-    comment_model = M.fit_regressor(feats, "descendants", validation_col="is_validation",
-                                    **(gbt or {}))
-    classifier = M.fit_classifier(train, "score", **(forest or {}))
+    # the three fits are independent; submitted from threads (as MLlib's own
+    # tuning does with `parallelism`) their many small stages share the cluster
+    with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
+        f_score = pool.submit(M.fit_regressor, feats, "score", validation_col="is_validation",
+                              **(gbt or {}))
+        f_comments = pool.submit(M.fit_regressor, feats, "descendants",
+                                 validation_col="is_validation", **(gbt or {}))
+        f_forest = pool.submit(M.fit_classifier, train, "score", **(forest or {}))
+        score_model, comment_model, classifier = (f_score.result(), f_comments.result(),
+                                                  f_forest.result())
     out = {"features": feats, "score_model": score_model, "comment_model": comment_model,
            "classifier": classifier, "score_cdf": S.score_cdf(train, "score"),
            "time_stats": S.time_stats(train), "domain_stats": dstats, "counts": counts}
