@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from postcast.constants import SAMPLE_FLOOR_DATE, STRATA
 from postcast.operators.topn import DIRECT_BELOW, seeded_take, top_n
-from postcast.sources.items import live_stories, per_group_limit, seeded_order  # noqa: F401
+from postcast.sources.items import (live_stories, per_group_limit, seeded_order,  # noqa: F401
+                                    with_day_pruning)
 
 
 def top_by_score(df: DataFrame, n: int) -> DataFrame:
@@ -50,7 +51,7 @@ def stratified_sample(items: DataFrame, total: int, seed: int = 42,
     input a per-stratum hash cut keeps a checked superset first, so no
     stratum sends all its rows to one task."""
     quotas = strata_quotas(total)
-    df = (live_stories(items)
+    df = (with_day_pruning(live_stories(items), floor_date)
           .filter(F.col("time") >= F.to_timestamp(F.lit(floor_date)))
           .withColumn("stratum", score_stratum())
           .filter(F.col("stratum").isNotNull()))

@@ -78,7 +78,7 @@ def stories_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The story binding written once per session to the shared folder and
     read back: every later query scans one table instead of re-running the
     five-way join, and a lost executor recomputes from that table, not from
-    the raw inputs."""
+    the raw inputs.  The table is partitioned by ``day`` (date of ``time``)."""
     import hashlib
 
     from postcast.session import scratch_path
@@ -86,6 +86,8 @@ def stories_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _WRITTEN.get(key)
     if path is None:
         path = scratch_path(spark, f"stories_{hashlib.md5(sf_dir.encode()).hexdigest()[:10]}")
-        stories(spark, sf_dir).write.mode("overwrite").parquet(path)
+        # one directory per day: time-bounded reads prune whole directories
+        (stories(spark, sf_dir).withColumn("day", F.to_date("time"))
+         .write.mode("overwrite").partitionBy("day").parquet(path))
         _WRITTEN[key] = path
     return spark.read.parquet(path)

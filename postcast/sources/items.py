@@ -28,6 +28,15 @@ def live_comments(items: DataFrame) -> DataFrame:
     return items.filter(cond)
 
 
+def with_day_pruning(df: DataFrame, min_date: str) -> DataFrame:
+    """On a day-partitioned table, the same lower bound on the partition
+    column, so the scan skips the earlier day directories (the time filter
+    alone is not turned into a partition filter)."""
+    if "day" in df.columns:
+        df = df.filter(F.col("day") >= F.to_date(F.to_timestamp(F.lit(min_date))))
+    return df
+
+
 def seeded_order(id_col: str = "id", seed: int = 0) -> list:
     """Sampling order: md5 of the decimal string of id + seed, tie by id.
     md5 gives the same order in any engine (unlike engine-specific hashes)."""
@@ -44,6 +53,7 @@ def story_scan(items: DataFrame, limit: int | None, min_score: int = 0,
         df = df.filter(F.col("score") >= min_score)
     if min_date is not None:
         df = df.filter(F.col("time") >= F.to_timestamp(F.lit(min_date)))
+        df = with_day_pruning(df, min_date)
     df = df.select(*(columns or [c for c in STORY_COLUMNS if c in items.columns]))
     if limit is None:
         order = seeded_order("id", seed) if seed is not None else [F.col("score").desc(), F.col("id")]

@@ -50,3 +50,8 @@ def test_no_python_udf_in_the_hot_path(spark, q, key):
 def test_partial_aggregation_before_the_shuffle(spark, q):
     p = plan(q["domain_reputation"](spark, SF))
     assert p.count("HashAggregate") >= 2  # partial (map side) and final
+
+
+def test_story_time_bound_prunes_day_directories(spark, q):
+    p = plan(q["story_scan_since"](spark, SF))
+    assert "PartitionFilters: [isnotnull(day" in p and "(day" in p
