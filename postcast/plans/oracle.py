@@ -485,3 +485,16 @@ ORACLE_SQL["stream_domain_stats"] = with_ctes("""
 SELECT domain, count(score) AS post_count,
   round((coalesce(sum(score), 0) + 10 * 47.57) / (count(score) + 10), 6) AS avg_score
 FROM clean WHERE domain <> '' GROUP BY domain""", "clean")
+
+ORACLE_SQL["attribution_allowed"] = """
+SELECT vec_id, position, feature, round(importance, 6) AS importance, direction FROM (
+ SELECT vec_id, 'emb_' || CAST(i - 1 AS VARCHAR) AS feature, CAST(embedding[i] AS DOUBLE) AS importance,
+   CASE WHEN CAST(embedding[i] AS DOUBLE) > 0 THEN 'up' ELSE 'down' END AS direction,
+   row_number() OVER (PARTITION BY vec_id ORDER BY abs(CAST(embedding[i] AS DOUBLE)) DESC, i) AS position
+ FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
+ WHERE i <= 16
+ QUALIFY position <= 5)"""
+
+ORACLE_SQL["story_scan_recent_top"] = with_ctes(f"""
+SELECT {SCAN_COLS} FROM live WHERE score >= 5 AND time >= TIMESTAMP '2024-01-02 00:00:00'
+ORDER BY score DESC, id LIMIT 50""", "live")

@@ -68,6 +68,13 @@ def story_scan_since(spark, sf):
                                  min_date="2024-01-02 12:00:00", seed=7))
 
 
+@query("story_scan_recent_top")
+def story_scan_recent_top(spark, sf):
+    """S1 in score order under both bounds (min score and inclusive min date)."""
+    return _scan_cols(story_scan(stories(spark, sf), limit=50, min_score=5,
+                                 min_date="2024-01-02 00:00:00"))
+
+
 def _popular_ids(spark, sf):
     return story_scan(stories(spark, sf), limit=None, min_score=100, columns=["id"])
 
@@ -436,6 +443,19 @@ def attribution_topk_q(spark, sf):
                             F.col("f.direction").alias("direction")))
 
 
+@query("attribution_allowed")
+def attribution_allowed_q(spark, sf):
+    """W7 with an allow-list of names (the first 16 features only)."""
+    e = read_table(spark, sf, "embeddings")
+    vals = F.transform("embedding", lambda v: v.cast("double"))
+    top = e.select("vec_id", X.top_features(vals, EMB_NAMES, k=5, allow=EMB_NAMES[:16]).alias("top"))
+    t = top.select("vec_id", F.posexplode("top").alias("pos", "f"))
+    return rounded(t.select("vec_id", (F.col("pos") + 1).cast("long").alias("position"),
+                            F.col("f.feature").alias("feature"),
+                            F.col("f.importance").alias("importance"),
+                            F.col("f.direction").alias("direction")))
+
+
 @query("attribution_text")
 def attribution_text_q(spark, sf):
     return _top(spark, sf).select("vec_id", X.explanation_text(F.col("top")).alias("text"))
