@@ -9,7 +9,9 @@ from pyspark import TaskContext  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from postcast.operators import knn as K, splits as SP, stats as S  # noqa: E402
+from postcast.operators import ranking as R  # noqa: E402
 from postcast.operators.sampling import seeded_sample  # noqa: E402
+from postcast.operators.topn import seeded_take  # noqa: E402
 from postcast.session import get_spark  # noqa: E402
 
 spark = get_spark("local[4,3]", shuffle_partitions=4)  # up to 3 attempts per task
@@ -39,6 +41,12 @@ checks = {
     "score_cdf": lambda e: S.score_cdf(e, "value"),
     "hash_split": lambda e: SP.hash_split(e.select("event_id"), "event_id"),
     "seeded_sample": lambda e: seeded_sample(e.select("event_id"), 50, id_col="event_id"),
+    "variant_rank_skew_path": lambda e: R.rank_variants(e.select("event_id", "user_id", "value"),
+                                                        "user_id", "event_id", "value",
+                                                        max_group_rows=0),
+    "stratified_threshold_path": lambda e: seeded_take(
+        e.select("event_id", (F.col("event_id") % 4).alias("g")), "event_id", 42,
+        {0: 20, 1: 20, 2: 10, 3: 5}, group="g", direct_below=0),
 }
 ok = True
 for name, fn in checks.items():
