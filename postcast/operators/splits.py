@@ -79,11 +79,11 @@ def validation_tail(df: DataFrame, id_col: str, fraction: float = VALIDATION_FRA
 def fallback_split(df: DataFrame, time_col: str, id_col: str, cutoff: str = TEMPORAL_CUTOFF,
                    test_fraction: float = TEST_FRACTION, seed: int = SPLIT_SEED,
                    out: str = "is_validation") -> DataFrame:
-    """The temporal split, unless its training side is empty; then an
-    80/20 hash cut (never a positional cut).  The emptiness test is a scalar
-    subquery, evaluated once."""
+    """The temporal split, unless its training side is empty; then the
+    seeded split of P3 (exactly int(n * test_fraction) validation rows by md5
+    key), never a positional cut."""
     cut = F.to_timestamp(F.lit(cutoff))
-    n_train = df.filter(F.col(time_col) < cut).select(F.count(F.lit(1))).scalar()
-    temporal = ~F.coalesce(F.col(time_col) < cut, F.lit(False))
-    return df.withColumn(out, F.when(n_train > 0, temporal)
-                         .otherwise(hash_below(id_col, test_fraction, str(seed))))
+    if df.filter(F.col(time_col) < cut).limit(1).count() > 0:
+        return df.withColumn(out, ~F.coalesce(F.col(time_col) < cut, F.lit(False)))
+    n = df.count()
+    return df.withColumn(out, exact_share(df, id_col, int(n * test_fraction), str(seed)))

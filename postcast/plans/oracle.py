@@ -277,10 +277,6 @@ def fixed_sql(x: str, digits: int, plus: bool = False) -> str:
             f"lpad(CAST({units} % {scale} AS VARCHAR), {digits}, '0'))")
 
 
-def _hex(fraction: float) -> str:
-    return format(int(fraction * 16 ** 8), "08x")
-
-
 ORACLE_SQL["knn_topk"] = with_ctes("""
 SELECT query_id, neighbour_id, round(distance, 6) AS distance, rank FROM hits""", "hits")
 
@@ -361,10 +357,11 @@ ORACLE_SQL["temporal_split"] = """
 SELECT o_orderkey, CAST(NOT coalesce(o_orderdate < TIMESTAMP '1999-01-01 00:00:00', false) AS BIGINT) AS is_validation
 FROM orders"""
 
-ORACLE_SQL["fallback_split"] = f"""
+ORACLE_SQL["fallback_split"] = """
 SELECT o_orderkey, CAST(CASE WHEN (SELECT count(*) FROM orders WHERE o_orderdate < TIMESTAMP '1990-01-01 00:00:00') > 0
   THEN NOT coalesce(o_orderdate < TIMESTAMP '1990-01-01 00:00:00', false)
-  ELSE substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) < '{_hex(0.2)}' END AS BIGINT) AS is_validation
+  ELSE row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':42'), o_orderkey)
+       <= CAST(floor(0.2 * count(*) OVER ()) AS BIGINT) END AS BIGINT) AS is_validation
 FROM orders"""
 
 ORACLE_SQL["hash_split"] = """
