@@ -4,7 +4,9 @@ operator and derives the digest columns of its contract from the real output."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from postcast.llm import bpe, packing
 from postcast.llm.common import read_documents
 from postcast.llm.quality_rules import judge
 from postcast.llm.url_filters import judge_urls
@@ -18,6 +20,33 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; read on the driver and broadcast."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    vocab = bpe.load_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    shared = bpe.share(docs, vocab)
+    encoded = bpe.encode(docs, vocab, public_tokenizers.PATTERN, shared=shared)
+    return bpe.decode(encoded, vocab, shared=shared).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        pieces = packing.pieces(docs, f.read(), end_id=1, most=4096)
+    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(pieces, order=["doc_id", "piece", "ids_crc32"]).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -25,5 +54,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_url_filters": op3_url_filters,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
