@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postcast.llm import bpe, packing
+from postcast.llm import bpe, packing, simhash, sketches
 from postcast.llm.common import read_documents
 from postcast.llm.quality_rules import judge
 from postcast.llm.url_filters import judge_urls
@@ -26,6 +26,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return simhash.near_duplicates(docs, ["doc_id"], words=4, radius=4).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("first.doc_id").alias("component_id"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
@@ -38,6 +45,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_with_next(read_documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.lower(F.hex("sketch")).alias("fingerprint"), F.lower(F.hex("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
@@ -54,7 +68,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_url_filters": op3_url_filters,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
