@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postcast.llm import bpe, chat, packing, simhash, sketches
 from postcast.llm.common import read_documents
+from postcast.llm.line_dedup import dedup_lines
 from postcast.llm.quality_rules import judge
 from postcast.llm.url_filters import judge_urls
 
@@ -66,6 +67,11 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited", "near_next")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), "text")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
@@ -86,6 +92,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
