@@ -10,12 +10,20 @@ from postcast.llm import bpe, chat, packing, simhash, sketches
 from postcast.llm.common import read_documents
 from postcast.llm.line_dedup import dedup_lines
 from postcast.llm.quality_rules import judge
+from postcast.llm.substring_dedup import dedup_substrings
 from postcast.llm.url_filters import judge_urls
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return dedup_substrings(docs).select("doc_id", F.size("removed").cast("long").alias("n_removed"),
+                                         F.col("removed.begin").alias("begins"), F.col("removed.end").alias("ends"),
+                                         F.col("removed.source").alias("sources"), "text")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_documents(spark, sf_dir, "pages")
     return judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -87,6 +95,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
