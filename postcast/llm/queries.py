@@ -11,12 +11,21 @@ from postcast.llm.common import read_documents
 from postcast.llm.line_dedup import dedup_lines
 from postcast.llm.quality_rules import judge
 from postcast.llm.substring_dedup import dedup_substrings
+from postcast.llm.token_counts import count_tokens, pieces_of_words
 from postcast.llm.url_filters import judge_urls
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    listed = [model.id_to_piece(i) for i in range(model.get_piece_size())
+              if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))]
+    return count_tokens(read_documents(spark, sf_dir).select("doc_id", "text"), pieces_of_words(listed))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", F.size("removed").cast("long").alias("n_removed"),
@@ -95,6 +104,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
