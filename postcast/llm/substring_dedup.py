@@ -110,13 +110,15 @@ def later_units(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFr
     """Per document (d, h): the units that occur earlier, with their words and
     the document of the earliest occurrence, by unit number."""
     every = scratch.save(units(docs, text), "units")
-    twice = every.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # counts and minima are written, so that either side of a join is a plain
+    # exchange, which AQE can split where a digest is very frequent
+    twice = scratch.save(every.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
     seen = scratch.save(every.join(twice, ["d1", "d2"]), "repeated")
-    first = seen.groupBy("d1", "d2").agg(F.min(F.struct("d", "h", "u")).alias("first"))
+    first = scratch.save(seen.groupBy("d1", "d2").agg(F.min(F.struct("d", "h", "u")).alias("first")), "first")
     later = seen.join(first, ["d1", "d2"]).where(F.struct("d", "h", "u") > F.col("first"))
     flags = later.select("d", "h", F.struct("u", "words", F.col("first.d").alias("source")).alias("unit")).distinct()
     out = scratch.save(flags.groupBy("d", "h").agg(F.sort_array(F.collect_list("unit")).alias("units")), "later")
-    scratch.drop(every, seen)
+    scratch.drop(every, twice, seen, first)
     return out
 
 
