@@ -220,14 +220,14 @@ def _links_of_runs(radius: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, run: int = RUN) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, run: int = RUN) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that connect just what
     all pairs within the radius connect."""
     if radius > len(WIDTHS) - AGREE:
         raise ValueError("the bit blocks find pairs up to 4 bits apart")
     spark = distinct.sparkSession
     keyed = distinct.select(F.explode(block_keys(F.col("fp"))).alias("key"), "fp")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = scratch.save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared_keys")
     cut = F.ceil(F.col("n") / run).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("_s")).cast("int")
     found = keyed.join(shared, "key").withColumn("_s", cut).withColumn("_b", mine)
@@ -246,11 +246,11 @@ def near_duplicates(docs: DataFrame, keys: list[str] = ["doc_id"], text: str = "
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.save(fingerprints(docs, keys, text, words), "fingerprints")
     distinct = scratch.save(marked.groupBy("fp").agg(F.min(F.struct(*keys)).alias("first")), "distinct")
-    links = scratch.save(fingerprint_links(distinct.select("fp"), radius), "links")
+    links = scratch.save(fingerprint_links(distinct.select("fp"), scratch, radius), "links")
     parts = connected_components(links, scratch)
-    nodes = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("first"))
+    nodes = scratch.save(distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("root")), "nodes")
+    least = scratch.save(nodes.groupBy("root").agg(F.min("first").alias("first")), "least")
     member = nodes.drop("first").join(least, "root").select("fp", "first")
     return marked.join(member, "fp")
 

@@ -76,7 +76,7 @@ def test_links_connect_what_all_pairs_connect(spark, run, monkeypatch):
     values = sorted(values)
     want = brute_parts(values, lambda x, y: (x ^ y).bit_count() <= 4)
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
-    links = S.fingerprint_links(spark.createDataFrame(signed, "fp long"), run=run).collect()
+    links = S.fingerprint_links(spark.createDataFrame(signed, "fp long"), Scratch(spark, "test"), run=run).collect()
     index = {s[0]: i for i, s in enumerate(signed)}
     parent = list(range(len(values)))
 
