@@ -14,16 +14,14 @@ from pyspark.sql import types as T
 
 from postcast.constants import POST_TYPE_PREFIXES
 
-# fixed values: patterns and entity table of the native HTML-to-text form
+# fixed values: patterns of the native HTML-to-text form
 HIDDEN_MARKUP = r"(?is)<(?:!--.*?-->|!doctype[^>]*>|script\b.*?</script\s*>|style\b.*?</style\s*>)"
 BREAK_TAG = r"(?i)<(p|br)\b[^>]*>"
-BARE_AMP = r"&amp([^A-Za-z0-9;])"  # '&amp' without ';' before a non-name character
-ANY_TAG = r"<[^>]*>"
-EDGE_SPACE = r"^\s+|\s+$"
-EDGE_CHARS = " \t\n\r\f\u000b"  # the characters of \s, trimmed from both ends
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"),
-            ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"),
-            ("&amp;", "&")]  # &amp; last so that entities are decoded once
+ANY_TAG = r"</?[A-Za-z!?][^>]*>"  # '<' before anything else is text
+NAMED = r"^([A-Za-z][-.A-Za-z0-9]*);?"
+MARK = "\ufdd0"  # a noncharacter
+EDGE_SPACE = r"(?U)^\s+|\s+$"
+DECIMAL, HEXADECIMAL = r"^#([0-9]{1,7});?", r"^#[xX]([0-9A-Fa-f]{1,6});?"
 URL_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 
 
@@ -31,20 +29,49 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _code_point(n: Column) -> Column:
+    """The character of a numeric reference; 128 to 159 read as cp1252, numbers
+    that are no character give U+FFFD."""
+    legacy = F.create_map(*[F.lit(x) for b in range(128, 160)
+                            for x in (b, bytes([b]).decode("cp1252", "ignore") or chr(b))])
+    bad = n.isNull() | (n <= 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    safe = F.when(bad, F.lit(0xFFFD)).otherwise(n)
+    char = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    return F.when(n.between(128, 159), F.try_element_at(legacy, n.cast("int"))).otherwise(char)
+
+
+def decode_entities(x: Column) -> Column:
+    """Numeric and HTML 4 named references, each decoded once: the text is cut at
+    '&' and every cut decides by itself.  An unknown name stays, without a
+    semicolon behind it, as the tree builder that the reference uses leaves it."""
+    names = F.create_map(*[F.lit(v) for name in sorted(name2codepoint)
+                           for v in (name, chr(name2codepoint[name]))])
+
+    def one(part: Column, i: Column) -> Column:
+        out = F.concat(F.lit("&"), part)
+        name = F.regexp_extract(part, NAMED, 1)
+        out = F.when(name != "", F.concat(F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name)),
+                                          F.regexp_replace(part, NAMED, ""))).otherwise(out)
+        for pattern, base in ((DECIMAL, 10), (HEXADECIMAL, 16)):
+            number = F.conv(F.regexp_extract(part, pattern, 1), base, 10).cast("long")
+            out = F.when(part.rlike(pattern), F.concat(_code_point(number), F.regexp_replace(part, pattern, ""))) \
+                .otherwise(out)
+        return F.when(i == 0, part).otherwise(out)
+    return F.when(x.contains("&"), F.array_join(F.transform(F.split(x, "&", -1), one), "")).otherwise(x)
+
+
 def html_to_text(c) -> Column:
-    """X1, native form: newline before each p/br tag, tags dropped, entities
-    decoded once (also a bare '&amp' before a non-name character, as an HTML
-    tokenizer reads it), ends stripped, inner newlines kept; null/empty -> ''."""
+    """X1, native form: newline before each p/br tag, tags dropped, references
+    decoded once, white space at both ends (also no-break spaces) stripped, inner
+    newlines kept; null/empty -> ''."""
     x = F.coalesce(_c(c), F.lit(""))
-    x = F.regexp_replace(x, HIDDEN_MARKUP, "")
-    x = F.regexp_replace(x, BARE_AMP, "&$1")
+    # markup leaves a mark while references are decoded, so that a reference
+    # without a semicolon ends where a tag begins
+    x = F.regexp_replace(x, HIDDEN_MARKUP, MARK)
     x = F.regexp_replace(x, BREAK_TAG, "\n")
-    x = F.regexp_replace(x, ANY_TAG, "")
-    decoded = x
-    for ent, ch in ENTITIES:
-        decoded = F.replace(decoded, F.lit(ent), F.lit(ch))
-    x = F.when(x.contains("&"), decoded).otherwise(x)
-    return F.trim(x, F.lit(EDGE_CHARS))
+    x = F.regexp_replace(x, ANY_TAG, MARK)
+    x = F.replace(decode_entities(x), F.lit(MARK), F.lit(""))
+    return F.regexp_replace(x, EDGE_SPACE, "")
 
 
 class _TextOnly(HTMLParser):
@@ -82,11 +109,13 @@ class _TextOnly(HTMLParser):
         self.handle_data(chr(cp) if cp is not None else f"&{name}")
 
     def handle_charref(self, name):
-        try:
-            cp = int(name[1:], 16) if name[:1] in ("x", "X") else int(name)
+        cp = int(name[1:], 16) if name[:1] in ("x", "X") else int(name)
+        if 128 <= cp < 160:
+            self.handle_data(bytes([cp]).decode("cp1252", "ignore") or chr(cp))
+        elif cp == 0 or cp > 0x10FFFF or 0xD800 <= cp < 0xE000:
+            self.handle_data("\ufffd")
+        else:
             self.handle_data(chr(cp))
-        except (ValueError, OverflowError):
-            self.handle_data(f"&#{name};")
 
 
 def _strip_one(s):
@@ -104,14 +133,6 @@ def html_to_text_exact(s: pd.Series) -> pd.Series:
     return s.map(_strip_one)
 
 
-def unescape_entities(c) -> Column:
-    """Only the fixed entity table; for arbitrary entities use the exact form."""
-    x = _c(c)
-    for ent, ch in ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return x
-
-
 def url_domain(c) -> Column:
     """Authority part as written (case, port, user kept), one leading
     ``www.`` removed; scheme-less, bad or null URL -> ''."""

@@ -56,21 +56,8 @@ def running_total(df: DataFrame, group_cols: list[str], order_cols: list,
                        *[f"_g{i}" for i in range(len(group_cols))])
 
 
-# largest group a single task ranks with a plain window (rows)
-MAX_GROUP_ROWS = 5_000_000
-
-
-def row_number(df: DataFrame, group_cols: list[str], order_cols: list,
-               out: str = "rank", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Exact row_number per group; order keys must be unique within a group
-    (add the row key as the last tie-break).
-
-    One cheap aggregate (map-side combined) finds the largest group.  If every
-    group fits a task, a plain window ranks them in one shuffle; otherwise the
-    range-partitioned running count spreads the hot groups over many tasks."""
-    if group_cols:
-        biggest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-        if biggest <= max_group_rows:
-            w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-            return df.withColumn(out, F.row_number().over(w).cast("long"))
+def row_number(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "rank") -> DataFrame:
+    """Exact row_number per group; order keys must be unique within a group (add
+    the row key as the last tie-break).  The running count over range partitions
+    spreads a hot group over many tasks, whatever the sizes."""
     return running_total(df, group_cols, order_cols, None, out)

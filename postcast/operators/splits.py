@@ -33,20 +33,15 @@ def hash_key(id_col: str, salt: str) -> Column:
 
 def exact_share(df: DataFrame, id_col: str, rows: int, salt: str) -> Column:
     """True for exactly ``rows`` rows of ``df``: those with the smallest
-    md5('<id>:<salt>') (ties by id).  The selection runs threshold-first (no
-    global sort of all rows) and only the last chosen (key, id) comes back to
-    the driver; the flag is then a plain comparison, so no join is needed."""
-    from postcast.operators.topn import seeded_take
+    md5('<id>:<salt>') (ties by id).  The last admitted (key, id) is found by
+    counting key digits (``topn.thresholds``); the flag is then a comparison with
+    it, without a sort, a join or a window."""
+    from postcast.operators.topn import admitted, thresholds
     if rows <= 0:
         return F.lit(False)
-    chosen = seeded_take(df.select(id_col), id_col, 0, rows, key=hash_key(id_col, salt),
-                         rank_col="_r")
-    last = chosen.select(F.max(F.struct(hash_key(id_col, salt).alias("h"),
-                                        F.col(id_col).alias("i")))).first()[0]
-    if last is None:
-        return F.lit(False)
     k = hash_key(id_col, salt)
-    return (k < F.lit(last["h"])) | ((k == F.lit(last["h"])) & (F.col(id_col) <= F.lit(last["i"])))
+    last = thresholds(df.select(F.lit(0).alias("_g"), k.alias("_h"), F.col(id_col).alias("_i")), {0: rows})
+    return admitted(k, F.col(id_col), last.get(0))
 
 
 def hash_split(df: DataFrame, id_col: str, test_fraction: float = TEST_FRACTION,

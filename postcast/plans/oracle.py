@@ -7,11 +7,11 @@ CTES = {
  SELECT d.doc_id AS id, CAST(1 AS TINYINT) AS type,
    concat(CASE d.doc_id % 10 WHEN 0 THEN 'Show HN: ' WHEN 1 THEN 'Ask HN: '
           WHEN 2 THEN 'Tell HN: ' WHEN 3 THEN 'Launch HN: ' ELSE '' END,
-          substr(replace(d.text, chr(10), ' '), 1, 60),
+          replace(d.text, chr(10), ' '),
           CASE WHEN d.doc_id % 10 = 1 THEN '?' ELSE '' END) AS title,
    p.url AS url, p.html AS text, CAST(floor(e.value) AS INT) AS score,
    CAST(CASE WHEN n.n IS NULL THEN 0 ELSE n.n END AS BIGINT) AS descendants,
-   concat('u', CAST(e.user_id AS VARCHAR)) AS author, e.ts AS time,
+   concat('u', CAST(e.user_id AS VARCHAR)) AS "by", e.ts AS time,
    CASE WHEN lb.toxic = 1 THEN 1 ELSE 0 END AS dead,
    CASE WHEN lb.quality = 0 THEN 1 ELSE 0 END AS deleted
  FROM documents d JOIN events e ON e.event_id = d.doc_id
@@ -19,7 +19,7 @@ CTES = {
  LEFT JOIN (SELECT conv_id, count(*) n FROM conversations GROUP BY conv_id) n ON n.conv_id = d.doc_id
  LEFT JOIN labels lb ON lb.doc_id = d.doc_id)""",
     "comments": """comments AS (SELECT conv_id*1000+turn AS id, conv_id AS parent, text,
-   role AS author, 2 AS type FROM conversations)""",
+   role AS "by", 2 AS type FROM conversations)""",
     "live": """live AS (SELECT * FROM stories WHERE type = 1 AND dead = 0 AND deleted = 0
    AND title IS NOT NULL AND title <> '')""",
     "clean": """clean AS (SELECT *, {html} AS clean_text, {domain} AS domain FROM live)""",
@@ -55,12 +55,12 @@ def html_sql(c: str) -> str:
          f"|style\\b.*?</style\\s*>)', '', 'g')")
     x = f"regexp_replace({x}, '&amp([^A-Za-z0-9;])', '&\\1', 'g')"
     x = f"regexp_replace({x}, '(?i)<(p|br)\\b[^>]*>', chr(10), 'g')"
-    x = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    x = f"regexp_replace({x}, '</?[A-Za-z!?][^>]*>', '', 'g')"
     for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"),
                     ("&#39;", "''"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"),
                     ("&amp;", "&")]:
         x = f"replace({x}, '{ent}', '{ch}')"
-    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
+    return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))"
 
 
 def domain_sql(c: str) -> str:
@@ -131,7 +131,7 @@ def with_ctes(body: str, *needed: str) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
 
 
-SCAN_COLS = """id, title, url, text, score, descendants, author,
+SCAN_COLS = """id, title, url, text, score, descendants, "by",
   strftime(time, '%Y-%m-%d %H:%M:%S') AS time, dead, deleted"""
 
 ORACLE_SQL: dict[str, str] = {}
@@ -149,11 +149,11 @@ SELECT {SCAN_COLS} FROM live WHERE score >= 10 AND time >= TIMESTAMP '2024-01-02
 ORDER BY md5(CAST(id + 7 AS VARCHAR)), id LIMIT 200""", "live")
 
 ORACLE_SQL["comments_for_stories"] = with_ctes("""
-SELECT id, parent, author, text FROM comments
+SELECT id, parent, "by", text FROM comments
 WHERE type = 2 AND parent IN (SELECT id FROM live WHERE score >= 100)""", "live", "comments")
 
 ORACLE_SQL["comments_limited"] = with_ctes("""
-SELECT id, parent, author, text FROM comments
+SELECT id, parent, "by", text FROM comments
 WHERE type = 2 AND parent IN (SELECT id FROM live WHERE score >= 100)
 QUALIFY row_number() OVER (PARTITION BY parent ORDER BY id) <= 3""", "live", "comments")
 
@@ -172,7 +172,10 @@ ORACLE_SQL["seeded_sample"] = """
 SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events
 ORDER BY md5(CAST(event_id + 42 AS VARCHAR)), event_id LIMIT 500"""
 
-ORACLE_SQL["clean_html"] = f"SELECT page_id, {html_sql('html')} AS clean_text FROM pages"
+ORACLE_SQL["clean_html"] = f"""
+SELECT page_id, {html_sql("html || '<p>'")} || chr(10) || 'https://x.y — if x < 5 and y > 3 end' AS clean_text
+FROM pages WHERE html IS NOT NULL
+UNION ALL SELECT page_id, '' FROM pages WHERE html IS NULL"""
 
 ORACLE_SQL["clean_comments"] = with_ctes(f"""
 SELECT id, parent, clean_text FROM (SELECT id, parent, {html_sql('text')} AS clean_text FROM comments)
@@ -282,12 +285,12 @@ SELECT query_id, neighbour_id, round(distance, 6) AS distance, rank FROM hits"""
 
 ORACLE_SQL["knn_context"] = with_ctes("""
 SELECT h.query_id, h.neighbour_id, h.rank AS neighbour_rank, c.id AS comment_id,
-  row_number() OVER (PARTITION BY h.query_id, h.neighbour_id ORDER BY c.id) AS comment_rank, c.author
+  row_number() OVER (PARTITION BY h.query_id, h.neighbour_id ORDER BY c.id) AS comment_rank, c."by"
 FROM hits h JOIN comments c ON c.parent = h.neighbour_id WHERE h.rank <= 3
 QUALIFY comment_rank <= 10""", "hits", "comments")
 
 ORACLE_SQL["comment_lookup"] = with_ctes("""
-SELECT id, parent, author, row_number() OVER (PARTITION BY parent ORDER BY id) AS rank
+SELECT id, parent, "by", row_number() OVER (PARTITION BY parent ORDER BY id) AS rank
 FROM comments QUALIFY rank <= 20""", "comments")
 
 ORACLE_SQL["prompt_table"] = with_ctes(f"""
@@ -298,10 +301,11 @@ sims AS (SELECT h.query_id, string_agg('- "' || coalesce(s.title, '') || '" (sco
     CAST(coalesce(s.score, 0) AS VARCHAR) || ', comments: ' || CAST(coalesce(s.descendants, 0) AS VARCHAR) || ')',
     chr(10) ORDER BY h.rank) AS lines
   FROM hits h LEFT JOIN stories s ON s.id = h.neighbour_id GROUP BY h.query_id),
-ctx AS (SELECT h.query_id, h.rank AS nr, c.id AS cid, c.author, c.text,
+cc AS (SELECT id, parent, "by", {html_sql('text')} AS clean_text FROM comments),
+ctx AS (SELECT h.query_id, h.rank AS nr, c.id AS cid, c."by", c.clean_text,
     row_number() OVER (PARTITION BY h.query_id, h.neighbour_id ORDER BY c.id) AS cr
-  FROM hits h JOIN comments c ON c.parent = h.neighbour_id WHERE h.rank <= 3 QUALIFY cr <= 10),
-cl AS (SELECT query_id, string_agg('- ' || coalesce(author, 'unknown') || ': ' || coalesce(text, ''),
+  FROM hits h JOIN cc c ON c.parent = h.neighbour_id WHERE h.rank <= 3 AND c.clean_text <> '' QUALIFY cr <= 10),
+cl AS (SELECT query_id, string_agg('- ' || coalesce("by", 'unknown') || ': ' || coalesce(clean_text, ''),
     chr(10) ORDER BY nr, cr) AS lines FROM ctx GROUP BY query_id)
 SELECT p.query_id, concat_ws(chr(10) || chr(10),
   '## Pitch' || chr(10) || '**Title:** ' || coalesce(p.title, '') || chr(10) || '**Description:** ' || p.description,
@@ -384,12 +388,10 @@ SELECT user_id, event_id, round(value, 6) AS value, rank FROM ranked""", "ranked
 
 _Q1 = "'''' || event_type || ''' is predicted to perform best (score: '"
 ORACLE_SQL["variant_summary"] = with_ctes(f"""
-SELECT b.user_id, b.explanation, s.summary FROM
- (SELECT user_id, {_Q1} || {fixed_sql('value', 1)}
-    || ', label: ' || label || ').' AS explanation FROM ranked WHERE rank = 1) b
- JOIN (SELECT user_id, string_agg(CAST(rank AS VARCHAR) || '. "' || event_type || '" — score: ' ||
-    {fixed_sql('value', 1)} || ', label: ' || label, chr(10) ORDER BY rank) AS summary
-    FROM ranked WHERE rank <= 10 GROUP BY user_id) s ON s.user_id = b.user_id""", "ranked")
+SELECT user_id, rank,
+  CAST(rank AS VARCHAR) || '. "' || event_type || '" — score: ' || {fixed_sql('value', 1)} || ', label: ' || label AS line,
+  CASE WHEN rank = 1 THEN {_Q1} || {fixed_sql('value', 1)} || ', label: ' || label || ').' END AS explanation
+FROM ranked""", "ranked")
 
 ORACLE_SQL["suggestion_rank"] = with_ctes("""
 , sugg AS (SELECT e.* FROM events e WHERE e.event_id NOT IN (SELECT event_id FROM orig)
@@ -400,25 +402,30 @@ SELECT user_id, event_id, round(value, 6) AS value, CAST(is_original AS BIGINT)
   row_number() OVER (PARTITION BY user_id ORDER BY value DESC, is_original DESC, event_id) AS rank
 FROM both_""", "orig").replace("\n, sugg", ",\nsugg", 1)
 
-ORACLE_SQL["optimise_trace"] = with_ctes("""
-, o AS (SELECT user_id AS pitch, event_type AS title0, value AS s0 FROM orig),
-v5 AS (SELECT user_id AS pitch, event_id % 5 + 1 AS rnd, event_type AS title, value AS score FROM events
-   WHERE event_id NOT IN (SELECT event_id FROM orig) AND event_id % 5 + 1 <= 5),
-f AS (SELECT pitch, title, min(rnd) AS fr FROM v5 GROUP BY ALL),
-u AS (SELECT v5.* FROM v5 JOIN f ON f.pitch = v5.pitch AND f.title = v5.title JOIN o ON o.pitch = v5.pitch
-   WHERE v5.rnd = f.fr AND v5.title <> o.title0),
-best AS (SELECT pitch, rnd, max(score) AS best FROM u GROUP BY ALL),
-sp AS (SELECT DISTINCT pitch, rnd FROM v5),
-s1 AS (SELECT sp.pitch, sp.rnd, best.best, o.s0 FROM sp LEFT JOIN best ON best.pitch = sp.pitch AND best.rnd = sp.rnd
-   JOIN o ON o.pitch = sp.pitch),
-s2 AS (SELECT *, greatest(s0, coalesce(max(best) OVER (PARTITION BY pitch ORDER BY rnd
-   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s0)) AS prev FROM s1),
-s3 AS (SELECT *, (best IS NOT NULL AND best > prev AND best - prev >= 2.0) AS ok FROM s2),
-s4 AS (SELECT *, min(CASE WHEN NOT ok THEN rnd END) OVER (PARTITION BY pitch) AS stop FROM s3)
-SELECT pitch AS user_id, count(*) AS rounds_run,
-  round(coalesce(max(CASE WHEN ok AND (stop IS NULL OR rnd < stop) THEN best END), max(s0)), 6) AS best_score,
-  round(coalesce(max(CASE WHEN ok AND (stop IS NULL OR rnd < stop) THEN best END) - max(s0), 0.0), 6) AS total_gain
-FROM s4 WHERE stop IS NULL OR rnd <= stop GROUP BY pitch""", "orig").replace("\n, o AS", ",\no AS", 1)
+ORACLE_SQL["optimise_trace"] = """
+WITH RECURSIVE orig AS (SELECT e.* FROM events e JOIN
+   (SELECT user_id AS u, min(event_id) AS m FROM events GROUP BY user_id) f ON e.user_id = f.u AND e.event_id = f.m),
+o AS (SELECT user_id AS pitch, event_type AS title0, value AS s0 FROM orig),
+v AS (SELECT user_id AS pitch, event_id % 5 + 1 AS rnd, event_type || ' ' || CAST(event_id % 3 AS VARCHAR) AS title,
+        value AS score FROM events
+      WHERE event_id NOT IN (SELECT event_id FROM orig) AND user_id % 10 <> 0 AND event_id % 5 + 1 <> user_id % 8),
+seen AS (SELECT pitch, title, min(rnd) AS rnd FROM v GROUP BY pitch, title),
+fresh AS (SELECT v.pitch, v.rnd, v.title, v.score,
+    row_number() OVER (PARTITION BY v.pitch, v.rnd ORDER BY v.score DESC, v.title) AS nth
+  FROM v JOIN seen s ON s.pitch = v.pitch AND s.title = v.title AND s.rnd = v.rnd
+  JOIN o ON o.pitch = v.pitch WHERE v.title <> o.title0),
+loop(pitch, n, best, title, stopped) AS (
+  SELECT pitch, 0, s0, title0, false FROM o
+  UNION ALL
+  SELECT l.pitch, l.n + 1,
+    CASE WHEN f.score > l.best AND f.score - l.best >= 2.0 THEN f.score ELSE l.best END,
+    CASE WHEN f.score > l.best AND f.score - l.best >= 2.0 THEN f.title ELSE l.title END,
+    NOT coalesce(f.score > l.best AND f.score - l.best >= 2.0, false)
+  FROM loop l LEFT JOIN fresh f ON f.pitch = l.pitch AND f.rnd = l.n + 1 AND f.nth = 1
+  WHERE NOT l.stopped AND l.n < 5)
+SELECT l.pitch AS user_id, CAST(max(n) AS BIGINT) AS rounds_run, arg_max(title, n) AS best_title,
+  round(arg_max(best, n), 6) AS best_score, round(arg_max(best, n) - max(s0), 6) AS total_gain
+FROM loop l JOIN o ON o.pitch = l.pitch GROUP BY l.pitch"""
 
 ORACLE_SQL["tried_titles"] = """
 SELECT user_id, array_to_string(list_transform(list_sort(list_distinct(
@@ -451,7 +458,7 @@ SELECT id, coalesce(title, '') AS title, domain,
 FROM clean""", "clean")
 
 
-def _parse_sql(item: str, partial: str, keys: list[str], required: list[str]) -> str:
+def _parse_sql(item: str, partial: str, keys: list[str], required: list[str], fence: bool = True) -> str:
     js = f"'[' || CAST(to_json({item}) AS VARCHAR) || ',' || CAST(to_json({partial}) AS VARCHAR) || ']'"
     text = (f"CASE turn % 4 WHEN 0 THEN {js} "
             f"WHEN 1 THEN 'Here you go:' || chr(10) || '```json' || chr(10) || {js} || chr(10) || '```' || chr(10) || 'Enjoy.' "
@@ -463,7 +470,7 @@ def _parse_sql(item: str, partial: str, keys: list[str], required: list[str]) ->
 WITH resp AS (SELECT conv_id, turn, {text} AS response FROM conversations),
 src0 AS (SELECT conv_id, turn,
     CASE WHEN json_valid(response) THEN response END AS pj,
-    CASE WHEN NOT json_valid(response) AND json_valid({fenced}) THEN {fenced} END AS fj
+    CASE WHEN {str(fence).lower()} AND NOT json_valid(response) AND json_valid({fenced}) THEN {fenced} END AS fj
   FROM resp),
 src AS (SELECT conv_id, turn, CASE WHEN pj IS NOT NULL THEN CASE WHEN json_type(pj) = 'ARRAY' THEN pj END
     ELSE CASE WHEN json_type(fj) = 'ARRAY' THEN fj END END AS arr FROM src0),
@@ -476,7 +483,7 @@ FROM items WHERE json_type(item) = 'OBJECT' AND {has}"""
 ORACLE_SQL["parse_responses"] = _parse_sql("{'username': role, 'comment': text, 'tone': 'neutral'}",
                                            "{'username': role}", ["username", "comment"], ["username", "comment"])
 ORACLE_SQL["parse_suggestions"] = _parse_sql("{'title': text, 'description': role}",
-                                             "{'description': role}", ["title", "description"], ["title"])
+                                             "{'description': role}", ["title", "description"], ["title"], fence=False)
 
 ORACLE_SQL["stream_domain_stats"] = with_ctes("""
 SELECT domain, count(score) AS post_count,

@@ -53,7 +53,7 @@ def domain_reputation(spark: SparkSession, sf: str) -> DataFrame:
 # ---- scans, filters, sampling ---------------------------------------------
 
 def _scan_cols(df):
-    return df.select("id", "title", "url", "text", "score", "descendants", "author",
+    return df.select("id", "title", "url", "text", "score", "descendants", "by",
                      time_text("time").alias("time"), "dead", "deleted")
 
 
@@ -82,13 +82,13 @@ def _popular_ids(spark, sf):
 @query("comments_for_stories")
 def comments_for_stories_q(spark, sf):
     c = comments_for_stories(comments(spark, sf), _popular_ids(spark, sf))
-    return c.select("id", "parent", "author", "text")
+    return c.select("id", "parent", "by", "text")
 
 
 @query("comments_limited")
 def comments_limited(spark, sf):
     c = comments_for_stories(comments(spark, sf), _popular_ids(spark, sf), limit_per_story=3)
-    return c.select("id", "parent", "author", "text")
+    return c.select("id", "parent", "by", "text")
 
 
 @query("stratified_sample")
@@ -109,8 +109,10 @@ def seeded_sample(spark, sf):
 
 @query("clean_html")
 def clean_html(spark, sf):
+    # every page with a paragraph of references and bare angle brackets behind it
     p = read_table(spark, sf, "pages")
-    return p.select("page_id", html_to_text("html").alias("clean_text"))
+    tail = F.lit("<p>https:&#x2F;&#47;x.y &mdash; if x < 5 and y > 3 end&nbsp;")
+    return p.select("page_id", html_to_text(F.concat("html", tail)).alias("clean_text"))
 
 
 @query("clean_comments")
@@ -251,7 +253,7 @@ def knn_topk(spark, sf):
 def knn_context(spark, sf):
     ctx = K.context_comments(_knn_hits(spark, sf), comments(spark, sf))
     return ctx.select("query_id", "neighbour_id", F.col("neighbour_rank").cast("long"),
-                      "comment_id", F.col("comment_rank").cast("long"), "author")
+                      "comment_id", F.col("comment_rank").cast("long"), "by")
 
 
 @query("comment_lookup")
@@ -259,7 +261,7 @@ def comment_lookup(spark, sf):
     from postcast.sources.items import per_group_limit
     c = comments(spark, sf)
     r = per_group_limit(c, ["parent"], [F.col("id")], 20, rank_col="rank")
-    return r.select("id", "parent", "author", F.col("rank").cast("long"))
+    return r.select("id", "parent", "by", F.col("rank").cast("long"))
 
 
 @query("prompt_table")
@@ -275,7 +277,8 @@ def prompt_table_q(spark, sf):
     hits = _knn_hits(spark, sf)
     sims = hits.join(st, hits.neighbour_id == st.id, "left").select(
         "query_id", "rank", "title", "score", "descendants")
-    ctx = K.context_comments(hits, comments(spark, sf))
+    # the comment index: cleaned, without comments that are empty after cleaning
+    ctx = K.context_comments(hits, clean_comments(comments(spark, sf)))
     return prompt_table(pitches, sims, ctx)
 
 
@@ -385,8 +388,9 @@ def variant_rank_q(spark, sf):
 def variant_summary_q(spark, sf):
     r = R.rank_variants(_variants(spark, sf), "user_id", "event_id", "value")
     ex = R.best_explanation(r, "user_id", "event_type", "value", "label")
-    sm = R.ranked_summary(r, "user_id", "event_type", "value", "label", top=10)
-    return ex.join(sm, "user_id")
+    lines = R.ranked_lines(r, "user_id", "event_type", "value", "label")
+    return lines.join(ex, "user_id").select("user_id", "rank", "line", F.when(F.col("rank") == 1, F.col("explanation"))
+                                            .alias("explanation"))
 
 
 def _originals(v):
@@ -410,9 +414,12 @@ def optimise_trace_q(spark, sf):
     orig = _originals(v)
     o = orig.select(F.col("user_id").alias("pitch"), F.col("event_type").alias("title0"),
                     F.col("value").alias("s0"))
+    # some pitches get no suggestion, and each of the others misses one round or none
     sugg = (v.join(orig.select("event_id"), "event_id", "left_anti")
             .select(F.col("user_id").alias("pitch"), (F.col("event_id") % 5 + 1).alias("rnd"),
-                    F.col("event_type").alias("title"), F.col("value").alias("score")))
+                    F.concat("event_type", F.lit(" "), (F.col("event_id") % 3).cast("string")).alias("title"),
+                    F.col("value").alias("score"))
+            .filter((F.col("pitch") % 10 != 0) & (F.col("rnd") != F.col("pitch") % 8)))
     t = R.optimise_trace(sugg, o)
     return rounded(t.withColumnRenamed("pitch", "user_id"))
 

@@ -10,16 +10,16 @@ ITEM = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("score", T.IntegerType()),
     T.StructField("descendants", T.IntegerType()),
-    T.StructField("author", T.StringType()),
+    T.StructField("by", T.StringType()),
     T.StructField("time", T.TimestampType()),
     T.StructField("dead", T.ShortType()),
     T.StructField("deleted", T.ShortType()),
     T.StructField("kids", T.ArrayType(T.LongType())),
 ])
 
-STORY_COLUMNS = ["id", "title", "url", "text", "score", "descendants", "author",
+STORY_COLUMNS = ["id", "title", "url", "text", "score", "descendants", "by",
                  "time", "dead", "deleted"]
-COMMENT_COLUMNS = ["id", "parent", "text", "author", "time", "dead", "deleted"]
+COMMENT_COLUMNS = ["id", "parent", "text", "by", "time", "dead", "deleted"]
 
 STORY_INDEX = T.StructType([
     T.StructField("id", T.LongType()),
@@ -37,7 +37,7 @@ COMMENT_INDEX = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("parent", T.LongType()),
     T.StructField("clean_text", T.StringType()),
-    T.StructField("author", T.StringType()),
+    T.StructField("by", T.StringType()),
 ])
 
 STRUCTURAL_FEATURES = [

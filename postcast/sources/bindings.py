@@ -4,7 +4,7 @@ The driver tables are not forum posts, so ``stories`` and ``comments`` are
 derived from them by a fixed rule (the same rule is written in SQL for the
 DuckDB oracle, see ``postcast.plans.oracle``):
 
-* a story per document that has an event: the event gives score, author and
+* a story per document that has an event: the event gives score, author (column ``by``) and
   time, the page with the same id gives url and HTML text, the conversation
   with the same id gives the comment count, and the document's labels give
   the moderation flags (toxic -> dead, low quality -> deleted);
@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from postcast.sources.tables import read_table
 
-# fixed values of the binding rule: title prefix by doc_id % 10, title length
+# fixed values of the binding rule: title prefix by doc_id % 10
 TITLE_PREFIXES = {0: "Show HN: ", 1: "Ask HN: ", 2: "Tell HN: ", 3: "Launch HN: "}
-TITLE_CHARS = 60
 
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix = F.lit("")
     for key in sorted(TITLE_PREFIXES, reverse=True):
         prefix = F.when(k == key, F.lit(TITLE_PREFIXES[key])).otherwise(prefix)
-    body = F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, TITLE_CHARS)
+    body = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     # concat_ws('') skips nulls, like SQL concat of the oracle engine
     title = F.concat_ws("", prefix, body, F.when(k == 1, F.lit("?")).otherwise(F.lit("")))
 
@@ -53,7 +52,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("html").alias("text"),
         F.floor("value").cast("int").alias("score"),
         F.coalesce(F.col("n_turns"), F.lit(0)).cast("long").alias("descendants"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("author"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("by"),
         F.col("ts").alias("time"),
         F.when(F.col("toxic") == 1, 1).otherwise(0).alias("dead"),
         F.when(F.col("quality") == 0, 1).otherwise(0).alias("deleted"),
@@ -66,8 +65,11 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.col("conv_id").alias("parent"),
         F.col("text"),
-        F.col("role").alias("author"),
+        F.col("role").alias("by"),
         F.lit(2).alias("type"),
+        F.lit(None).cast("timestamp").alias("time"),
+        F.lit(0).alias("dead"),
+        F.lit(0).alias("deleted"),
     )
 
 

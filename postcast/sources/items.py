@@ -5,12 +5,10 @@ reach the parquet scan (PushedFilters); projections are explicit.
 """
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postcast.schema import COMMENT_INDEX, STORY_COLUMNS
+from postcast.schema import COMMENT_COLUMNS, COMMENT_INDEX, STORY_COLUMNS
 
 
 def live_stories(items: DataFrame) -> DataFrame:
@@ -54,13 +52,13 @@ def story_scan(items: DataFrame, limit: int | None, min_score: int = 0,
     if min_date is not None:
         df = df.filter(F.col("time") >= F.to_timestamp(F.lit(min_date)))
         df = with_day_pruning(df, min_date)
-    df = df.select(*(columns or [c for c in STORY_COLUMNS if c in items.columns]))
+    df = df.select(*(columns or STORY_COLUMNS))
     if limit is None:
         order = seeded_order("id", seed) if seed is not None else [F.col("score").desc(), F.col("id")]
         return df.orderBy(*order)
     from postcast.operators.topn import seeded_take, top_n
     if seed is not None:
-        return (seeded_take(df, "id", seed, limit, rank_col="_r").orderBy("_r").drop("_r"))
+        return seeded_take(df, "id", seed, limit, rank_col=None).orderBy(*seeded_order("id", seed))
     return top_n(df, limit, "score", descending=True, tie=["id"])
 
 
@@ -74,7 +72,7 @@ def comments_for_stories(comments: DataFrame, story_ids: DataFrame,
     c = live_comments(comments).join(ids, F.col("parent") == F.col("_sid"), "left_semi")
     if limit_per_story is not None:
         c = per_group_limit(c, ["parent"], [F.col("id")], limit_per_story)
-    return c
+    return c.select(*COMMENT_COLUMNS)
 
 
 def per_group_limit(df: DataFrame, group_cols: list[str], order_cols: list, n: int,
@@ -144,14 +142,10 @@ def write_story_index(clean_stories: DataFrame, embeddings: DataFrame, path: str
 
 
 def write_comment_index(clean_comments: DataFrame, path: str) -> None:
-    """Id, parent, clean_text, author; range-partitioned and sorted by
+    """Id, parent, clean_text, by; range-partitioned and sorted by
     parent so that parent lookups prune row groups by min/max statistics."""
     cols = [F.col(f.name).cast(f.dataType) for f in COMMENT_INDEX.fields]
     n = int(clean_comments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     idx = (clean_comments.select(*cols)
            .repartitionByRange(n, "parent", "id").sortWithinPartitions("parent", "id"))
     write_table(idx, path)
-
-
-def path_join(*parts: str) -> str:
-    return os.path.join(*parts)

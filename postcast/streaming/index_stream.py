@@ -43,7 +43,7 @@ def start_index_stream(spark: SparkSession, landing_dir: str, out_dir: str,
     items = spark.readStream.schema(ITEM).parquet(landing_dir)
     stories = clean_stories(live_stories(items))
     comments = clean_comments(live_comments(items)).select(
-        F.col("id").cast("long"), F.col("parent").cast("long"), "clean_text", "author")
+        F.col("id").cast("long"), F.col("parent").cast("long"), "clean_text", "by")
 
     def append_stories(batch: DataFrame, batch_id: int) -> None:
         # idempotent: a micro-batch replayed after a failure overwrites its own

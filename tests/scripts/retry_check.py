@@ -42,11 +42,10 @@ checks = {
     "hash_split": lambda e: SP.hash_split(e.select("event_id"), "event_id"),
     "seeded_sample": lambda e: seeded_sample(e.select("event_id"), 50, id_col="event_id"),
     "variant_rank_skew_path": lambda e: R.rank_variants(e.select("event_id", "user_id", "value"),
-                                                        "user_id", "event_id", "value",
-                                                        max_group_rows=0),
+                                                        "user_id", "event_id", "value"),
     "stratified_threshold_path": lambda e: seeded_take(
         e.select("event_id", (F.col("event_id") % 4).alias("g")), "event_id", 42,
-        {0: 20, 1: 20, 2: 10, 3: 5}, group="g", direct_below=0),
+        {0: 20, 1: 20, 2: 10, 3: 5}, group="g"),
 }
 ok = True
 for name, fn in checks.items():

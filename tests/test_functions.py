@@ -20,6 +20,11 @@ def one(spark, expr, value, typ="string"):
     ("&amp;lt;", "&lt;"),
     ("<p>a</p><p>b</p>", "a\nb"),
     ("<script>x()</script>text<!-- c -->", "text"),
+    ("https:&#x2F;&#47;x.y &mdash; if x < 5 and y > 3 end&nbsp;", "https://x.y \u2014 if x < 5 and y > 3 end"),
+    ("&copy 2024 &eacute;t&eacute; &#8212;&#150;", "\u00a9 2024 \u00e9t\u00e9 \u2014\u2013"),
+    ("&unknown; AT&T & &#0;&#x110000;&#xD800;", "&unknown AT&T & \ufffd\ufffd\ufffd"),
+    ("&&amp;&#39;&amp;#39;", "&&'&#39;"),
+    ("\u00a0 padded \u2003", "padded"),
     (None, ""), ("", ""),
 ])
 def test_html_to_text_native(spark, src, expected):

@@ -33,13 +33,31 @@ def test_partition_filter_prunes_days(spark, q):
     assert "PartitionFilters: [isnotnull(day" in p and "2024-01-10" in p
 
 
-@pytest.mark.parametrize("key", ["comments_limited", "stratified_sample", "comment_lookup"])
+@pytest.mark.parametrize("key", ["comments_limited", "comment_lookup"])
 def test_top_k_per_group_uses_window_group_limit(spark, q, key):
     df = q[key](spark, SF)
     df.write.format("noop").mode("overwrite").save()
     assert "WindowGroupLimit" in plan(df)
 
 
+@pytest.mark.parametrize("key", ["hash_split", "fallback_split", "validation_tail", "seeded_sample",
+                                 "stratified_sample"])
+def test_samples_and_splits_meet_in_no_single_task(spark, q, key):
+    df = q[key](spark, SF)
+    df.write.format("noop").mode("overwrite").save()
+    assert "SinglePartition" not in plan(df)
+
+
+@pytest.mark.parametrize("quota", [400, 30_000])
+def test_large_quotas_neither(spark, quota):
+    from postcast.operators.sampling import stratified_sample
+    rows = spark.range(50_000).selectExpr("id", "cast(1 as int) type", "concat('t', id) title",
+                                          "cast(id % 150 as int) score", "timestamp'2024-01-01' time",
+                                          "0 dead", "0 deleted")
+    df = stratified_sample(rows, quota)
+    assert "SinglePartition" not in plan(df) and df.count() > 0.5 * quota
+
+
 @pytest.mark.parametrize("key", ["domain_reputation", "time_stats", "score_cdf", "title_features",
                                  "reception_soft", "structural_features"])
 def test_no_python_udf_in_the_hot_path(spark, q, key):

@@ -11,42 +11,52 @@ from postcast.sources.items import (comments_for_stories, comments_of, live_stor
 
 
 def test_live_filter_and_scan(stories_df):
-    assert live_stories(stories_df).count() == 4  # empty title dropped
+    assert {r["id"] for r in live_stories(stories_df).collect()} == {11, 12, 13, 14, 17}  # no empty title, not dead
     top = story_scan(stories_df, limit=2)
-    assert [r["id"] for r in top.collect()] == [3, 1]
-    assert story_scan(stories_df, None, min_score=100).count() == 2
-    assert story_scan(stories_df, None, min_date="2023-01-01").count() == 2
+    assert [r["id"] for r in top.collect()] == [11, 14]
+    assert story_scan(stories_df, None, min_score=90).count() == 3
+    assert story_scan(stories_df, None, min_date="2023-02-14 05:00:00").count() == 3
+    assert top.columns == ["id", "title", "url", "text", "score", "descendants", "by", "time", "dead", "deleted"]
+
+
+def test_missing_column_is_an_error(stories_df):
+    with pytest.raises(Exception, match="by"):
+        story_scan(stories_df.drop("by"), limit=2)
 
 
 def test_comments_by_parent(spark, stories_df, comments_df):
     c = comments_for_stories(comments_df, stories_df.select("id"))
+    assert c.columns == ["id", "parent", "text", "by", "time", "dead", "deleted"]
     counts = {r["parent"]: r["count"] for r in c.groupBy("parent").count().collect()}
-    assert counts == {1: 2, 2: 1, 3: 1}
+    assert counts == {13: 3, 11: 1, 14: 1}
     assert comments_for_stories(comments_df, stories_df.select("id"), limit_per_story=1).count() == 3
+    none = comments_for_stories(comments_df, stories_df.select("id").limit(0))
+    assert none.count() == 0 and none.columns == c.columns
     path = scratch_path(spark, "test_comment_index")
     write_comment_index(clean_comments(comments_df), path)
     idx = read_or_empty(spark, path, COMMENT_INDEX)
-    assert comments_of(idx, 1).count() == 2
-    assert comments_of(idx, 2).count() == 1
+    assert comments_of(idx, 13).count() == 3
+    assert comments_of(idx, 11).count() == 1
     assert comments_of(idx, 99999).count() == 0
     missing = read_or_empty(spark, scratch_path(spark, "does_not_exist"), COMMENT_INDEX)
-    assert missing.count() == 0 and missing.columns == ["id", "parent", "clean_text", "author"]
+    assert missing.count() == 0 and missing.columns == ["id", "parent", "clean_text", "by"]
     with pytest.raises(FileNotFoundError):
         read_required(spark, scratch_path(spark, "no_story_index"))
 
 
 def test_clean_stories(stories_df):
     r = {x["id"]: x for x in clean_stories(stories_df).collect()}
-    assert r[1]["domain"] == "github.com" and r[1]["post_type"] == "show_hn"
-    assert r[3]["clean_text"].startswith("I'm curious")
-    assert r[5]["clean_text"] == "Some HTML content & entities"
-    assert clean_stories(stories_df, min_score=50).count() == 3
+    assert r[11]["domain"] == "github.com" and r[11]["post_type"] == "show_hn"
+    assert r[11]["clean_text"] == "Charts & tables for 300 harbours"
+    assert r[13]["clean_text"] == "Mine is the Peirce quincuncial \u2014 it's odd." and r[13]["domain"] == ""
+    assert r[12]["clean_text"] == "" and r[17]["clean_text"] == "a\nb"
+    assert clean_stories(stories_df, min_score=90).count() == 3
 
 
 def test_seeded_sample_deterministic(spark):
     df = spark.range(1000).withColumnRenamed("id", "id")
-    a = [r["id"] for r in seeded_sample(df, 20, seed=42).collect()]
-    b = [r["id"] for r in seeded_sample(df.repartition(7), 20, seed=42).collect()]
+    a = sorted(r["id"] for r in seeded_sample(df, 20, seed=42).collect())
+    b = sorted(r["id"] for r in seeded_sample(df.repartition(7), 20, seed=42).collect())
     assert a == b and len(set(a)) == 20
 
 
@@ -61,21 +71,30 @@ def test_stratified_quotas(spark):
     assert sorted((r["stratum"], r["count"]) for r in s) == [(0, 30), (1, 30), (2, 25), (3, 15)]
 
 
-def test_threshold_paths_equal_direct(spark):
-    """The threshold-first plans (forced with direct_below=0) give the exact
-    same rows as the direct sort, also with a hot stratum and ties."""
+def test_samples_equal_a_full_sort(spark):
+    """Radix thresholds give the rows of a full sort by (md5, id), also with a hot
+    group, ties in the key and quotas beyond a group's size."""
     import datetime as dt
+    import hashlib
+
     from postcast.operators.topn import seeded_take, top_n
     rows = [(i, 1, f"t{i}", (0 if i % 3 else 7) + i % 9, dt.datetime(2024, 1, 1), 0, 0) for i in range(6000)]
     df = spark.createDataFrame(rows, "id long, type int, title string, score int, time timestamp, "
                                      "dead int, deleted int")
-    a = stratified_sample(df, 300, direct_below=0).orderBy("id").collect()
-    b = stratified_sample(df, 300, direct_below=10 ** 9).orderBy("id").collect()
-    assert a == b and len(a) > 0
-    a = seeded_take(df, "id", 42, 250, direct_below=0).orderBy("sample_rank").collect()
-    b = seeded_take(df, "id", 42, 250, direct_below=10 ** 9).orderBy("sample_rank").collect()
-    assert a == b and len(a) == 250
-    a = [r["id"] for r in top_n(df, 77, "score", tie=["id"], direct_below=0).collect()]
+    key = lambda i: (hashlib.md5(str(i + 42).encode()).hexdigest(), i)
+    got = [(r["id"], r["sample_rank"]) for r in seeded_take(df, "id", 42, 250).collect()]
+    want = sorted(range(6000), key=key)[:250]
+    assert sorted(got) == sorted((i, n + 1) for n, i in enumerate(want))
+    assert seeded_take(df, "id", 42, 10 ** 6).count() == 6000
+    s = stratified_sample(df, 300)
+    strata = {0: [], 1: [], 2: [], 3: []}
+    for i, _, _, score, *_ in rows:
+        if score >= 1:
+            strata[0 if score < 5 else 1 if score < 20 else 2].append(i)
+    want = {(g, i, n + 1) for g, q in zip(range(4), strata_quotas(300))
+            for n, i in enumerate(sorted(strata[g], key=key)[:q])}
+    assert {(r["stratum"], r["id"], r["stratum_rank"]) for r in s.collect()} == want
+    a = [r["id"] for r in top_n(df, 77, "score", tie=["id"]).collect()]
     b = [r["id"] for r in df.orderBy(F.col("score").desc(), "id").limit(77).collect()]
     assert a == b
 

@@ -22,8 +22,8 @@ def test_index_stream_matches_batch(spark, stories_df, comments_df):
     items.filter("type = 2").write.parquet(os.path.join(landing, "part2"))
     for q in start_index_stream(spark, os.path.join(landing, "*"), out, name=os.path.basename(base)):
         q.awaitTermination(120)
-    assert spark.read.parquet(os.path.join(out, "stories")).count() == 4
-    assert spark.read.parquet(os.path.join(out, "comments")).count() == 4
+    assert spark.read.parquet(os.path.join(out, "stories")).count() == 5
+    assert spark.read.parquet(os.path.join(out, "comments")).count() == 5
     got = {r["domain"]: (r["post_count"], round(r["avg_score"], 9)) for r in smoothed_domains(spark, out).collect()}
     exp = {r["domain"]: (r["post_count"], round(r["avg_score"], 9))
            for r in S.domain_stats(clean_stories(live_stories(stories_df))).collect()}
