@@ -105,9 +105,11 @@ def later_copies(docs: DataFrame, scratch: Scratch, doc: list[str], text: str =
     for n in named[1:]:
         windows = windows.unionByName(n)
     windows = scratch.save(windows, "intervals")
-    first = windows.groupBy("m", "a", "b").agg(F.min(F.struct("k", "start")).alias("first"),
-                                               F.count(F.lit(1)).alias("n")).where("n > 1")
-    return windows.join(first.drop("n"), ["m", "a", "b"]).where(
+    # written, so that both sides of the join are plain exchanges, which AQE can
+    # split where one run is very frequent
+    first = scratch.save(windows.groupBy("m", "a", "b").agg(
+        F.min(F.struct("k", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
+    return windows.join(first, ["m", "a", "b"]).where(
         F.struct("k", "start") > F.col("first")).select("k", "start", "m")
 
 
