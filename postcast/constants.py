@@ -51,7 +51,6 @@ SPLIT_SEED = 42
 VALIDATION_FRACTION = 0.1
 VALIDATION_MIN_ROWS = 5
 OPTIMISE_ROUNDS = 5
-OPTIMISE_SUGGESTIONS = 3
 OPTIMISE_MIN_GAIN = 2.0
 LOGLOSS_EPS = 1e-15
 # ---------------------------------------------------------------------------

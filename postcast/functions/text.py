@@ -3,7 +3,6 @@ title features.  All are native Spark expressions except ``html_to_text_exact``,
 an Arrow-batched pandas UDF around the standard-library HTML tokenizer."""
 from __future__ import annotations
 
-import html
 from html.entities import name2codepoint
 from html.parser import HTMLParser
 
@@ -181,6 +180,3 @@ def url_text_features(domain, clean_text) -> dict[str, Column]:
         "text_length": F.char_length(t).cast("long"),
     }
 
-
-def python_unescape(s: str) -> str:
-    return html.unescape(s)

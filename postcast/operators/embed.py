@@ -6,7 +6,7 @@ an iterator pandas UDF, loaded once per Python worker and fed Arrow batches.
 """
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,32 +33,19 @@ def hashing_embedding(df: DataFrame, text_col: str = "title", dim: int = EMBEDDI
                .drop("_txt", "_tok", "_tf", "_nv"))
 
 
-def seeded_encoder(dim: int = EMBEDDING_DIM) -> Callable[[list[str]], np.ndarray]:
-    """Stand-in sentence encoder: a Gaussian vector seeded by a hash of the
-    text, unit norm (deterministic; used when no real model is installed)."""
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.empty((len(texts), dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            seed = int.from_bytes(hashlib.md5((t or "").encode()).digest()[:8], "little")
-            v = np.random.default_rng(seed).standard_normal(dim)
-            out[i] = (v / np.linalg.norm(v)).astype(np.float32)
-        return out
-    return encode
-
-
 _ENCODERS: dict = {}
 
 
 def encoder_embedding(df: DataFrame, text_col: str = "title",
-                      factory: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
+                      *, factory: Callable[[], Callable[[list[str]], np.ndarray]],
                       out: str = "embedding", batch_size: int = 64) -> DataFrame:
     """Pluggable encoder as an iterator pandas UDF: the model is created once
     per worker process (``factory`` is called lazily), texts are encoded in
     batches of ``batch_size``."""
     from postcast.session import ship_package
     ship_package(df.sparkSession)
-    make = factory or seeded_encoder
-    key = id(make)
+    make = factory
+    key = uuid.uuid4().hex  # one per call: worker processes are reused
 
     @F.pandas_udf("array<float>")
     def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -25,18 +25,52 @@ GBT_DEFAULTS = dict(stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0
                     maxDepth=6, maxIter=500, seed=42)
 
 
+PATIENCE = 50
+
+
+def best_rounds(errors: list[float], patience: int) -> tuple[int, bool]:
+    """(best number of rounds, settled): early stopping as a learner with
+    ``patience`` does it, read off the validation errors by round.  Settled if
+    ``patience`` rounds in a row did not improve on the best."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def fit_regressor(train: DataFrame, label: str, features: str = "features",
-                  validation_col: str | None = None, **params):
-    """M3: GBT on log1p(label); early stopping on the rows flagged by
-    ``validation_col`` (stops at the first round that does not improve)."""
+                  validation_col: str | None = None, patience: int = PATIENCE, **params):
+    """M3: GBT on log1p(label), up to ``maxIter`` rounds.  With ``validation_col``
+    the flagged rows are held out, and the rounds stop where ``patience`` rounds in
+    a row did not improve their error; the best prefix is kept.
+
+    MLlib itself stops at the first round that does not improve, so the rounds are
+    grown here: fit, read the validation error of every prefix, double the rounds
+    while it is not settled, and fit once more with the best number of rounds (the
+    seed makes that the prefix of the longer fit)."""
     from pyspark.ml.regression import GBTRegressor
     p = dict(GBT_DEFAULTS)
     p.update(params)
     data = train.withColumn("_y", log_target(label))
-    if validation_col:
-        p.update(validationIndicatorCol=validation_col, validationTol=0.0)
-    est = GBTRegressor(featuresCol=features, labelCol="_y", **p)
-    return est.fit(data)
+
+    def fit(rows: DataFrame, rounds: int):
+        return GBTRegressor(featuresCol=features, labelCol="_y", **(p | {"maxIter": rounds})).fit(rows)
+    if not validation_col:
+        return fit(data, p["maxIter"])
+    held = data.filter(F.col(validation_col))
+    rows = data.filter(~F.col(validation_col))
+    if not held.take(1):
+        return fit(rows, p["maxIter"])
+    rounds = min(p["maxIter"], patience + 14)
+    while True:
+        model = fit(rows, rounds)
+        best, settled = best_rounds(model.evaluateEachIteration(held, "squared"), patience)
+        if settled or rounds == p["maxIter"]:
+            return model if best == rounds else fit(rows, best)
+        rounds = min(p["maxIter"], 2 * rounds)
 
 
 def predict_count(model, df: DataFrame, out: str) -> DataFrame:
@@ -79,7 +113,10 @@ def save_model(model, path: str) -> None:
 
 def load_model(kind: str, path: str):
     """Missing path is an error."""
-    if not os.path.exists(path) and not path.startswith(("hdfs:", "s3", "gs:", "abfs")):
+    from pyspark.sql import SparkSession
+
+    from postcast.sources.items import _exists
+    if not _exists(SparkSession.active(), path):  # asked through Hadoop, whatever the store
         raise FileNotFoundError(path)
     if kind == "regressor":
         from pyspark.ml.regression import GBTRegressionModel

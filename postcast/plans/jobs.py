@@ -136,11 +136,12 @@ def classifier_metrics(trained: dict) -> DataFrame:
 
 
 def backtest(feats: DataFrame, score: str = "score", seed: int = 42, **forest) -> dict:
-    """M7: hash split (P3), classes (X16), balanced forest (M4) on the training
-    part, metrics on the test part: accuracy, confusion, per-class precision
-    and recall, Spearman of expected score vs actual."""
-    f = SP.hash_split(feats, "id", seed=seed)
-    train, test = f.filter(~F.col("is_test")), f.filter(F.col("is_test"))
+    """M7: hash split (P3), validation tail (P4) kept out of the training part,
+    classes (X16), balanced forest (M4), metrics on the test part: accuracy,
+    confusion, per-class precision and recall, Spearman of expected score vs
+    actual."""
+    f = SP.validation_tail(SP.hash_split(feats.drop("is_validation"), "id", seed=seed), "id", seed=seed)
+    train, test = f.filter(~F.col("is_test") & ~F.col("is_validation")), f.filter(F.col("is_test"))
     model = M.fit_classifier(train, score, **forest)
     pred = M.predict_classes(model, test).withColumn("actual", L.reception_class(score))
     conf = EV.confusion(pred, "actual", "predicted_class")
@@ -154,14 +155,16 @@ def backtest(feats: DataFrame, score: str = "score", seed: int = 42, **forest) -
 
 def batch_score(pitches: DataFrame, trained: dict, story_index: DataFrame,
                 k: int = KNN_K, top_features: int = 5) -> DataFrame:
-    """M9: one wide row per pitch (pitch_id, title, time; url defaults to '').
+    """M9: one wide row per pitch (pitch_id, title, time, and optionally url and
+    description, which default to '').
 
     Scores, label with confidence and distribution, expected score from the
     forest, percentile of the predicted score in the training history, the k
     most similar stories, top attributed features and the posting advice."""
-    p = (pitches.withColumn("url", F.coalesce(F.col("url") if "url" in pitches.columns else F.lit(None),
-                                              F.lit("")))
-         .withColumn("text", F.lit("")).withColumnRenamed("pitch_id", "id")
+    def given(c):
+        return F.coalesce(F.col(c), F.lit("")) if c in pitches.columns else F.lit("")
+    p = (pitches.withColumns({"url": given("url"), "text": given("description")})
+         .withColumnRenamed("pitch_id", "id")
          .withColumn("score", F.lit(0)).withColumn("descendants", F.lit(0)))
     feats = feature_table(clean_stories(p), trained["domain_stats"])
     scored = M.predict_count(trained["score_model"], feats, "predicted_score")
@@ -199,9 +202,8 @@ def index_job(items: DataFrame, comments: DataFrame, name: str = "index") -> dic
     """Clean, embed, write the story index (S8) and the comment index."""
     spark = items.sparkSession
     clean = clean_stories(live_stories(items))
-    emb = hashing_embedding(clean.select("id", "title"), "title")
     run = scratch_path(spark, name, unique=True)
     spath, cpath = os.path.join(run, "stories"), os.path.join(run, "comments")
-    write_story_index(clean, emb, spath)
+    write_story_index(hashing_embedding(clean, "title"), spath)
     write_comment_index(clean_comments(comments), cpath)
     return {"stories": spark.read.parquet(spath), "comments": spark.read.parquet(cpath)}

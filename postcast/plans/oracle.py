@@ -452,11 +452,34 @@ SELECT event_id, user_id, round(value, 6) AS value, strftime(ts, '%Y-%m-%d') AS
 WHERE CAST(ts AS DATE) >= DATE '2024-01-10'"""
 
 ORACLE_SQL["index_build"] = with_ctes(f"""
-SELECT id, coalesce(title, '') AS title, domain,
-  coalesce({post_type_sql('title')}, 'regular') AS post_type, coalesce(score, 0) AS score,
-  CAST(coalesce(descendants, 0) AS BIGINT) AS descendants
+SELECT id, coalesce(title, '') AS title, coalesce(url, '') AS url, clean_text, coalesce(score, 0) AS score,
+  CAST(coalesce(descendants, 0) AS BIGINT) AS descendants, domain,
+  coalesce({post_type_sql('title')}, 'regular') AS post_type, CAST(384 AS BIGINT) AS dim, true AS unit
 FROM clean""", "clean")
 
+ORACLE_SQL["comment_index"] = with_ctes(f"""
+SELECT id, parent, clean_text, "by" FROM (SELECT id, parent, {html_sql('text')} AS clean_text, "by" FROM comments)
+WHERE clean_text <> ''""", "comments")
+
+ORACLE_SQL["train_counts"] = with_ctes(f"""
+SELECT count(*) AS "rows", count(*) FILTER (time >= TIMESTAMP '2024-01-02 12:00:00') AS validation_rows,
+  {', '.join(f"count(*) FILTER (time < TIMESTAMP '2024-01-02 12:00:00' AND {class_sql('score')} = {i}) AS train_{n}"
+             for i, n in enumerate(['flop', 'low', 'moderate', 'hot', 'viral']))}
+FROM live""", "live")
+
+ORACLE_SQL["predict_invariants"] = with_ctes("""
+SELECT count(*) AS stories, true AS no_negative, true AS probabilities_sum_to_one, true AS additive FROM live""", "live")
+
+ORACLE_SQL["backtest_confusion"] = with_ctes(f"""
+, test AS (SELECT {class_sql('score')} AS actual FROM live
+  QUALIFY row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id)
+    <= CAST(floor(0.2 * count(*) OVER ()) AS BIGINT))
+SELECT CAST(c AS BIGINT) AS actual, CAST((SELECT count(*) FROM test WHERE actual = c) AS BIGINT) AS n
+FROM range(5) t(c)""", "live").replace("\n, test", ",\ntest", 1)
+
+ORACLE_SQL["sample_invariants"] = """
+SELECT least(100, count(*)) AS n, least(100, count(*)) AS n_distinct, least(100, count(*)) AS n_known FROM events"""
+
 
 def _parse_sql(item: str, partial: str, keys: list[str], required: list[str], fence: bool = True) -> str:
     js = f"'[' || CAST(to_json({item}) AS VARCHAR) || ',' || CAST(to_json({partial}) AS VARCHAR) || ']'"

@@ -519,6 +519,7 @@ def multi_file_scan(spark, sf):
     path = scratch_path(spark, f"events_by_day_{_tag(sf)}", unique=True)
     e = read_table(spark, sf, "events")
     (e.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+      .repartition("day", F.pmod(F.xxhash64("event_id"), F.lit(8)))
       .write.mode("overwrite").partitionBy("day").parquet(path))
     r = spark.read.parquet(path).filter(F.col("day") >= F.lit("2024-01-10").cast("date"))
     return rounded(r.select("event_id", "user_id", "value", F.col("day").cast("string").alias("day")))
@@ -533,16 +534,13 @@ def random_sample_q(spark, sf):
 # ---- learning, scoring, retrieval jobs (rows-only checks) ---------------------
 
 
-GBT_SMALL = {"maxIter": 20}
-FOREST_SMALL = {"numTrees": 20}
 _TRAINED: dict = {}
 
 
 def _trained(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
-        _TRAINED[key] = JB.training_job(stories(spark, sf), cutoff=TRAIN_CUTOFF,
-                                        gbt=GBT_SMALL, forest=FOREST_SMALL)
+        _TRAINED[key] = JB.training_job(stories(spark, sf), cutoff=TRAIN_CUTOFF)
     return _TRAINED[key]
 
 
@@ -574,8 +572,7 @@ def predict_batch_q(spark, sf):
 @query("explain_batch")
 def explain_batch_q(spark, sf):
     t = _trained(spark, sf)
-    val = t["features"].filter(F.col("is_validation"))
-    a = MD.path_attribution(t["score_model"], val, key="id", name=f"explain_{_tag(sf)}",
+    a = MD.path_attribution(t["score_model"], t["features"], key="id", name=f"explain_{_tag(sf)}",
                             top_k=5, names=JB.feature_names(384))
     top = a.select("id", F.posexplode("top").alias("pos", "f"))
     return rounded(top.select("id", (F.col("pos") + 1).cast("long").alias("position"),
@@ -588,8 +585,7 @@ def explain_batch_q(spark, sf):
 @query("explain_reception")
 def explain_reception_q(spark, sf):
     t = _trained(spark, sf)
-    val = t["features"].filter(F.col("is_validation"))
-    top = JB.explain_classes(t, val).select("id", F.posexplode("top").alias("pos", "f"))
+    top = JB.explain_classes(t, t["features"]).select("id", F.posexplode("top").alias("pos", "f"))
     # forest attributions are in class-probability units; they sum to zero over
     # the classes, so the class-mean signed value is ~0 while the ranking uses
     # the class-mean absolute value
@@ -600,10 +596,19 @@ def explain_reception_q(spark, sf):
                               F.lit("class_probability").alias("unit")))
 
 
+_BACKTESTS: dict = {}
+
+
+def _backtest(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _BACKTESTS:
+        _BACKTESTS[key] = JB.backtest(_trained(spark, sf)["features"])
+    return _BACKTESTS[key]
+
+
 @query("backtest")
 def backtest_q(spark, sf):
-    t = _trained(spark, sf)
-    b = JB.backtest(t["features"], **FOREST_SMALL)
+    b = _backtest(spark, sf)
     return rounded(b["summary"].withColumn("spearman", b["spearman"].select("spearman").scalar()))
 
 
@@ -619,15 +624,72 @@ def _index(spark, sf):
 
 @query("index_build")
 def index_build_q(spark, sf):
-    return _index(spark, sf)["stories"].select("id", "title", "domain", "post_type", "score", "descendants")
+    """All columns of the written story index but the vector, which is told by its
+    length and whether its norm is 1 (0 for a title without words)."""
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
+    return _index(spark, sf)["stories"].select(
+        "id", "title", "url", "clean_text", "score", "descendants", "domain", "post_type",
+        F.size("embedding").cast("long").alias("dim"), ((norm > 0.999) & (norm < 1.001)).alias("unit"))
+
+
+@query("comment_index")
+def comment_index_q(spark, sf):
+    """The written comment index, read back."""
+    return _index(spark, sf)["comments"].select("id", "parent", "clean_text", "by")
+
+
+@query("train_counts")
+def train_counts_q(spark, sf):
+    """Rows per side of the split and per class of the training side, as
+    observed while the feature table was written."""
+    c = {k: int(v or 0) for k, v in _trained(spark, sf)["counts"].items()}
+    one = read_table(spark, sf, "events").limit(1)
+    return one.select(*[F.lit(v).cast("long").alias(k) for k, v in sorted(c.items())])
+
+
+@query("predict_invariants")
+def predict_invariants_q(spark, sf):
+    """What holds for every prediction, whatever the model: a row per live story,
+    no negative score, probabilities that sum to 1, attributions that sum with the
+    base to the prediction."""
+    t = _trained(spark, sf)
+    p = MD.predict_count(t["score_model"], t["features"], "predicted_score")
+    p = MD.predict_classes(t["classifier"], p)
+    total = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
+    p = p.select("id", "predicted_score", (F.abs(total - 1) < 1e-9).alias("_one"))
+    raw = t["score_model"].transform(t["features"]).select("id", F.col(t["score_model"].getPredictionCol()).alias("_p"))
+    a = MD.path_attribution(t["score_model"], t["features"], key="id", name=f"additive_{_tag(sf)}")
+    s = F.aggregate("attribution", F.lit(0.0), lambda x, v: x + v) + F.col("base")
+    fit = raw.join(a, "id").select("id", (F.abs(s - F.col("_p")) < 1e-6).alias("_fit"))
+    return p.join(fit, "id", "left").agg(
+        F.count(F.lit(1)).alias("stories"), F.min(F.col("predicted_score") >= 0).alias("no_negative"),
+        F.min("_one").alias("probabilities_sum_to_one"), F.min(F.coalesce("_fit", F.lit(False))).alias("additive"))
+
+
+@query("backtest_confusion")
+def backtest_confusion_q(spark, sf):
+    """Actual classes of the backtest's test part (rows of its confusion table):
+    they depend on the split alone, not on the model."""
+    conf = _backtest(spark, sf)["confusion"]
+    return conf.groupBy("actual").agg(F.sum("n").alias("n"))
+
+
+@query("sample_invariants")
+def sample_invariants_q(spark, sf):
+    """L3: an unseeded sample is 100 different rows of the table."""
+    e = read_table(spark, sf, "events").select("event_id", "user_id", "value")
+    s = sampling.random_sample(e, 100)
+    known = s.join(e.withColumn("_in", F.lit(1)), ["event_id", "user_id", "value"], "left")
+    return known.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("n_distinct"),
+                     F.sum(F.coalesce("_in", F.lit(0))).alias("n_known"))
 
 
 @query("batch_score")
 def batch_score_q(spark, sf):
     t = _trained(spark, sf)
     idx = _index(spark, sf)
-    pitches = (live(spark, sf).filter(F.col("time") >= F.to_timestamp(F.lit(TRAIN_CUTOFF)))
-               .select(F.col("id").alias("pitch_id"), "title", "time"))
+    pitches = live(spark, sf).select(F.col("id").alias("pitch_id"), "title", "url",
+                                     F.col("text").alias("description"), "time")
     out = JB.batch_score(pitches, t, idx["stories"])
     return out.withColumn("similar_ids", F.array_join(F.col("similar_ids").cast("array<string>"), ","))\
               .withColumn("distribution", F.to_json("distribution"))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,13 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    filesystem); only when it is unset (tests, local runs) a scratch folder
-    is created and registered.
+    filesystem).  Where it is unset, a local run (tests) creates and registers a
+    scratch folder; on a cluster that is an error, as executors could not see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="postcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

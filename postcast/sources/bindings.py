@@ -88,8 +88,10 @@ def stories_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _WRITTEN.get(key)
     if path is None:
         path = scratch_path(spark, f"stories_{hashlib.md5(sf_dir.encode()).hexdigest()[:10]}")
-        # one directory per day: time-bounded reads prune whole directories
+        # one directory per day: time-bounded reads prune whole directories; dealt
+        # by day and a salt, so a day is a few files and a hot day many tasks
         (stories(spark, sf_dir).withColumn("day", F.to_date("time"))
+         .repartition("day", F.pmod(F.xxhash64("id"), F.lit(8)))
          .write.mode("overwrite").partitionBy("day").parquet(path))
         _WRITTEN[key] = path
     return spark.read.parquet(path)

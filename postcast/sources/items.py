@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from postcast.schema import COMMENT_COLUMNS, COMMENT_INDEX, STORY_COLUMNS
+from postcast.constants import COMMENT_LOOKUP_LIMIT
+from postcast.schema import COMMENT_COLUMNS, COMMENT_INDEX, STORY_COLUMNS, STORY_INDEX
 
 
 def live_stories(items: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def per_group_limit(df: DataFrame, group_cols: list[str], order_cols: list, n: i
     return out.drop("_rn")
 
 
-def comments_of(comment_index: DataFrame, parent_id, limit: int = 20) -> DataFrame:
+def comments_of(comment_index: DataFrame, parent_id, limit: int = COMMENT_LOOKUP_LIMIT) -> DataFrame:
     """J5 point lookup: the filter on ``parent`` reaches the parquet scan, and
     on an index written sorted by parent, row-group statistics skip the rest."""
     return (comment_index.filter(F.col("parent") == F.lit(parent_id))
@@ -126,19 +127,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def write_story_index(clean_stories: DataFrame, embeddings: DataFrame, path: str) -> None:
-    """9 columns, nulls to ''/0, embeddings joined by id, overwrite."""
-    idx = (clean_stories.join(embeddings.select("id", "embedding"), "id", "left")
-           .select(F.col("id").cast("long"),
-                   F.coalesce("title", F.lit("")).alias("title"),
-                   F.coalesce("url", F.lit("")).alias("url"),
-                   F.coalesce("clean_text", F.lit("")).alias("clean_text"),
-                   F.coalesce("score", F.lit(0)).cast("int").alias("score"),
-                   F.coalesce("descendants", F.lit(0)).cast("long").alias("descendants"),
-                   F.coalesce("domain", F.lit("")).alias("domain"),
-                   F.coalesce("post_type", F.lit("regular")).alias("post_type"),
-                   F.col("embedding")))
-    write_table(idx, path)
+def story_index_rows(clean_stories: DataFrame) -> DataFrame:
+    """the 9 index columns of cleaned stories that carry an ``embedding``, nulls
+    to '' and 0 and post type 'regular'."""
+    defaults = {"title": "", "url": "", "clean_text": "", "score": 0, "descendants": 0, "domain": "",
+                "post_type": "regular"}
+    return clean_stories.select(*[
+        (F.coalesce(F.col(f.name), F.lit(defaults[f.name])) if f.name in defaults else F.col(f.name))
+        .cast(f.dataType).alias(f.name) for f in STORY_INDEX.fields])
+
+
+def write_story_index(clean_stories: DataFrame, path: str) -> None:
+    """Overwrite the story index (``story_index_rows``)."""
+    write_table(story_index_rows(clean_stories), path)
 
 
 def write_comment_index(clean_comments: DataFrame, path: str) -> None:

@@ -22,18 +22,11 @@ from postcast.operators.clean import clean_comments, clean_stories
 from postcast.operators.embed import hashing_embedding
 from postcast.schema import ITEM
 from postcast.session import shared_dir
-from postcast.sources.items import live_comments, live_stories
+from postcast.sources.items import live_comments, live_stories, story_index_rows
 
 
 def _story_rows(batch: DataFrame) -> DataFrame:
-    emb = hashing_embedding(batch.select("id", "title"), "title").select("id", "embedding")
-    return (batch.join(emb, "id", "left")
-            .select(F.col("id").cast("long"), F.coalesce("title", F.lit("")).alias("title"),
-                    F.coalesce("url", F.lit("")).alias("url"),
-                    F.coalesce("clean_text", F.lit("")).alias("clean_text"),
-                    F.coalesce("score", F.lit(0)).cast("int").alias("score"),
-                    F.coalesce("descendants", F.lit(0)).cast("long").alias("descendants"),
-                    "domain", "post_type", "embedding"))
+    return story_index_rows(hashing_embedding(batch, "title"))
 
 
 def start_index_stream(spark: SparkSession, landing_dir: str, out_dir: str,

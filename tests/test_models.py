@@ -55,12 +55,46 @@ def test_backtest_invariants(spark):
     assert b2["summary"].first()["accuracy"] == s["accuracy"]  # deterministic by seed
 
 
+def test_two_encoders_in_one_worker(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, title string").coalesce(1)
+    for value in (1.0, 2.0):
+        make = lambda v=value: (lambda texts: np.full((len(texts), 3), v, np.float32))
+        assert encoder_embedding(df, factory=make).first()["embedding"] == [value] * 3
+
+
+def test_patience():
+    assert M.best_rounds([5, 4, 3, 3.5, 3.6, 3.7], 3) == (3, True)
+    assert M.best_rounds([5, 4, 3, 3.5, 2.9], 3) == (5, False)
+    assert M.best_rounds([5, 6, 7, 4, 8, 9, 10, 3], 2) == (1, True)
+    assert M.best_rounds([1.0], 50) == (1, False)
+
+
+def test_early_stopping_keeps_the_best_prefix(spark):
+    df = regression_data(spark, n=500, d=5)
+    model = M.fit_regressor(df, "score", validation_col="is_validation", patience=4, maxIter=40, maxDepth=3)
+    full = M.fit_regressor(df.filter("NOT is_validation"), "score", maxIter=40, maxDepth=3)
+    held = df.filter("is_validation").withColumn("_y", F.log1p("score"))
+    errors = full.evaluateEachIteration(held, "squared")
+    best, _ = M.best_rounds(errors, 4)
+    assert model.getNumTrees == best
+    assert np.allclose(model.evaluateEachIteration(held, "squared"), errors[:best])
+
+
 def test_embeddings(spark):
+    def stand_in_encoder(dim=384):
+        """Gaussian unit vector from a seed that the text gives."""
+        import zlib
+
+        def encode(texts):
+            vecs = [np.random.default_rng(zlib.crc32(t.encode())).standard_normal(dim) for t in texts]
+            return np.array([v / np.linalg.norm(v) for v in vecs], np.float32)
+        return encode
+
     df = spark.createDataFrame([(1, "Rust is fast"), (2, "Rust is fast"), (3, "")], "id long, title string")
     h = {r["id"]: r["embedding"] for r in hashing_embedding(df).collect()}
     assert len(h[1]) == 384 and h[1] == h[2]
     assert abs(sum(v * v for v in h[1]) - 1.0) < 1e-5
-    e = {r["id"]: r["embedding"] for r in encoder_embedding(df).collect()}
+    e = {r["id"]: r["embedding"] for r in encoder_embedding(df, factory=stand_in_encoder).collect()}
     assert len(e[1]) == 384 and e[1] == e[2] and abs(sum(v * v for v in e[3]) - 1.0) < 1e-5
 
 
