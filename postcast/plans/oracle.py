@@ -14,7 +14,10 @@ CTES = {
    concat('u', CAST(e.user_id AS VARCHAR)) AS "by", e.ts AS time,
    CASE WHEN lb.toxic = 1 THEN 1 ELSE 0 END AS dead,
    CASE WHEN lb.quality = 0 THEN 1 ELSE 0 END AS deleted
- FROM documents d JOIN events e ON e.event_id = d.doc_id
+ FROM documents d JOIN (
+   SELECT event_id % (SELECT count(*) FROM documents) AS doc, arg_max(value, (ts, event_id)) AS value,
+     arg_min(user_id, (ts, event_id)) AS user_id, min(ts) AS ts
+   FROM events GROUP BY doc) e ON e.doc = d.doc_id
  LEFT JOIN pages p ON p.page_id = d.doc_id
  LEFT JOIN (SELECT conv_id, count(*) n FROM conversations GROUP BY conv_id) n ON n.conv_id = d.doc_id
  LEFT JOIN labels lb ON lb.doc_id = d.doc_id)""",

@@ -4,10 +4,11 @@ The driver tables are not forum posts, so ``stories`` and ``comments`` are
 derived from them by a fixed rule (the same rule is written in SQL for the
 DuckDB oracle, see ``postcast.plans.oracle``):
 
-* a story per document that has an event: the event gives score, author (column ``by``) and
-  time, the page with the same id gives url and HTML text, the conversation
-  with the same id gives the comment count, and the document's labels give
-  the moderation flags (toxic -> dead, low quality -> deleted);
+* a story per document that has events (event id modulo the number of
+  documents): the first event gives author (column ``by``) and time, the last one
+  the score, the page with the same id gives url and HTML text, the conversation
+  with the same id gives the comment count, and the document's labels give the
+  moderation flags (toxic -> dead, low quality -> deleted);
 * a comment per conversation turn, its parent being the conversation id.
 
 All five joins are on the same key, so after the first shuffle the later
@@ -26,7 +27,13 @@ TITLE_PREFIXES = {0: "Show HN: ", 1: "Ask HN: ", 2: "Tell HN: ", 3: "Launch HN:
 
 def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    e = read_table(spark, sf_dir, "events").select("event_id", "value", "user_id", "ts")
+    # every event belongs to the document that its id gives modulo the number of documents
+    n_docs = read_table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
+    when = F.struct("ts", "event_id")
+    e = (read_table(spark, sf_dir, "events")
+         .groupBy((F.col("event_id") % n_docs).alias("e_doc"))
+         .agg(F.max_by("value", when).alias("value"), F.min_by("user_id", when).alias("user_id"),
+              F.min("ts").alias("ts")))
     p = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     n = (read_table(spark, sf_dir, "conversations")
          .groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns")))
@@ -40,7 +47,7 @@ def stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     # concat_ws('') skips nulls, like SQL concat of the oracle engine
     title = F.concat_ws("", prefix, body, F.when(k == 1, F.lit("?")).otherwise(F.lit("")))
 
-    j = (d.join(e, d.doc_id == e.event_id, "inner")
+    j = (d.join(e, d.doc_id == e.e_doc, "inner")
           .join(p, d.doc_id == p.page_id, "left")
           .join(n, d.doc_id == n.conv_id, "left")
           .join(lb, d.doc_id == lb.l_doc, "left"))
