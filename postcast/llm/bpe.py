@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from postcast.llm.common import bounded_batches
+
 # Memo tables of a worker are emptied at these sizes; they only save time.
 MAX_CHUNKS = 500_000
 MAX_PIECES = 300_000
@@ -192,6 +194,7 @@ def list_array(packed: list[bytes]) -> pa.Array:
 
 
 def share(df: DataFrame, vocab: Vocabulary):
+    bounded_batches(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(vocab)
 
 

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postcast.llm.common import bounded_batches
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 # Control strings of common templates, none of which may be read
 # as control inside a text.
@@ -114,6 +116,7 @@ def format_chats(turns: DataFrame, definition: str, learn: tuple[str, ...] = ("a
     ``ends`` of the tokens (code points), ``loss_mask`` per token, and the text
     under the mask (``loss_text``).  ``turns`` has conv_id, turn, role and text;
     texts of the roles in ``learn`` are under the mask."""
+    bounded_batches(turns.sparkSession)
     shared = turns.sparkSession.sparkContext.broadcast(definition)
     key = hashlib.sha256(definition.encode()).hexdigest()
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))

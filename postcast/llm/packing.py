@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postcast.llm.common import Scratch
+from postcast.llm.common import Scratch, bounded_batches
 
 BLOCKS = 256
 SLICE = 256
-MAX_CHUNKS = 400_000
-MAX_WORDS = 300_000
+MAX_CHUNKS = 120_000
+MAX_WORDS = 120_000
 LONGEST_MEMO = 64
 
 
@@ -135,6 +135,7 @@ def pieces(docs: DataFrame, definition: str, end_id: int = 1, most: int = 4096,
     ``start`` (ids before it in its document), ``length`` and ``ids`` (packed
     little-endian 32-bit).  ``definition`` is the JSON of a tokenizer file; every
     document ends with ``end_id``; only documents over ``most`` tokens are cut."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(definition)
     key = hashlib.sha256(definition.encode()).hexdigest()
     src = docs.select(*keys, docs[text].alias("_text_"))

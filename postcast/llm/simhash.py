@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postcast.llm.common import Scratch, connected_components, partitions
+from postcast.llm.common import Scratch, bounded_batches, connected_components, partitions
 from postcast.llm.shingles import shingle_hashes
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -54,6 +54,7 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def fingerprints(docs: DataFrame, keys: list[str] = ["doc_id"], text: str = "text", words: int = WORDS) -> DataFrame:
     """Key columns and ``fp``, the fingerprint as a signed 64-bit integer."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(*keys, docs[text].alias("_text_"))
     schema = T.StructType([src.schema[k] for k in keys] + [T.StructField("fp", T.LongType())])
 

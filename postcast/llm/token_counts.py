@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from postcast.llm.common import bounded_batches
+
 SLICE = 256
 MAX_WORDS = 500_000  # the worker's memo is emptied at this size; it only saves time
 LONGEST = 100
@@ -120,6 +122,7 @@ def count_tokens(docs: DataFrame, pieces: list[str], keys: list[str] = ["doc_id"
                  mark: str = "##") -> DataFrame:
     """Key columns and ``n_tokens`` of every whole text.  The vocabulary, some
     hundred kilobytes, is broadcast; each worker builds its trie once."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     key = hashlib.sha256("\0".join([mark, *pieces]).encode()).hexdigest()
     src = docs.select(*keys, docs[text].alias("_text_"))
