@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postcast.llm.common import partitions
+from postcast.llm.common import bounded_batches, partitions
 from postcast.llm.shingles import shingle_hashes
 
 WORDS, K, SEED = 5, 128, 0
@@ -66,6 +66,7 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 def sketches(docs: DataFrame, keys: list[str] = ["doc_id"], text: str = "text", k: int = K,
              words: int = WORDS) -> DataFrame:
     """Key columns and ``sketch`` (packed little-endian unsigned hashes)."""
+    bounded_batches(docs.sparkSession)
     src = docs.select(*keys, docs[text].alias("_text_"))
     schema = T.StructType([src.schema[c] for c in keys] + [T.StructField("sketch", T.BinaryType())])
 
@@ -111,7 +112,8 @@ def compare_with_next(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFr
     last row.  So the texts are shuffled once, and the driver sees one id per
     range."""
     spark = docs.sparkSession
-    parts = 8 * partitions(spark)
+    bounded_batches(spark)
+    parts = min(8 * partitions(spark), 1 << 16)  # ranges, of any size
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = src.select(F.coalesce("doc_id", F.lit(FIRST)).alias("_key"))
     at = [i / parts for i in range(1, parts)]
