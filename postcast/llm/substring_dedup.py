@@ -2,7 +2,7 @@
 
 A text is cut into units: its lines, within a line its sentences, and within a
 long sentence its clauses; a long clause is cut before words that their hash
-picks.  Units are
+picks, and very short units join the next one.  Units are
 normalised (lower case, single spaces) and hashed to 128 bits.  Digests are
 grouped over all documents; the earliest occurrence by (doc_id, text hash, unit
 number) stays.  Consecutive units that occur earlier form a span, and a span of
@@ -32,14 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postcast.llm.common import Scratch
+from postcast.llm.common import Scratch, bounded_batches
 
-MIN_WORDS = 30
+MIN_WORDS = 25
 SLICE = 256
 # Between units: white space after a closing mark, or around a line feed.
 _BREAK = re.compile(r"(?<=[.!?…])[^\S\n]+|[^\S\n]*\n\s*")
-# Sentences of more characters are cut at commas and the like, too.
-LONG = 100
+# Sentences of more characters are cut at commas and the like, too; units of
+# fewer join the next.
+LONG, SHORT = 100, 12
 _PAUSE = re.compile(r"(?<=[,;:|])[^\S\n]+")
 _WORD = re.compile(r"\S+")
 
@@ -53,7 +54,17 @@ def unit_spans(text: str) -> list[tuple[int, int]]:
         else:
             for c, d in _between(_PAUSE, text, a, b):
                 spans.extend([(c, d)] if d - c <= LONG else _by_words(text, c, d))
-    return [(a, b) for a, b in spans if a < b and not text[a:b].isspace()]
+    out, begin = [], None
+    for a, b in spans:  # short units join the next one
+        if a == b or text[a:b].isspace():
+            continue
+        begin = a if begin is None else begin
+        if b - begin >= SHORT:
+            out.append((begin, b))
+            begin = None
+    if begin is not None:
+        out.append((begin, spans[-1][1] if text[begin:spans[-1][1]].strip() else len(text)))
+    return out
 
 
 def _between(breaks: re.Pattern, text: str, at: int, end: int) -> list[tuple[int, int]]:
@@ -146,6 +157,7 @@ def cut(text: str | None, flagged: list[dict] | None, min_words: int):
 def dedup_substrings(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The input's columns with ``text`` cut, and ``removed``: array of (begin, end,
     source) in the original text."""
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "substring_dedup")
     flags = later_units(docs, scratch, text)
     keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h")).alias("_k"),
