@@ -17,8 +17,8 @@ over BLOCKS groups.
 
 Defined cases: a null or empty text still has the end token, hence one piece of
 length 1; repeated rows are packed one by one; extra columns travel along, and
-input columns named like an output column are replaced; an empty table gives an
-empty result.
+input columns named like an output column are replaced; a length that is null,
+under 1 or over the capacity is an error; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -263,6 +263,8 @@ def pack(items: DataFrame, cap: Capacity = Capacity(), order: list[str] = ["doc_
     block = F.pmod(F.xxhash64(*order), F.lit(BLOCKS)).cast("int")
     table = scratch.save(items.withColumns({"_block": block, "_len": F.col(length).cast("int")}), "pieces")
     by = table.groupBy("_len", "_block").count().toPandas()  # at most capacity x BLOCKS rows
+    if by["_len"].isna().any() or (by["_len"] < 1).any() or (by["_len"] > cap.tokens).any():
+        raise ValueError(f"every length has to be 1 to {cap.tokens}")
     base = np.zeros((cap.tokens + 1, BLOCKS), np.int64)
     base[by["_len"].to_numpy(), by["_block"].to_numpy()] = by["count"].to_numpy()
     totals = base.sum(axis=1)

@@ -120,3 +120,10 @@ def test_clashing_columns(spark):
                                "doc_id long, piece int, length long, sequence_id string, offset int")
     got = packing.pack(df, Capacity(8, 8, 64)).collect()
     assert {r.doc_id for r in got} == {1, 2} and {r.sequence_id for r in got} == {0}
+
+
+@pytest.mark.parametrize("length", [None, 0, 9])
+def test_impossible_lengths(spark, length):
+    df = spark.createDataFrame([(1, 0, length)], "doc_id long, piece int, length long")
+    with pytest.raises(ValueError):
+        packing.pack(df, Capacity(8, 8, 64))
