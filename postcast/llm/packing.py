@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -34,12 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postcast.llm.common import Scratch, bounded_batches
+from postcast.llm.memo import Memo
 
 BLOCKS = 256
 SLICE = 256
-MAX_CHUNKS = 120_000
-MAX_WORDS = 120_000
-LONGEST_MEMO = 64
+# Most entries of the worker's memo tables.
+MAX_CHUNKS = 150_000
+MAX_WORDS = 250_000
+MARKS = ".,;:!?"
 
 
 class Capacity(NamedTuple):
@@ -67,35 +70,36 @@ class WordTokenizer:
         kinds = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
         # the short cut holds for lower-casing byte-level tokenizers only
         self.plain = "Lowercase" in kinds and "ByteLevel" in kinds and "\\\\s+" in kinds
-        self.cut = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+        self.cut = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{MARKS}]*)").fullmatch
         codes = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in codes]
         self.shown = {b: c for b, c in zip(codes + rest, codes + [256 + i for i in range(len(rest))])}
-        self.words: dict[str, bytes] = {}
-        self.chunks = _Chunks(self)
+        self.words = Memo(self._of_word, MAX_WORDS)
+        self.chunks = Memo(self._of_chunk, MAX_CHUNKS)
 
     def by_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        out = self.words.get(word)
-        if out is None:
-            if len(self.words) >= MAX_WORDS:
-                self.words.clear()
-            if word[0].isalpha():
-                seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-                out = np.array([t.id for t in self.model.tokenize(seen)], "<i4").tobytes()
-            else:
-                out = self.by_whole(word)
-            self.words[word] = out
-        return out
-
-    def chunk(self, chunk: str) -> bytes:
-        m = self.cut(chunk) if self.plain and len(chunk) <= LONGEST_MEMO else None
+    def _of_word(self, word: str) -> bytes:
+        """A lower-cased word of Latin-1 letters, or closing marks."""
+        if not word[0].isalpha():
+            return self.by_whole(word)
+        seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return array("i", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+    def _of_chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
+        if chunk.isascii():  # the usual chunks without a pattern: a word, or a word and one mark
+            if chunk.isalpha():
+                return self.words[chunk.lower()]
+            if chunk[-1] in MARKS and chunk[:-1].isalpha():
+                return self.words[chunk[:-1].lower()] + self.words[chunk[-1]]
+        m = self.cut(chunk) if len(chunk) <= self.chunks.longest else None
         if m is None:
             return self.by_whole(chunk)
         word, marks = m.groups()
-        return self.word(word.lower()) + (self.word(marks) if marks else b"")
+        return self.words[word.lower()] + (self.words[marks] if marks else b"")
 
     def encode(self, text: str) -> bytes:
         if not self.plain:
@@ -103,21 +107,6 @@ class WordTokenizer:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-class _Chunks(dict):
-    def __init__(self, owner: WordTokenizer):
-        self.owner = owner
-        self[""] = b""
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.owner.chunk(chunk)
-        if len(chunk) <= LONGEST_MEMO:
-            if len(self) >= MAX_CHUNKS:
-                self.clear()
-                self[""] = b""
-            self[chunk] = out
-        return out
-
-
 _TOKENIZERS: dict = {}
 
 
