@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from postcast.llm.common import bounded_batches
+from postcast.llm.memo import Memo
 
-# Memo tables of a worker are emptied at these sizes; they only save time.
+# Most entries of the worker's memo tables.
 MAX_CHUNKS = 500_000
 MAX_PIECES = 300_000
 MAX_PAIRS = 500_000
@@ -111,25 +112,16 @@ class Encoder:
             if vocab.made[i]:
                 self.auto.add_word(t.decode("latin-1"), i)
         self.auto.make_automaton()
-        self.pairs: dict[int, bool] = {}
-        self.pieces = _Memo(lambda p: np.array(self.piece(p.encode()), "<i4").tobytes(), MAX_PIECES)
-        self.chunks = _Memo(lambda c: self.by_pieces(" " + c), MAX_CHUNKS)
-
-    def _beside(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.v.fits(a, b)
-        return known
+        self.pairs = Memo(lambda key: vocab.fits(key >> 20, key & 0xFFFFF), MAX_PAIRS)
+        self.pieces = Memo(lambda p: np.array(self.piece(p.encode()), "<i4").tobytes(), MAX_PIECES)
+        self.chunks = Memo(lambda c: self.by_pieces(" " + c), MAX_CHUNKS)
 
     def piece(self, data: bytes) -> list[int]:
         """Ids of one piece."""
         whole = self.v.rank.get(data)
         if whole is not None:
             return [whole]
-        n, sizes, shorter, beside = len(data), self.sizes, self.v.shorter, self._beside
+        n, sizes, shorter, beside = len(data), self.sizes, self.v.shorter, self.pairs
         longest: list[int] = [-1] * (n + 1)
         for end, i in self.auto.iter(data.decode("latin-1")):
             longest[end + 1 - sizes[i]] = i  # later ends overwrite shorter matches
@@ -138,7 +130,7 @@ class Encoder:
         at, token = 0, longest[0]
         while at < n:
             end = at + sizes[token]
-            if end not in shut and (not out or beside(out[-1], token)):
+            if end not in shut and (not out or beside[out[-1] << 20 | token]):
                 out.append(token)
                 at = end
                 token = longest[at]
@@ -163,19 +155,6 @@ class Encoder:
         return self.by_pieces(first) + b"".join(map(self.chunks.__getitem__, rest))
 
 
-class _Memo(dict):
-    """Results by argument, emptied when full."""
-
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[key] = self.make(key)
-        return out
-
-
 _ENCODERS: dict = {}
 
 

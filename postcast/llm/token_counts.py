@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from postcast.llm.common import bounded_batches
+from postcast.llm.memo import Memo
 
 SLICE = 256
-MAX_WORDS = 500_000  # the worker's memo is emptied at this size; it only saves time
+MAX_WORDS = 300_000  # most entries of the worker's memo table
 LONGEST = 100
 _WORDS = re.compile(r"\w+|[^\w\s]")
 
@@ -67,7 +68,7 @@ class PieceCounter:
                         self.link[node], self.popped[node] = self.next[at][c], count
                 below += [(child, node, d) for d, child in self.next[node].items()]
             level = below
-        self.words: dict[str, int] = {}
+        self.words = Memo(self.word, MAX_WORDS, longest)
 
     def word(self, word: str) -> int:
         """Number of pieces of one word; 1 if it can't be covered."""
@@ -90,17 +91,7 @@ class PieceCounter:
         return count
 
     def count(self, text: str) -> int:
-        words, known = 0, self.words
-        for w in _WORDS.findall(text):
-            n = known.get(w)
-            if n is None:
-                if len(known) >= MAX_WORDS:
-                    known.clear()
-                n = self.word(w)
-                if len(w) <= self.longest:
-                    known[w] = n
-            words += n
-        return words
+        return sum(map(self.words.__getitem__, _WORDS.findall(text)))
 
 
 def pieces_of_words(vocabulary: list[str], begin: str = "▁", mark: str = "##") -> list[str]:
