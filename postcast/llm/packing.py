@@ -77,6 +77,10 @@ class WordTokenizer:
         self.words = Memo(self._of_word, MAX_WORDS)
         self.chunks = Memo(self._of_chunk, MAX_CHUNKS)
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.chunks.clear()
+
     def by_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
@@ -135,8 +139,7 @@ def pieces(docs: DataFrame, definition: str, end_id: int = 1, most: int = 4096,
     names = schema.names
     step = 4 * most
 
-    def run(batches):
-        tok = _tokenizer(key, shared)
+    def cut(tok, batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -154,6 +157,14 @@ def pieces(docs: DataFrame, definition: str, end_id: int = 1, most: int = 4096,
                     [part.column(k).take(pa.array(rows, pa.int32())) for k in range(len(keys))]
                     + [pa.array(number, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()),
                        pa.array(ids, pa.binary())], names=names)
+
+    def run(batches):
+        tok = _tokenizer(key, shared)
+        try:
+            yield from cut(tok, batches)
+        finally:  # the worker waits for other tasks without the memo tables
+            tok.forget()
+
     return src.mapInArrow(run, schema)
 
 
