@@ -40,8 +40,8 @@ from postcast.llm.memo import Memo
 BLOCKS = 256
 SLICE = 256
 # Most entries of the worker's memo tables.
-MAX_CHUNKS = 150_000
-MAX_WORDS = 250_000
+MAX_CHUNKS = 400_000
+MAX_WORDS = 300_000
 MARKS = ".,;:!?"
 
 
