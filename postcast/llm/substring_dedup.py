@@ -1,15 +1,22 @@
 """Substring dedup by hashing units of text.
 
-A text is cut into units: its lines, within a line its sentences, and within a
-long sentence its clauses; a long clause is cut before words that their hash
-picks, and very short units join the next one.  Units are
-normalised (lower case, single spaces) and hashed to 128 bits.  Digests are
-grouped over all documents; the earliest occurrence by (doc_id, text hash, unit
-number) stays.  Consecutive units that occur earlier form a span, and a span of
-at least ``MIN_WORDS`` words is removed, so a passage is found wherever it stands
-and however it is broken into lines, while a short sentence that documents share
-by chance is left alone.  Removed spans keep their offsets (code points) in the
-original text and the document in which their first unit occurs first.
+The words of a text (lower case, split at white space) are cut into pieces: in
+every ``WINDOW`` words in a row, a piece begins at the word with the smallest
+hash, the last one of equals.  A cut depends on the ``WINDOW - 1`` words on
+either side alone, and no piece but the last has more than ``WINDOW`` words.  A
+unit is ``JOINED`` pieces in a row, so units overlap and are too long to repeat
+by chance; a text of fewer pieces is one unit.  Units are hashed to 128 bits.
+Digests are grouped over all documents; the earliest occurrence by (doc_id, text
+hash, unit number) stays.  Units that occur earlier and touch form a span, and a
+span of at least ``MIN_WORDS`` words or ``MIN_CHARS`` characters is removed, so a
+passage is found wherever it stands and however it is broken into lines, while a
+short sentence that documents share by chance is left alone.  Of a repeated
+passage of n words, at least n + 3 - 4 * WINDOW lie in pieces that are cut alike
+everywhere, which is ``MIN_WORDS`` for n = 50.  A text that repeats an earlier
+one as a whole is removed whatever its length.  White space alone separates
+words, so a passage inside one long word is no passage.  Removed spans keep their
+offsets (code points) in the original text and the document in which their first
+unit occurs first.
 
 Counting is combined before the shuffle and comes first, so only units that
 occur twice meet their earliest occurrence; a digest that a third of all units
@@ -35,63 +42,49 @@ from pyspark.sql import types as T
 from postcast.llm.common import Scratch, bounded_batches
 
 MIN_WORDS = 25
+MIN_CHARS = 250  # of words joined by single spaces; for texts of long words
+WINDOW, JOINED = 7, 3
 SLICE = 256
-# Between units: white space after a closing mark, or around a line feed.
-_BREAK = re.compile(r"(?<=[.!?…])[^\S\n]+|[^\S\n]*\n\s*")
-# Sentences of more characters are cut at commas and the like, too; units of
-# fewer join the next.
-LONG, SHORT = 100, 12
-_PAUSE = re.compile(r"(?<=[,;:|])[^\S\n]+")
 _WORD = re.compile(r"\S+")
+_LOW = (1 << 31) - 1
+
+
+def piece_bounds(words: list[str]) -> list[int]:
+    """Numbers of the words that begin a piece, and the number of words."""
+    n = len(words)
+    if n < WINDOW:
+        return [0, n]
+    # the hash, then the place from the end: no two keys are equal
+    least = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, n) << 31 | (_LOW - np.arange(n))
+    wide = 1
+    while wide < WINDOW:  # minima of windows of 1, 2, 4, ... words
+        step = min(wide, WINDOW - wide)
+        least = np.minimum(least[:-step], least[step:])
+        wide += step
+    picked = _LOW - (least & _LOW)
+    picked = picked[np.flatnonzero(np.diff(picked, prepend=0))]  # they never decrease
+    return [0, *picked.tolist(), n]
+
+
+def unit_bounds(words: list[str]) -> list[tuple[int, int]]:
+    """First word and end of the units, in order."""
+    if not words:
+        return []
+    at = piece_bounds(words)
+    return list(zip(at, at[JOINED:])) or [(0, len(words))]
 
 
 def unit_spans(text: str) -> list[tuple[int, int]]:
-    """Begin and end of the units with a word, in order."""
-    spans = []
-    for a, b in _between(_BREAK, text, 0, len(text)):
-        if b - a <= LONG:
-            spans.append((a, b))
-        else:
-            for c, d in _between(_PAUSE, text, a, b):
-                spans.extend([(c, d)] if d - c <= LONG else _by_words(text, c, d))
-    out, begin = [], None
-    for a, b in spans:  # short units join the next one
-        if a == b or text[a:b].isspace():
-            continue
-        begin = a if begin is None else begin
-        if b - begin >= SHORT:
-            out.append((begin, b))
-            begin = None
-    if begin is not None:
-        out.append((begin, spans[-1][1] if text[begin:spans[-1][1]].strip() else len(text)))
-    return out
-
-
-def _between(breaks: re.Pattern, text: str, at: int, end: int) -> list[tuple[int, int]]:
-    out = []
-    for m in breaks.finditer(text, at, end):
-        out.append((at, m.start()))
-        at = m.end()
-    out.append((at, end))
-    return out
-
-
-def _by_words(text: str, at: int, end: int) -> list[tuple[int, int]]:
-    """A clause without a mark, cut before words that their own hash picks, so
-    the same words are cut alike wherever they stand."""
-    out = []
-    for m in _WORD.finditer(text, at, end):
-        if m.start() > at and zlib.crc32(m[0].encode()) % 8 == 0:
-            out.append((at, m.start()))
-            at = m.start()
-    out.append((at, end))
-    return out
+    """Begin and end of the units in the text, in order."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    return [(words[a][0], words[b - 1][1]) for a, b in unit_bounds([text[c:d].lower() for c, d in words])]
 
 
 def units(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per unit: the document (d, h), unit number, words, 128-bit digest."""
+    """One row per unit: the document (d, h), unit number, 128-bit digest; the whole
+    text has number -1."""
     src = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    schema = "d long, h long, u int, words int, d1 long, d2 long"
+    schema = "d long, h long, u int, d1 long, d2 long"
 
     def run(batches):
         import xxhash
@@ -99,27 +92,27 @@ def units(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                sizes, words, digests = [], [], []
+                sizes, digests = [], []
                 for t in part.column(2).to_pylist():
-                    spans = unit_spans(t) if t else []
-                    sizes.append(len(spans))
+                    words = t.lower().split() if t else []
+                    spans = unit_bounds(words)
+                    sizes.append(len(spans) + 1 if spans else 0)
+                    if spans:
+                        digests.append(digest("\n" + " ".join(words)))  # equal to no unit
                     for a, b in spans:
-                        tokens = t[a:b].lower().split()
-                        words.append(len(tokens))
-                        digests.append(digest(" ".join(tokens)))
+                        digests.append(digest(" ".join(words[a:b])))
                 rows = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                number = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.empty(0)
+                number = np.concatenate([np.arange(-1, n - 1) for n in sizes]) if sizes else np.empty(0)
                 both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(rows), part.column(1).take(rows), pa.array(number, pa.int32()),
-                     pa.array(words, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])],
-                    names=["d", "h", "u", "words", "d1", "d2"])
+                     pa.array(both[:, 0]), pa.array(both[:, 1])], names=["d", "h", "u", "d1", "d2"])
     return src.mapInArrow(run, schema)
 
 
 def later_units(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """Per document (d, h): the units that occur earlier, with their words and
-    the document of the earliest occurrence, by unit number."""
+    """Per document (d, h): the units that occur earlier, with the document of the
+    earliest occurrence, by unit number."""
     every = scratch.save(units(docs, text), "units")
     # counts and minima are written, so that either side of a join is a plain
     # exchange, which AQE can split where a digest is very frequent
@@ -127,7 +120,7 @@ def later_units(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFr
     seen = scratch.save(every.join(twice, ["d1", "d2"]), "repeated")
     first = scratch.save(seen.groupBy("d1", "d2").agg(F.min(F.struct("d", "h", "u")).alias("first")), "first")
     later = seen.join(first, ["d1", "d2"]).where(F.struct("d", "h", "u") > F.col("first"))
-    flags = later.select("d", "h", F.struct("u", "words", F.col("first.d").alias("source")).alias("unit")).distinct()
+    flags = later.select("d", "h", F.struct("u", F.col("first.d").alias("source")).alias("unit")).distinct()
     out = scratch.save(flags.groupBy("d", "h").agg(F.sort_array(F.collect_list("unit")).alias("units")), "later")
     scratch.drop(every, twice, seen, first)
     return out
@@ -138,13 +131,15 @@ def cut(text: str | None, flagged: list[dict] | None, min_words: int):
     if not flagged:
         return text, []
     spans = unit_spans(text)
+    whole = flagged[0]["u"] < 0
     removed, run = [], []
-    for f in [*flagged, None]:
-        if run and (f is None or f["u"] != run[-1]["u"] + 1):
-            if sum(x["words"] for x in run) >= min_words:
-                last = run[-1]["u"]
-                end = spans[last + 1][0] if last + 1 < len(spans) else len(text)  # with the break behind it
-                removed.append((spans[run[0]["u"]][0], end, run[0]["source"]))
+    for f in [*flagged[whole:], None]:
+        if run and (f is None or f["u"] > run[-1]["u"] + JOINED):  # they neither overlap nor touch
+            begin, end = spans[run[0]["u"]][0], spans[run[-1]["u"]][1]
+            words = text[begin:end].split()
+            if whole or len(words) >= min_words or len(" ".join(words)) >= MIN_CHARS:
+                after = _WORD.search(text, end)
+                removed.append((begin, after.start() if after else len(text), run[0]["source"]))  # with the break behind it
             run = []
         run.append(f)
     kept, at = [], 0

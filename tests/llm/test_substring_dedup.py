@@ -88,3 +88,25 @@ def test_columns_and_empty_table(make_docs):
     docs = make_docs([(1, "a b c")]).withColumns({"d": F.lit(1), "units": F.lit(2), "h": F.lit("x")})
     out = dedup_substrings(docs)
     assert out.columns == [*docs.columns, "removed"] and out.first().units == 2
+
+
+def test_no_passage_of_51_words_stays(words):
+    rng = random.Random(17)
+    for n in range(1500):
+        w = words(rng, 51) if n % 3 else " ".join(rng.choice(["so", "on", "and", "Then"]) for _ in range(51))
+        if n % 2:
+            w = w.replace(" ", ". ", rng.randint(1, 20)).replace(". ", ", ", rng.randint(0, 5))
+        texts = [f"{words(rng, rng.randint(0, 40))} {w} {words(rng, rng.randint(0, 40))}" for _ in range(2)]
+        out = brute([(1, texts[0]), (2, texts[1].replace(" ", "\n", rng.randint(0, 30)))])
+        assert sum(len(texts[1][a:b].split()) for a, b, s in out[2][1] if s == 1) >= MIN_WORDS, texts
+
+
+def test_short_and_long_repeats(make_docs, words):
+    rng = random.Random(18)
+    far = " ".join("x" * 40 + str(rng.random()) for _ in range(20))  # 20 words, over 1,000 characters
+    pairs = [(1, "Thank you."), (2, "thank  you."), (3, "He said: thank you. And left."), (4, far + " one two"),
+             (5, far + " three four")]
+    got = {r.doc_id: r for r in dedup_substrings(make_docs(pairs)).collect()}
+    assert got[2].text == "" and [tuple(s) for s in got[2].removed] == [(0, 11, 1)]
+    assert got[1].text == pairs[0][1] and got[3].text == pairs[2][1] and got[4].text == pairs[3][1]
+    assert len(got[5].text) < 700 and got[5].removed[0].source == 4
