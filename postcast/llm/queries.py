@@ -11,7 +11,7 @@ from postcast.llm.common import read_documents
 from postcast.llm.line_dedup import dedup_lines
 from postcast.llm.quality_rules import judge
 from postcast.llm.substring_dedup import dedup_substrings
-from postcast.llm.token_counts import count_tokens, pieces_of_words
+from postcast.llm.token_counts import count_tokens, marked_pieces
 from postcast.llm.url_filters import judge_urls
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -23,7 +23,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
     listed = [model.id_to_piece(i) for i in range(model.get_piece_size())
               if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))]
-    return count_tokens(read_documents(spark, sf_dir).select("doc_id", "text"), pieces_of_words(listed))
+    return count_tokens(read_documents(spark, sf_dir).select("doc_id", "text"), marked_pieces(listed), begin="▁")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

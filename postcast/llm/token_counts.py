@@ -9,7 +9,10 @@ character twice.  A word takes linear time, whatever its pieces.
 
 Words are runs of word characters and single other characters; white space
 separates them.  A word that the vocabulary cannot cover, or one that is longer
-than ``longest`` characters, counts as one unknown token.
+than ``longest`` characters, counts as one unknown token.  In a vocabulary that
+marks the begin of words, a word is matched with the mark before it: where no
+longer piece begins so, the bare mark is a piece of its own (no piece, if the
+vocabulary lacks it) and any piece may follow.
 
 Defined cases: a null, empty or blank text has no tokens; repeated rows are
 counted alike; extra columns stay out of the result unless named as keys; an
@@ -35,10 +38,12 @@ _WORDS = re.compile(r"\w+|[^\w\s]")
 
 class PieceCounter:
     """Counts the pieces of a word.  ``pieces``: those that begin a word as they
-    are, those that continue one with the prefix ``mark``."""
+    are, those that continue one with the prefix ``mark``.  ``begin``: a mark that
+    stands before every word, as in ``marked_pieces``."""
 
-    def __init__(self, pieces: list[str], mark: str = "##", longest: int = LONGEST):
+    def __init__(self, pieces: list[str], mark: str = "##", longest: int = LONGEST, begin: str = ""):
         self.longest = longest
+        self.begin = begin
         self.next: list[dict[str, int]] = [{}, {}]  # roots: begin 0, continue 1
         ends = {}
         for p in pieces:
@@ -61,6 +66,8 @@ class PieceCounter:
                     self.link[node], self.popped[node] = 1, 1
                 else:
                     at, count = self.link[parent], self.popped[parent]
+                    if parent == 0 and c == begin:  # a mark that is no piece counts nothing
+                        self.link[node] = 1
                     while at >= 0 and c not in self.next[at]:
                         count += self.popped[at]
                         at = self.link[at]
@@ -76,7 +83,7 @@ class PieceCounter:
             return 1
         next_, link, popped = self.next, self.link, self.popped
         node, count = 0, 0
-        for c in word:
+        for c in self.begin + word:
             while c not in next_[node]:
                 if link[node] < 0:
                     return 1
@@ -106,23 +113,30 @@ def pieces_of_words(vocabulary: list[str], begin: str = "▁", mark: str = "##")
     return [p for p in out if p and p != mark]
 
 
+def marked_pieces(vocabulary: list[str], begin: str = "▁", mark: str = "##") -> list[str]:
+    """Word pieces for a counter that puts ``begin`` before every word: marked
+    pieces keep their mark, the others, and the bare mark, may stand anywhere else."""
+    marked = [p for p in vocabulary if p.startswith(begin)]
+    return marked + [mark + p for p in vocabulary if p and (p == begin or not p.startswith(begin))]
+
+
 _COUNTERS: dict[str, PieceCounter] = {}
 
 
 def count_tokens(docs: DataFrame, pieces: list[str], keys: list[str] = ["doc_id"], text: str = "text",
-                 mark: str = "##") -> DataFrame:
+                 mark: str = "##", begin: str = "") -> DataFrame:
     """Key columns and ``n_tokens`` of every whole text.  The vocabulary, some
     hundred kilobytes, is broadcast; each worker builds its trie once."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
-    key = hashlib.sha256("\0".join([mark, *pieces]).encode()).hexdigest()
+    key = hashlib.sha256("\0".join([mark, begin, *pieces]).encode()).hexdigest()
     src = docs.select(*keys, docs[text].alias("_text_"))
     schema = T.StructType([src.schema[k] for k in keys] + [T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
         if key not in _COUNTERS:
             _COUNTERS.clear()
-            _COUNTERS[key] = PieceCounter(shared.value, mark)
+            _COUNTERS[key] = PieceCounter(shared.value, mark, begin=begin)
         counter = _COUNTERS[key]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):

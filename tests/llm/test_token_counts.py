@@ -1,6 +1,6 @@
 import random
 
-from postcast.llm.token_counts import PieceCounter, count_tokens, pieces_of_words
+from postcast.llm.token_counts import PieceCounter, count_tokens, marked_pieces, pieces_of_words
 
 
 def greedy(pieces, word, longest=100):
@@ -45,3 +45,39 @@ def test_hard_rows(spark, make_docs, hard):
 
 def test_empty_table(spark, make_docs):
     assert count_tokens(make_docs([]), ["a"]).collect() == []
+
+
+def real_vocabulary():
+    import sentencepiece
+    from postcast.llm.queries import vocabulary
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    return [model.id_to_piece(i) for i in range(model.get_piece_size())
+            if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i))]
+
+
+def greedy_marked(listed, word):
+    """Greedy search over the vocabulary as it is, with the mark before the word."""
+    text, at, n = "▁" + word, 0, 0
+    while at < len(text):
+        end = next((e for e in range(len(text), at, -1) if text[at:e] in listed), None)
+        if end is None:
+            return 1
+        at, n = end, n + 1
+    return n
+
+
+def test_numbers_and_other_scripts():
+    listed = real_vocabulary()
+    pieces = set(listed)
+    counter = PieceCounter(marked_pieces(listed), begin="▁")
+    rng = random.Random(8)
+    chars = sorted({c for p in listed for c in p if c.isalnum()})
+    drawn = ["".join(rng.choice(chars) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    for w in ["2024", "7", "ñandú", "Être", "Ελλάδα", "Москва", "العربية", "漢字", "the", "x\u0378", "▁", "%", *drawn]:
+        assert counter.word(w) == greedy_marked(pieces, w), w
+    assert counter.word("2024") == 5 and counter.word("Москва") > 1 and counter.word("x\u0378") == 1
+
+
+def test_mark_that_is_no_piece():
+    c = PieceCounter(marked_pieces(["▁the", "th", "1", "2", "▁▁"]), begin="▁")
+    assert [c.word(w) for w in ("the", "12", "th1", "x")] == [1, 2, 2, 1]
