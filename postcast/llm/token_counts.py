@@ -9,7 +9,8 @@ character twice.  A word takes linear time, whatever its pieces.
 
 Words are runs of word characters and single other characters; white space
 separates them.  A word that the vocabulary cannot cover, or one that is longer
-than ``longest`` characters, counts as one unknown token.  In a vocabulary that
+than ``longest`` characters, counts as one unknown token; ``count_tokens`` has no
+such bound.  In a vocabulary that
 marks the begin of words, a word is matched with the mark before it: where no
 longer piece begins so, the bare mark is a piece of its own (no piece, if the
 vocabulary lacks it) and any piece may follow.
@@ -32,7 +33,7 @@ from postcast.llm.memo import Memo
 
 SLICE = 256
 MAX_WORDS = 300_000  # most entries of the worker's memo table
-LONGEST = 100
+LONGEST = 100  # characters of a word in the memo table
 _WORDS = re.compile(r"\w+|[^\w\s]")
 
 
@@ -41,7 +42,7 @@ class PieceCounter:
     are, those that continue one with the prefix ``mark``.  ``begin``: a mark that
     stands before every word, as in ``marked_pieces``."""
 
-    def __init__(self, pieces: list[str], mark: str = "##", longest: int = LONGEST, begin: str = ""):
+    def __init__(self, pieces: list[str], mark: str = "##", longest: int | None = LONGEST, begin: str = ""):
         self.longest = longest
         self.begin = begin
         self.next: list[dict[str, int]] = [{}, {}]  # roots: begin 0, continue 1
@@ -75,11 +76,11 @@ class PieceCounter:
                         self.link[node], self.popped[node] = self.next[at][c], count
                 below += [(child, node, d) for d, child in self.next[node].items()]
             level = below
-        self.words = Memo(self.word, MAX_WORDS, longest)
+        self.words = Memo(self.word, MAX_WORDS, LONGEST)
 
     def word(self, word: str) -> int:
         """Number of pieces of one word; 1 if it can't be covered."""
-        if len(word) > self.longest:
+        if self.longest is not None and len(word) > self.longest:
             return 1
         next_, link, popped = self.next, self.link, self.popped
         node, count = 0, 0
@@ -136,7 +137,7 @@ def count_tokens(docs: DataFrame, pieces: list[str], keys: list[str] = ["doc_id"
     def run(batches):
         if key not in _COUNTERS:
             _COUNTERS.clear()
-            _COUNTERS[key] = PieceCounter(shared.value, mark, begin=begin)
+            _COUNTERS[key] = PieceCounter(shared.value, mark, None, begin)
         counter = _COUNTERS[key]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):

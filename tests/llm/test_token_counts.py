@@ -81,3 +81,10 @@ def test_numbers_and_other_scripts():
 def test_mark_that_is_no_piece():
     c = PieceCounter(marked_pieces(["▁the", "th", "1", "2", "▁▁"]), begin="▁")
     assert [c.word(w) for w in ("the", "12", "th1", "x")] == [1, 2, 2, 1]
+
+
+def test_words_of_any_length(spark, make_docs):
+    docs = make_docs([(1, "a" * 100_000), (2, "ab" * 60 + " a"), (3, "7" * 5000)])
+    assert dict(tuple(r) for r in count_tokens(docs, ["a", "##a"]).collect()) == {1: 100_000, 2: 2, 3: 1}
+    pieces = marked_pieces(real_vocabulary())
+    assert dict(tuple(r) for r in count_tokens(docs, pieces, begin="▁").collect())[3] == 5001
