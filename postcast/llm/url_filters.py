@@ -7,6 +7,10 @@ links are edges between urls, connected components over them propagate block
 decisions, and an explicit allow anywhere in the component takes precedence
 over its blocks.  Default: allow.
 
+Every closed tag counts, whatever its length.  Targets are resolved against the
+page's url (a ``base`` tag is not read), ``&amp;`` in them is decoded; targets of
+schemes without ``//`` are no urls.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 no rule and no aliases; null html has no links; repeated rows are judged alike;
 extra columns are ignored; an empty table gives an empty result.
@@ -19,12 +23,18 @@ from pyspark.sql import functions as F
 from postcast.llm.common import Scratch, ascii_lower, connected_components
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
-# One tag of at most about 2,000 characters; unclosed tags can't make matching quadratic.
+# For the oracle SQL: one tag of at most about 2,000 characters; unclosed tags can't make matching quadratic.
 CANONICAL = r"(?is)<link\b[^<>]{0,1000}?\brel\s{0,9}=\s{0,9}[\"']?canonical\b[^<>]{0,1000}>"
 REFRESH = r"(?is)<meta\b[^<>]{0,1000}?\bhttp-equiv\s{0,9}=\s{0,9}[\"']?refresh\b[^<>]{0,1000}>"
 HREF = r"(?is)\bhref\s{0,9}=\s{0,9}[\"']?([^\"'\s>]+)"
 REFRESH_URL = r"(?is)\burl\s{0,9}=\s{0,9}[\"']?([^\"'\s>]+)"
 
+# Of the text between < and >, whatever its length.
+LINK_TAG = r"(?is)^link\b.*?\brel\s*+=\s*+[\"']?canonical\b"
+META_TAG = r"(?is)^meta\b.*?\bhttp-equiv\s*+=\s*+[\"']?refresh\b"
+TAG_HREF = r"(?is)\bhref\s*+=\s*+[\"']?([^\"'\s>]+)"
+TAG_URL = r"(?is)\burl\s*+=\s*+[\"']?([^\"'\s>]+)"
+
 
 def host_of(url: Column) -> Column:
     return ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), PARTS, 1))
@@ -50,15 +60,41 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,action:string>")
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its . and .. segments."""
+    kept = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), lambda done, part:
+                       F.when(part == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1))))
+                       .when(part == ".", done).otherwise(F.concat(done, F.array(part))))
+    end = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.when(path.contains("/."), F.concat(F.array_join(kept, "/"), end)).otherwise(path)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The target as an absolute url; null where it is none."""
+    path, rest = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"(?s)[?#].*$", 0)
+    folder = F.regexp_extract(path_of(url), r"(?s)^.*/", 0)
+    full = F.when(path == "", path_of(url)).when(path.startswith("/"), _without_dots(path)) \
+        .otherwise(_without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), path)))
+    query = F.when((path == "") & ~rest.startswith("?"), F.regexp_extract(url, PARTS, 3)).otherwise(rest)
+    return F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target) \
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target)) \
+        .when((target != "") & ~target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"),
+              F.concat(F.lit("http://"), host_of(url), full, query))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b, target): from a page's url to the target of its canonical link and
-    of its redirect; only absolute targets are urls."""
-    tag = F.explode(F.array(
-        F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract("html", REFRESH, 0), REFRESH_URL, 1)))
-    links = pages.where("html IS NOT NULL").select("url", tag.alias("target"))
-    return links.where(F.col("target").contains("://")).select(
-        url_key(F.col("url")).alias("a"), url_key(F.col("target")).alias("b")).where("a IS NOT NULL")
+    """(a, b): from a page's url to the targets of its canonical links and of its
+    redirects."""
+    pieces = F.split("html", "<", -1)
+    tags = F.filter(F.slice(pieces, F.lit(2), F.size(pieces)),
+                    lambda p: p.rlike(r"(?i)^(?:link|meta)\b") & p.contains(">"))
+    targets = F.transform(F.transform(tags, lambda p: F.substring_index(p, ">", 1)), lambda t:
+                          F.when(t.rlike(LINK_TAG), F.regexp_extract(t, TAG_HREF, 1))
+                          .when(t.rlike(META_TAG), F.regexp_extract(t, TAG_URL, 1)))
+    links = pages.where("html IS NOT NULL").where(F.col("url").contains("://")) \
+        .select("url", F.explode(targets).alias("target")).where("target IS NOT NULL")
+    to = resolved(F.replace(F.col("target"), F.lit("&amp;"), F.lit("&")), F.col("url"))
+    return links.select(url_key(F.col("url")).alias("a"), url_key(to).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]],

@@ -88,3 +88,21 @@ def test_empty_table_and_clashing_columns(spark):
     odd = spark.createDataFrame([(1, "http://a.com/", None, "x", "y", "z")],
                                 SCHEMA + ", host string, verdict string, component string")
     assert judge_urls(odd, URL_RULES).first().verdict == "allow"
+
+
+def refresh(url):
+    return f'<meta http-equiv="refresh" content="0; url={url}">'
+
+
+def test_relative_targets_and_long_tags(spark):
+    pad = 'data-x="' + "y" * 5000 + '" '
+    got = judged(spark, [
+        (1, "http://a.net/x", refresh("/es/1")), (2, "http://b.org/x", canonical("//c.net/fr/1")),
+        (3, "http://d.net/es/q", None), (4, "http://d.net/x/y/z", canonical("../../es/./2")),
+        (5, "http://e.org/1", f'<link {pad}rel="canonical" {pad}href="http://f.net/es/1">'),
+        (6, "http://g.org/1", canonical("http://g.org/1") + canonical("http://h.net/es/1")),
+        (7, "http://i.org/1", refresh("http://k.org/?a=1&amp;b=2")), (8, "http://k.org/?a=1&b=2", refresh("//l.net/fr/")),
+        (9, "http://m.net", canonical("es/1")), (10, "http://n.org/", canonical("mailto:x@n.net")),
+        (11, "http://o.org/?u", canonical("/go?to=http://p.net/es/1")), (12, "http://q.org/a/?u", canonical("#top"))])
+    assert {k for k, r in got.items() if r.verdict == "block"} == {1, 2, 3, 4, 5, 6, 7, 8, 9}
+    assert got[10].component is None and got[11].component == "o.org/?u" and got[12].component is None
