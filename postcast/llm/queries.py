@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postcast.llm import bpe, chat, packing, simhash, sketches
+from postcast.llm import alignment, bpe, chat, packing, simhash, sketches
 from postcast.llm.common import read_documents
 from postcast.llm.line_dedup import dedup_lines
 from postcast.llm.quality_rules import judge
@@ -103,6 +103,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f, open(vocabulary("piece_bpe_32k.model"), "rb") as g:
+        return alignment.align(docs, f.read(), g.read())
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
@@ -114,4 +120,5 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
 }
