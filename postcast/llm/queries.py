@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from postcast.llm import alignment, bpe, chat, packing, simhash, sketches
 from postcast.llm.common import read_documents
+from postcast.llm.hard_negatives import hard_negatives, quantised
 from postcast.llm.line_dedup import dedup_lines
 from postcast.llm.quality_rules import judge
 from postcast.llm.substring_dedup import dedup_substrings
@@ -109,6 +110,13 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
         return alignment.align(docs, f.read(), g.read())
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantised(read_documents(spark, sf_dir, "embeddings"), scale=256)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumn("label", label)
+    return hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0), positives=5, negatives=5, share=80)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
@@ -121,4 +129,5 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
 }

@@ -23,4 +23,4 @@ def test_query_equals_sql(spark, key):
 
 def test_every_operator_has_a_query():
     names = {k.split("_")[0] for k in E.queries() if re.match(r"op\d+_", k)}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in E.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in E.queries()
