@@ -31,13 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postcast.llm.cells import columns, first_of, in_cells, matrix
 from postcast.llm.common import Scratch
 
 BITS = 128  # least number of bits of a code
 QUERY_BITS = 6
-SPREAD = 2.5  # standard deviations of the error bound
+SPREAD = 2.0  # standard deviations of the error bound
+FIRST = 64  # rows of a cell that are scored first
 PAIRS = 1 << 21  # estimates that a task holds at a time
 SEED = 42
 
@@ -66,7 +68,7 @@ def turned(x: np.ndarray, centre: np.ndarray, bits: int, seed: int):
     """Turned unit vectors, the lengths of what was left beside the centre, and the
     inner products with the centre."""
     x, size = _measured(x)
-    unit = x / size[:, None]
+    unit = (x / size[:, None])[:, :len(centre)]  # no row has what goes beyond
     rest = unit - centre
     left = np.sqrt((rest * rest).sum(1))
     rest = rest / np.where(left > 0, left, 1.0)[:, None]
@@ -123,13 +125,13 @@ def nearest(q_ids, q, ids, y, code, centre: np.ndarray, k: int, bits: int, seed:
         guess = inner * scale + along_q[part, None] + along - centre @ centre
         error = error * scale + 1e-12
         guess[q_ids[part, None] == ids] = -np.inf
-        kk = min(k, len(ids))
-        best = np.argpartition(-guess, kk - 1, axis=1)[:, :kk]
-        i = np.repeat(np.arange(len(best)), kk)
-        first = cosines(q[part], q_size[part], y, y_size, i, best.ravel()).reshape(best.shape)
-        own = np.isneginf(np.take_along_axis(guess, best, 1))
-        low = np.partition(guess - error, len(ids) - kk, axis=1)[:, len(ids) - kk]
-        reach = np.maximum(np.where(own, -np.inf, first).min(1), low)
+        # the k-th of some exact scores, and the k-th lower bound
+        kk, some = min(k, len(ids)), min(max(8 * k, FIRST), len(ids))
+        best = np.argpartition(-guess, some - 1, axis=1)[:, :some]
+        first = cosines(q[part], q_size[part], y, y_size, np.repeat(np.arange(len(best)), some), best.ravel())
+        first = np.where(np.isneginf(np.take_along_axis(guess, best, 1)), -np.inf, first.reshape(best.shape))
+        reach = np.maximum(np.partition(first, some - kk, axis=1)[:, some - kk],
+                           np.partition(guess - error, len(ids) - kk, axis=1)[:, len(ids) - kk])
         i, j = np.nonzero((guess + error >= reach[:, None]) & ~np.isneginf(guess))
         score = cosines(q[part], q_size[part], y, y_size, i, j)
         scored += len(i) + first.size
@@ -175,7 +177,8 @@ def build_index(rows: DataFrame, k: int, bits: int = BITS, seed: int = SEED) ->
     for r in sums:
         centre[r["at"]] = r["s"]
     centre /= max(1, few.count())
-    schema = few.schema.add("words", "binary").add("match", "double").add("left", "double").add("along", "double")
+    schema = T.StructType([*few.schema.fields, T.StructField("words", T.BinaryType()),
+                           *(T.StructField(n, T.DoubleType()) for n in ("match", "left", "along"))])
 
     def run(batches):
         for batch in batches:
@@ -203,9 +206,8 @@ def search(queries: DataFrame, index: Index, k: int, spread: float = SPREAD, **b
             packed = right.column("words").combine_chunks()
             words = np.frombuffer(b"".join(packed.to_pylist()), "<u8").reshape(-1, bits // 64)
             q = matrix(left.column("v"), width)
-            if q.shape[1] > width:  # what no row has adds to the query's length alone
-                raise ValueError("a query is longer than the index")
-            found, _ = nearest(*columns(left, "vec_id"), q, *columns(right, "vec_id"), matrix(right.column("v"), width),
+            y = matrix(right.column("v"), q.shape[1])
+            found, _ = nearest(*columns(left, "vec_id"), q, *columns(right, "vec_id"), y,
                                (words, *columns(right, "match", "left", "along")), centre, k, bits, seed, spread)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), found)))
     hits = in_cells(queries.select("vec_id", "v"), index.rows, kernel, schema, **blocks)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postcast.llm import alignment, bpe, chat, packing, simhash, sketches
+from postcast.llm import alignment, ann, bpe, chat, packing, simhash, sketches
 from postcast.llm.common import read_documents
 from postcast.llm.hard_negatives import hard_negatives, quantised
 from postcast.llm.line_dedup import dedup_lines
@@ -117,6 +117,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0), positives=5, negatives=5, share=80)
 
 
+def op13_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.usable(read_documents(spark, sf_dir, "embeddings"))
+    return ann.search(rows.where(F.col("vec_id") % 50 == 0), ann.build_index(rows, k=5), k=5)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_substring_dedup": op2_substring_dedup,
@@ -130,4 +135,5 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_approximate_nearest_neighbours": op13_approximate_nearest_neighbours,
 }
