@@ -161,22 +161,29 @@ class Index:
         self.rows, self.centre, self.bits, self.seed = rows, centre, bits, seed
 
 
+def mean_direction(rows: DataFrame, width: int) -> np.ndarray:
+    """Mean of all vectors, each scaled to length one: one sum per dimension."""
+    def sums(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, size = _measured(matrix(pa.chunked_array([batch.column(0)]), width))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array((x / size[:, None]).sum(0)),
+                                                  pa.array(np.full(width, batch.num_rows))], names=["at", "s", "n"])
+    total = rows.select("v").mapInArrow(sums, "at long, s double, n long").groupBy("at").agg(
+        (F.sum("s") / F.sum("n")).alias("mean"))
+    out = np.zeros(width)
+    for r in total.collect():  # one row per dimension
+        out[r["at"]] = r["mean"]
+    return out
+
+
 def build_index(rows: DataFrame, k: int, bits: int = BITS, seed: int = SEED) -> Index:
     """Index of ``usable`` rows for searches of up to k neighbours."""
     scratch = Scratch(rows.sparkSession, "ann")
     few = scratch.save(first_of(rows, ["v"], ["vec_id"], k + 1, "_n").drop("_n"), "distinct")
     width = few.agg(F.max(F.size("v"))).first()[0] or 0
     bits = -(-max(bits, width) // 64) * 64
-    most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))  # scaled first, so that squares fit
-    scaled = F.transform("v", lambda x: x.cast("double") / F.col("_most"))
-    size = F.sqrt(F.aggregate(F.col("_scaled"), F.lit(0.0), lambda s, x: s + x * x))
-    unit = few.withColumn("_most", most).withColumn("_scaled", scaled).select(
-        size.alias("_size"), F.posexplode("_scaled").alias("at", "x"))
-    sums = unit.groupBy("at").agg(F.sum(F.col("x") / F.col("_size")).alias("s")).collect()  # one row per dimension
-    centre = np.zeros(width)
-    for r in sums:
-        centre[r["at"]] = r["s"]
-    centre /= max(1, few.count())
+    centre = mean_direction(few, width)
     schema = T.StructType([*few.schema.fields, T.StructField("words", T.BinaryType()),
                            *(T.StructField(n, T.DoubleType()) for n in ("match", "left", "along"))])
 
