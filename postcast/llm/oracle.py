@@ -58,34 +58,27 @@ SELECT page_id, host, path, rule, coalesce(r.action, d.verdict, 'allow') AS verd
 FROM page_rule r LEFT JOIN comp c ON c.node = r.k LEFT JOIN decided d ON d.component = c.component
 """
 
-# Each text's repeats by their content: the shortest runs of at least 30
-# characters that begin or end with a line, all but the earliest occurrence.
+# A line goes where it occurred before; the windows of 1, 2, 4, ... lines by their content.
 OP8 = rf"""
 WITH l AS (
-  SELECT doc_id, text, j, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM (
-    SELECT doc_id, text, string_split(text, chr(10)) AS ls, 0 AS j FROM documents)),
-s AS (SELECT doc_id, n, line, length(line) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS j
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM (
+    SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+s AS (SELECT doc_id, n, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS j
       FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-p AS (SELECT *, sum(len) OVER (PARTITION BY doc_id ORDER BY j) AS e FROM s),
-a AS (SELECT *, e - len AS b, max(j) OVER d AS last, max(e) OVER d AS total FROM p WINDOW d AS (PARTITION BY doc_id)),
-w AS (SELECT *,
-        coalesce(min(j) OVER (PARTITION BY doc_id ORDER BY b RANGE BETWEEN 30 FOLLOWING AND UNBOUNDED FOLLOWING),
-          CASE WHEN total - b >= 30 THEN last + 1 END) - j AS ahead,
-        j + 1 - coalesce(max(j) OVER (PARTITION BY doc_id ORDER BY e RANGE BETWEEN UNBOUNDED PRECEDING AND 30 PRECEDING) + 1,
-          CASE WHEN e >= 30 THEN 0 END) AS back FROM a),
-runs AS (SELECT doc_id, j AS start, ahead AS m FROM w WHERE ahead IS NOT NULL
-         UNION SELECT doc_id, j - back + 1, back FROM w WHERE back IS NOT NULL),
 docs AS (SELECT doc_id, list(line ORDER BY j) AS ls FROM s GROUP BY doc_id),
-content AS (SELECT doc_id, start, m, ls[CAST(start AS INT) + 1:CAST(start + m AS INT)] AS body FROM runs JOIN docs USING (doc_id)),
-ranked AS (SELECT doc_id, start, m, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS nth FROM content),
-gone AS (SELECT DISTINCT doc_id, unnest(generate_series(start, start + m - 1)) AS j FROM ranked WHERE nth > 1),
-flagged AS (SELECT s.doc_id, s.n, s.j, gone.j IS NOT NULL AS del FROM s LEFT JOIN gone USING (doc_id, j)),
+sizes AS (SELECT doc_id, ls, unnest([CAST(2 ** t AS BIGINT) FOR t IN range(CAST(floor(log2(len(ls))) AS BIGINT) + 1)]) AS m
+          FROM docs),
+windows AS (SELECT doc_id, m, ls, unnest(range(len(ls) - m + 1)) AS j FROM sizes),
+ranked AS (SELECT doc_id, m, row_number() OVER (PARTITION BY m, ls[j + 1:j + m] ORDER BY doc_id, j) AS nth FROM windows),
+longest AS (SELECT doc_id, max(m) AS longest FROM ranked WHERE nth > 1 GROUP BY doc_id),
+flagged AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, j) > 1 AS del FROM s),
 tally AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (del) AS n_deleted FROM flagged GROUP BY doc_id),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.n) AS body
          FROM l LEFT JOIN flagged f ON f.doc_id = l.doc_id AND f.n = l.n WHERE NOT coalesce(f.del, false) GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted,
+  CAST(coalesce(longest, 0) AS BIGINT) AS longest,
   CASE WHEN coalesce(n_deleted, 0) = 0 THEN d.text WHEN n_deleted = n_lines THEN '' ELSE body END AS text
-FROM documents d LEFT JOIN tally USING (doc_id) LEFT JOIN kept USING (doc_id)
+FROM documents d LEFT JOIN tally USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 _CONTROLS = "|".join([r"\\"] + [re.escape(c) for c in sorted(CONTROLS, key=len, reverse=True)])

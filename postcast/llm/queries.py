@@ -87,7 +87,8 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir).select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), "text")
+    return dedup_lines(docs, min_chars=1).select(
+        "doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), "longest", "text")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
