@@ -23,6 +23,11 @@ from postcast.llm.substring_dedup import dedup_substrings
 from postcast.session import ship_package
 
 
+# Repeated runs of lines with fewer characters stay: headings, list marks and
+# closing brackets that clean documents share.
+LINE_CHARS = 30
+
+
 def _with_new_text(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The input's columns after a change of ``text``; the other columns travel in
     one struct, so none of their names can clash with the operator's."""
@@ -46,7 +51,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the later copies of repeated line runs."""
-    return _with_new_text(docs, dedup_lines)
+    return _with_new_text(docs, lambda d: dedup_lines(d, min_chars=LINE_CHARS))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
