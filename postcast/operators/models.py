@@ -1,6 +1,6 @@
 """Models as Spark jobs (M3-M6, S10): boosted regression on log1p targets,
 balanced 5-class forest with probabilities, batch prediction, and per-row
-tree-path attribution.
+Shapley attribution.
 
 Only bounded things reach the driver: class weights (<= 5 rows) and the node
 table of a trained model (trees x nodes), which is broadcast to the tasks that
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from postcast.constants import N_CLASSES
 from postcast.functions.labels import argmax, expected_score, from_log, log_target, reception_class
+from postcast.operators.shapley import Tree, shapley_values
 from postcast.operators.stats import with_class_weight
 from postcast.session import scratch_path, ship_package
 
@@ -48,9 +49,9 @@ def fit_regressor(train: DataFrame, label: str, features: str = "features",
     a row did not improve their error; the best prefix is kept.
 
     MLlib itself stops at the first round that does not improve, so the rounds are
-    grown here: fit, read the validation error of every prefix, double the rounds
-    while it is not settled, and fit once more with the best number of rounds (the
-    seed makes that the prefix of the longer fit)."""
+    grown here: fit, read the validation error of every prefix, and cut the trees
+    behind the best prefix off the model.  Only where the error is not settled after
+    the first rounds are more grown, twice as many each time."""
     from pyspark.ml.regression import GBTRegressor
     p = dict(GBT_DEFAULTS)
     p.update(params)
@@ -60,8 +61,7 @@ def fit_regressor(train: DataFrame, label: str, features: str = "features",
         return GBTRegressor(featuresCol=features, labelCol="_y", **(p | {"maxIter": rounds})).fit(rows)
     if not validation_col:
         return fit(data, p["maxIter"])
-    held = data.filter(F.col(validation_col))
-    rows = data.filter(~F.col(validation_col))
+    held, rows = data.filter(F.col(validation_col)), data.filter(~F.col(validation_col))
     if not held.take(1):
         return fit(rows, p["maxIter"])
     rounds = min(p["maxIter"], patience + 14)
@@ -69,10 +69,28 @@ def fit_regressor(train: DataFrame, label: str, features: str = "features",
         model = fit(rows, rounds)
         best, settled = best_rounds(model.evaluateEachIteration(held, "squared"), patience)
         if settled or rounds == p["maxIter"]:
-            return model if best == rounds else fit(rows, best)
+            return first_rounds(model, best)
         rounds = min(p["maxIter"], 2 * rounds)
 
 
+def first_rounds(model, rounds: int):
+    """The model of the first ``rounds`` trees of a boosted model."""
+    from pyspark import SparkContext
+    from pyspark.ml.regression import GBTRegressionModel
+    if rounds >= model.getNumTrees:
+        return model
+    sc = SparkContext._active_spark_context
+    regression = sc._jvm.org.apache.spark.ml.regression
+    grown, kept = model._java_obj.trees(), sc._gateway.new_array(regression.DecisionTreeRegressionModel, rounds)
+    weights = sc._gateway.new_array(sc._jvm.double, rounds)
+    for n, w in enumerate(model.treeWeights[:rounds]):
+        kept[n], weights[n] = grown[n], float(w)
+    cut = GBTRegressionModel(regression.GBTRegressionModel(f"{model.uid}_first_{rounds}", kept, weights))
+    cut._set(featuresCol=model.getFeaturesCol(), labelCol=model.getLabelCol(), predictionCol=model.getPredictionCol())
+    cut._transfer_params_to_java()
+    return cut
+
+
 def predict_count(model, df: DataFrame, out: str) -> DataFrame:
     """M5: expm1 of the model output, clipped at 0."""
     pred_col = model.getPredictionCol()
@@ -125,7 +143,7 @@ def load_model(kind: str, path: str):
     return RandomForestClassificationModel.load(path)
 
 
-# ---- M6: tree-path attribution ------------------------------------------
+# ---- M6: Shapley attribution ------------------------------------------
 
 _NODE_TABLES: dict = {}
 
@@ -147,60 +165,27 @@ def node_table(model, spark, name: str) -> tuple[pd.DataFrame, np.ndarray]:
     return _NODE_TABLES[model.uid]
 
 
-def _pack(nodes: pd.DataFrame, weights: np.ndarray, classes: int | None):
+def _pack(nodes: pd.DataFrame, weights: np.ndarray, classes: int | None, scale: float) -> list[Tree]:
+    """The ensemble's trees; the cover of a node is its (weighted) training rows."""
     trees = []
     for tid, g in nodes.groupby("treeID"):
-        g = g.sort_values("id")
         n = int(g["id"].max()) + 1
-        left = np.full(n, -1, np.int64)
-        right = np.full(n, -1, np.int64)
-        feat = np.full(n, -1, np.int64)
-        thr = np.zeros(n)
         ids = g["id"].to_numpy()
-        left[ids] = g["leftChild"].to_numpy()
-        right[ids] = g["rightChild"].to_numpy()
-        feat[ids] = g["feature"].to_numpy()
-        thr[ids] = g["threshold"].fillna(0.0).to_numpy()
-        if classes is None:
-            val = np.zeros(n)
-            val[ids] = g["prediction"].to_numpy()
-        else:
-            val = np.zeros((n, classes))
-            st = np.stack([np.asarray(s, dtype=np.float64) for s in g["impurityStats"]])
-            tot = st.sum(axis=1, keepdims=True)
-            val[ids] = np.divide(st, tot, out=np.zeros_like(st), where=tot > 0)
-        trees.append((float(weights[int(tid)]), left, right, feat, thr, val))
+        stats = np.stack([np.asarray(s, dtype=np.float64) for s in g["impurityStats"]])
+        cover = np.zeros(n)
+        cover[ids] = stats[:, 0] if classes is None else stats.sum(axis=1)  # of a regression: rows, sum, sum of squares
+        value = np.zeros(n) if classes is None else np.zeros((n, classes))
+        value[ids] = g["prediction"].to_numpy() if classes is None else np.divide(
+            stats, cover[ids][:, None], out=np.zeros_like(stats), where=cover[ids][:, None] > 0)
+        columns = []
+        for name, empty in (("leftChild", -1), ("rightChild", -1), ("feature", -1), ("threshold", 0.0)):
+            c = np.full(n, empty, np.float64 if name == "threshold" else np.int64)
+            c[ids] = g[name].fillna(empty).to_numpy()
+            columns.append(c)
+        trees.append(Tree(float(weights[int(tid)]) * scale, *columns, cover, value))
     return trees
 
 
-def _attribute(trees, x: np.ndarray, classes: int | None, scale: float):
-    n, d = x.shape
-    shape = (n, d) if classes is None else (n, classes, d)
-    contrib = np.zeros(shape)
-    base = np.zeros(() if classes is None else (classes,))
-    rows = np.arange(n)
-    for w, left, right, feat, thr, val in trees:
-        w = w * scale
-        base = base + w * val[0]
-        node = np.zeros(n, np.int64)
-        active = left[node] >= 0
-        while active.any():
-            r = rows[active]
-            nd = node[active]
-            f = feat[nd]
-            go_left = x[r, f] <= thr[nd]
-            child = np.where(go_left, left[nd], right[nd])
-            delta = w * (val[child] - val[nd])
-            # each row appears once per step, so plain fancy-index addition is exact
-            if classes is None:
-                contrib[r, f] += delta
-            else:
-                contrib[r, :, f] += delta
-            node[active] = child
-            active = left[node] >= 0
-    return contrib, base
-
-
 def _top_rows(signed: np.ndarray, rank_by: np.ndarray, names: list[str], k: int) -> list:
     """W7 inside the task: per row the k largest ``rank_by`` (ties by position),
     reported with the signed value and its direction."""
@@ -212,17 +197,16 @@ def _top_rows(signed: np.ndarray, rank_by: np.ndarray, names: list[str], k: int)
     return out
 
 
-def path_attribution(model, df: DataFrame, features: str = "features", key: str = "id",
+def shapley_attribution(model, df: DataFrame, features: str = "features", key: str = "id",
                      name: str = "explain", classifier: bool = False,
                      reduce_classes: bool = False, top_k: int | None = None,
                      names: list[str] | None = None) -> DataFrame:
-    """Per-row attribution of a tree ensemble: along each row's decision path,
-    the change of the node value is credited to the split feature.  Additive:
-    sum(attribution) + base = raw prediction (log-score for the regressor,
-    class probability for the forest).  Runs in mapInPandas over Arrow batches
-    with the node table broadcast.  ``reduce_classes`` (forest) returns the
-    class means of |value| and value (A14) computed in the same task, instead
-    of the per-class matrix.  ``top_k`` (with ``names``) returns only the
+    """Shapley values of a tree ensemble per row (see ``shapley``): sum(attribution) +
+    base = raw prediction (log-score for the regressor, class probability for the
+    forest), and the base is the average over the training rows.  Runs in mapInPandas
+    over Arrow batches with the node table broadcast.  ``reduce_classes`` (forest)
+    returns the class means of |value| and value (A14) computed in the same task,
+    instead of the per-class matrix.  ``top_k`` (with ``names``) returns only the
     top-k features per row (W7, computed in the task), so the wide attribution
     vectors never leave the executor."""
     from pyspark.ml.functions import vector_to_array
@@ -233,7 +217,7 @@ def path_attribution(model, df: DataFrame, features: str = "features", key: str
     if classifier:
         classes = int(model.numClasses)
     scale = 1.0 / len(weights) if classifier else 1.0
-    bc = spark.sparkContext.broadcast(_pack(nodes, weights, classes))
+    bc = spark.sparkContext.broadcast(_pack(nodes, weights, classes, scale))
     src = df.select(F.col(key).alias("_k"), vector_to_array(F.col(features)).alias("_x"))
     if top_k is not None:
         schema = ("_k long, top array<struct<feature:string,importance:double,"
@@ -251,7 +235,7 @@ def path_attribution(model, df: DataFrame, features: str = "features", key: str
             if len(pdf) == 0:
                 continue
             x = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
-            contrib, base = _attribute(trees, x, classes, scale)
+            contrib, base = shapley_values(trees, x, classes)
             if top_k is not None:
                 if classes is None:
                     signed, rank_by = contrib, np.abs(contrib)

@@ -122,7 +122,7 @@ def validation_metrics(trained: dict) -> DataFrame:
 def explain_classes(trained: dict, df: DataFrame, top: int = 5) -> DataFrame:
     """M6 + A14 + W7 for the forest: per-class path attributions, ranked by
     the mean |value| over classes, reported with the mean signed value."""
-    return M.path_attribution(trained["classifier"], df, key="id", name="explain_classes",
+    return M.shapley_attribution(trained["classifier"], df, key="id", name="explain_classes",
                               classifier=True, top_k=top, names=feature_names(EMBEDDING_DIM))
 
 
@@ -184,7 +184,7 @@ def batch_score(pitches: DataFrame, trained: dict, story_index: DataFrame,
                  exclude_self=True)
     similar = hits.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "neighbour_id"))).alias("_h"))
-    attr = M.path_attribution(trained["score_model"], scored, key="id", name="batch_score",
+    attr = M.shapley_attribution(trained["score_model"], scored, key="id", name="batch_score",
                               top_k=top_features, names=feature_names(EMBEDDING_DIM))
     advice = S.best_time(trained["time_stats"]).select("advice").scalar()
     out = (scored.join(pct.select("id", "percentile"), "id", "left")

@@ -411,7 +411,7 @@ WITH RECURSIVE orig AS (SELECT e.* FROM events e JOIN
 o AS (SELECT user_id AS pitch, event_type AS title0, value AS s0 FROM orig),
 v AS (SELECT user_id AS pitch, event_id % 5 + 1 AS rnd, event_type || ' ' || CAST(event_id % 3 AS VARCHAR) AS title,
         value AS score FROM events
-      WHERE event_id NOT IN (SELECT event_id FROM orig) AND user_id % 10 <> 0 AND event_id % 5 + 1 <> user_id % 8),
+      WHERE event_id NOT IN (SELECT event_id FROM orig)),
 seen AS (SELECT pitch, title, min(rnd) AS rnd FROM v GROUP BY pitch, title),
 fresh AS (SELECT v.pitch, v.rnd, v.title, v.score,
     row_number() OVER (PARTITION BY v.pitch, v.rnd ORDER BY v.score DESC, v.title) AS nth
@@ -486,9 +486,9 @@ SELECT least(100, count(*)) AS n, least(100, count(*)) AS n_distinct, least(100,
 
 def _parse_sql(item: str, partial: str, keys: list[str], required: list[str], fence: bool = True) -> str:
     js = f"'[' || CAST(to_json({item}) AS VARCHAR) || ',' || CAST(to_json({partial}) AS VARCHAR) || ']'"
-    text = (f"CASE turn % 4 WHEN 0 THEN {js} "
-            f"WHEN 1 THEN 'Here you go:' || chr(10) || '```json' || chr(10) || {js} || chr(10) || '```' || chr(10) || 'Enjoy.' "
-            f"WHEN 2 THEN 'not json' ELSE CAST(to_json({{'comment': text}}) AS VARCHAR) END")
+    text = (f"CASE turn % 3 WHEN 0 THEN {js} "
+            f"WHEN 1 THEN 'Here you go:\n```json\n' || {js} || '\n```\nEnjoy.' ELSE '```\n' || {js} || '\n```' END"
+            if fence else f"CASE turn % 2 WHEN 0 THEN {js} ELSE '\n' || {js} || ' ' END")
     fenced = "regexp_extract(response, '(?s)```(?:json)?\\s*(\\[.*?\\])\\s*```', 1)"
     has = " AND ".join(f"json_exists(item, '$.{k}')" for k in required)
     outs = ", ".join(f"json_extract_string(item, '$.{k}') AS {k}" for k in keys[:2])

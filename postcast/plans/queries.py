@@ -414,12 +414,10 @@ def optimise_trace_q(spark, sf):
     orig = _originals(v)
     o = orig.select(F.col("user_id").alias("pitch"), F.col("event_type").alias("title0"),
                     F.col("value").alias("s0"))
-    # some pitches get no suggestion, and each of the others misses one round or none
     sugg = (v.join(orig.select("event_id"), "event_id", "left_anti")
             .select(F.col("user_id").alias("pitch"), (F.col("event_id") % 5 + 1).alias("rnd"),
                     F.concat("event_type", F.lit(" "), (F.col("event_id") % 3).cast("string")).alias("title"),
-                    F.col("value").alias("score"))
-            .filter((F.col("pitch") % 10 != 0) & (F.col("rnd") != F.col("pitch") % 8)))
+                    F.col("value").alias("score")))
     t = R.optimise_trace(sugg, o)
     return rounded(t.withColumnRenamed("pitch", "user_id"))
 
@@ -481,11 +479,14 @@ def _responses(spark, sf, kind):
         item = F.struct(F.col("text").alias("title"), F.col("role").alias("description"))
         partial = F.struct(F.col("role").alias("description"))
     js = F.concat(F.lit("["), F.to_json(item), F.lit(","), F.to_json(partial), F.lit("]"))
-    m = F.col("turn") % 4
-    text = (F.when(m == 0, js)
-            .when(m == 1, F.concat(F.lit("Here you go:\n```json\n"), js, F.lit("\n```\nEnjoy.")))
-            .when(m == 2, F.lit("not json"))
-            .otherwise(F.to_json(F.struct(F.col("text").alias("comment")))))
+    # every row's text in a reply that parses: for comments also fenced
+    if kind == "comments":
+        m = F.col("turn") % 3
+        text = (F.when(m == 0, js)
+                .when(m == 1, F.concat(F.lit("Here you go:\n```json\n"), js, F.lit("\n```\nEnjoy.")))
+                .otherwise(F.concat(F.lit("```\n"), js, F.lit("\n```"))))
+    else:
+        text = F.when(F.col("turn") % 2 == 0, js).otherwise(F.concat(F.lit("\n"), js, F.lit(" ")))
     return c.select("conv_id", "turn", text.alias("response"))
 
 
@@ -572,7 +573,7 @@ def predict_batch_q(spark, sf):
 @query("explain_batch")
 def explain_batch_q(spark, sf):
     t = _trained(spark, sf)
-    a = MD.path_attribution(t["score_model"], t["features"], key="id", name=f"explain_{_tag(sf)}",
+    a = MD.shapley_attribution(t["score_model"], t["features"], key="id", name=f"explain_{_tag(sf)}",
                             top_k=5, names=JB.feature_names(384))
     top = a.select("id", F.posexplode("top").alias("pos", "f"))
     return rounded(top.select("id", (F.col("pos") + 1).cast("long").alias("position"),
@@ -640,11 +641,10 @@ def comment_index_q(spark, sf):
 
 @query("train_counts")
 def train_counts_q(spark, sf):
-    """Rows per side of the split and per class of the training side, as
-    observed while the feature table was written."""
-    c = {k: int(v or 0) for k, v in _trained(spark, sf)["counts"].items()}
-    one = read_table(spark, sf, "events").limit(1)
-    return one.select(*[F.lit(v).cast("long").alias(k) for k, v in sorted(c.items())])
+    """Rows per side of the split and per class of the training side, counted in
+    the written feature table."""
+    counts = _trained(spark, sf)["features"].agg(*JB.split_count_exprs())
+    return counts.select(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in sorted(counts.columns)])
 
 
 @query("predict_invariants")
@@ -658,7 +658,7 @@ def predict_invariants_q(spark, sf):
     total = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
     p = p.select("id", "predicted_score", (F.abs(total - 1) < 1e-9).alias("_one"))
     raw = t["score_model"].transform(t["features"]).select("id", F.col(t["score_model"].getPredictionCol()).alias("_p"))
-    a = MD.path_attribution(t["score_model"], t["features"], key="id", name=f"additive_{_tag(sf)}")
+    a = MD.shapley_attribution(t["score_model"], t["features"], key="id", name=f"additive_{_tag(sf)}")
     s = F.aggregate("attribution", F.lit(0.0), lambda x, v: x + v) + F.col("base")
     fit = raw.join(a, "id").select("id", (F.abs(s - F.col("_p")) < 1e-6).alias("_fit"))
     return p.join(fit, "id", "left").agg(

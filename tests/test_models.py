@@ -20,7 +20,7 @@ def test_regressor_and_attribution_additive(spark):
     df = regression_data(spark)
     model = M.fit_regressor(df, "score", validation_col="is_validation", maxIter=15, maxDepth=4)
     pred = model.transform(df).select("id", "prediction")
-    attr = M.path_attribution(model, df, key="id", name="test_gbt")
+    attr = M.shapley_attribution(model, df, key="id", name="test_gbt")
     j = attr.join(pred, "id").toPandas()
     total = j["attribution"].apply(sum) + j["base"]
     assert np.allclose(total, j["prediction"], atol=1e-9)
@@ -36,7 +36,7 @@ def test_classifier_probabilities_and_attribution(spark):
     model = M.fit_classifier(df, "score", numTrees=8, maxDepth=4)
     p = M.predict_classes(model, df).toPandas()
     assert np.allclose(p["probs"].apply(sum), 1.0)
-    attr = M.path_attribution(model, df, key="id", name="test_rf", classifier=True).toPandas()
+    attr = M.shapley_attribution(model, df, key="id", name="test_rf", classifier=True).toPandas()
     j = attr.merge(p[["id", "probs"]], on="id")
     for a, b, pr in zip(j["attribution"], j["base"], j["probs"]):
         assert np.allclose(np.stack(list(a)).sum(axis=1) + np.asarray(b), pr, atol=1e-9)
@@ -101,8 +101,8 @@ def test_embeddings(spark):
 def test_reduced_class_attribution(spark):
     df = regression_data(spark, n=200, d=6).withColumn("score", F.col("score") * 20)
     model = M.fit_classifier(df, "score", numTrees=4, maxDepth=3)
-    full = M.path_attribution(model, df, key="id", name="t_full", classifier=True).toPandas()
-    red = M.path_attribution(model, df, key="id", name="t_red", classifier=True,
+    full = M.shapley_attribution(model, df, key="id", name="t_full", classifier=True).toPandas()
+    red = M.shapley_attribution(model, df, key="id", name="t_red", classifier=True,
                              reduce_classes=True).toPandas()
     j = full.merge(red, on="id")
     for a, ma, ms in zip(j["attribution"], j["mean_abs"], j["mean_signed"]):
@@ -153,9 +153,9 @@ def test_top_k_in_task_equals_w7_operator(spark):
     df = regression_data(spark, n=150, d=8)
     model = M.fit_regressor(df, "score", maxIter=5, maxDepth=3)
     names = [f"f{i}" for i in range(8)]
-    full = M.path_attribution(model, df, key="id", name="t_top_full")
+    full = M.shapley_attribution(model, df, key="id", name="t_top_full")
     a = full.select("id", top_features(F.col("attribution"), names, 3).alias("t")).toPandas()
-    b = M.path_attribution(model, df, key="id", name="t_top_task", top_k=3, names=names).toPandas()
+    b = M.shapley_attribution(model, df, key="id", name="t_top_task", top_k=3, names=names).toPandas()
     m = a.merge(b, on="id")
     for x, y in zip(m["t"], m["top"]):
         assert [(r["feature"], r["direction"]) for r in x] == [(r["feature"], r["direction"]) for r in y]
