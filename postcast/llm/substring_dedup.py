@@ -1,22 +1,28 @@
-"""Substring dedup by hashing units of text.
+"""Substring dedup by hashing units of text: lines, paragraphs, and windows for
+passages that stand inside other text.
 
-The words of a text (lower case, split at white space) are cut into pieces: in
+A line or paragraph (lines without a blank one between them) of at least
+``BLOCK_WORDS`` words is a unit, normalised to its words in lower case with single
+spaces, so a paragraph is found however it is broken into lines.
+
+For passages inside other lines, the words of a text are also cut into pieces: in
 every ``WINDOW`` words in a row, a piece begins at the word with the smallest
 hash, the last one of equals.  A cut depends on the ``WINDOW - 1`` words on
 either side alone, and no piece but the last has more than ``WINDOW`` words.  A
-unit is ``JOINED`` pieces in a row, so units overlap and are too long to repeat
-by chance; a text of fewer pieces is one unit.  Units are hashed to 128 bits.
-Digests are grouped over all documents; the earliest occurrence by (doc_id, text
-hash, unit number) stays.  Units that occur earlier and touch form a span, and a
-span of at least ``MIN_WORDS`` words or ``MIN_CHARS`` characters is removed, so a
-passage is found wherever it stands and however it is broken into lines, while a
-short sentence that documents share by chance is left alone.  Of a repeated
-passage of n words, at least n + 3 - 4 * WINDOW lie in pieces that are cut alike
-everywhere, which is ``MIN_WORDS`` for n = 50.  A text that repeats an earlier
-one as a whole is removed whatever its length.  White space alone separates
-words, so a passage inside one long word is no passage.  Removed spans keep their
-offsets (code points) in the original text and the document in which their first
-unit occurs first.
+window is ``JOINED`` pieces in a row, so windows overlap and are too long to repeat
+by chance; a text of fewer pieces is one window.
+
+All units are hashed to 128 bits.  Digests are grouped over all documents; the
+earliest occurrence by (doc_id, text hash, unit number) stays.  A line or paragraph
+that occurs earlier is removed.  Windows that occur earlier and touch form a span,
+and a span of at least ``MIN_WORDS`` words or ``MIN_CHARS`` characters is removed,
+while a short sentence inside other text that documents share by chance is left
+alone.  Of a repeated passage of n words, at least n + 3 - 4 * WINDOW lie in pieces
+that are cut alike everywhere, which is ``MIN_WORDS`` for n = 50.  A text that
+repeats an earlier one as a whole is removed whatever its length.  White space alone
+separates words, so a passage inside one long word is no passage.  Removed spans keep
+their offsets (code points) in the original text and the document in which their
+first unit occurs first.
 
 Counting is combined before the shuffle and comes first, so only units that
 occur twice meet their earliest occurrence; a digest that a third of all units
@@ -41,10 +47,12 @@ from pyspark.sql import types as T
 
 from postcast.llm.common import Scratch, bounded_batches
 
+BLOCK_WORDS = 10  # of a line or paragraph
 MIN_WORDS = 25
 MIN_CHARS = 250  # of words joined by single spaces; for texts of long words
 WINDOW, JOINED = 7, 3
 SLICE = 256
+LINES, PARAGRAPHS = 1 << 29, 1 << 30  # numbers of these units begin here
 _WORD = re.compile(r"\S+")
 _LOW = (1 << 31) - 1
 
@@ -80,6 +88,45 @@ def unit_spans(text: str) -> list[tuple[int, int]]:
     return [(words[a][0], words[b - 1][1]) for a, b in unit_bounds([text[c:d].lower() for c, d in words])]
 
 
+def blocks(text: str) -> list[tuple[int, str]]:
+    """Numbers and content of the lines and paragraphs that are units."""
+    out: list[tuple[int, str]] = []
+    lines = text.split("\n")
+    paragraph: list[str] = []
+    joined = n = 0
+    for i, line in enumerate([*lines, ""]):
+        words = line.split()
+        if words:
+            if len(words) >= BLOCK_WORDS:
+                out.append((LINES + i, " ".join(words)))
+            paragraph += words
+            joined += 1
+        elif joined:
+            if joined > 1 and len(paragraph) >= BLOCK_WORDS:
+                out.append((PARAGRAPHS + n, " ".join(paragraph)))
+            paragraph, joined, n = [], 0, n + 1
+    return out
+
+
+def block_spans(text: str, wanted: set[int]) -> dict[int, tuple[int, int]]:
+    """Begin and end of these lines and paragraphs, without the white space around."""
+    out = {}
+    at, n, begin, end = 0, 0, None, 0
+    for i, line in enumerate([*text.split("\n"), ""]):
+        solid = line.strip()
+        if solid:
+            left = at + line.index(solid)
+            if LINES + i in wanted:
+                out[LINES + i] = (left, left + len(solid))
+            begin, end = left if begin is None else begin, left + len(solid)
+        elif begin is not None:
+            if PARAGRAPHS + n in wanted:
+                out[PARAGRAPHS + n] = (begin, end)
+            begin, n = None, n + 1
+        at += len(line) + 1
+    return out
+
+
 def units(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per unit: the document (d, h), unit number, 128-bit digest; the whole
     text has number -1."""
@@ -92,17 +139,22 @@ def units(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                sizes, digests = [], []
+                sizes, digests, number = [], [], []
                 for t in part.column(2).to_pylist():
                     words = t.lower().split() if t else []
                     spans = unit_bounds(words)
-                    sizes.append(len(spans) + 1 if spans else 0)
+                    own = blocks(t.lower()) if spans else []
+                    sizes.append(len(spans) + len(own) + 1 if spans else 0)
                     if spans:
                         digests.append(digest("\n" + " ".join(words)))  # equal to no unit
+                        number.append(-1)
                     for a, b in spans:
                         digests.append(digest(" ".join(words[a:b])))
+                    number += range(len(spans))
+                    for u, body in own:
+                        digests.append(digest("\r" + body))  # equal to no window
+                        number.append(u)
                 rows = pa.array(np.repeat(np.arange(part.num_rows), sizes))
-                number = np.concatenate([np.arange(-1, n - 1) for n in sizes]) if sizes else np.empty(0)
                 both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(rows), part.column(1).take(rows), pa.array(number, pa.int32()),
@@ -114,10 +166,11 @@ def later_units(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFr
     """Per document (d, h): the units that occur earlier, with the document of the
     earliest occurrence, by unit number."""
     every = scratch.save(units(docs, text), "units")
-    # counts and minima are written, so that either side of a join is a plain
-    # exchange, which AQE can split where a digest is very frequent
-    twice = scratch.save(every.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
-    seen = scratch.save(every.join(twice, ["d1", "d2"]), "repeated")
+    # Counts and minima are written, so that either side of a join is a plain exchange,
+    # which AQE can split where a digest is very frequent.  Half a digest is enough to
+    # leave out units that occur once; both halves decide.
+    twice = scratch.save(every.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
+    seen = scratch.save(every.join(twice, "d1"), "repeated")
     first = scratch.save(seen.groupBy("d1", "d2").agg(F.min(F.struct("d", "h", "u")).alias("first")), "first")
     later = seen.join(first, ["d1", "d2"]).where(F.struct("d", "h", "u") > F.col("first"))
     flags = later.select("d", "h", F.struct("u", F.col("first.d").alias("source")).alias("unit")).distinct()
@@ -132,16 +185,26 @@ def cut(text: str | None, flagged: list[dict] | None, min_words: int):
         return text, []
     spans = unit_spans(text)
     whole = flagged[0]["u"] < 0
-    removed, run = [], []
-    for f in [*flagged[whole:], None]:
+    windows = [f for f in flagged[whole:] if f["u"] < LINES]
+    found, run = [], []  # (begin, end, source)
+    for f in [*windows, None]:
         if run and (f is None or f["u"] > run[-1]["u"] + JOINED):  # they neither overlap nor touch
             begin, end = spans[run[0]["u"]][0], spans[run[-1]["u"]][1]
             words = text[begin:end].split()
             if whole or len(words) >= min_words or len(" ".join(words)) >= MIN_CHARS:
-                after = _WORD.search(text, end)
-                removed.append((begin, after.start() if after else len(text), run[0]["source"]))  # with the break behind it
+                found.append((begin, end, run[0]["source"]))
             run = []
         run.append(f)
+    sources = {f["u"]: f["source"] for f in flagged if f["u"] >= LINES}
+    found += [(a, b, sources[u]) for u, (a, b) in block_spans(text, set(sources)).items()] if sources else []
+    removed: list[tuple[int, int, int]] = []
+    for begin, end, source in sorted(found, key=lambda s: (s[0], -s[1])):
+        after = _WORD.search(text, end)
+        end = after.start() if after else len(text)  # with the break behind it
+        if removed and begin <= removed[-1][1]:
+            removed[-1] = (removed[-1][0], max(end, removed[-1][1]), removed[-1][2])
+        else:
+            removed.append((begin, end, source))
     kept, at = [], 0
     for a, b, _ in removed:
         kept.append(text[at:a])

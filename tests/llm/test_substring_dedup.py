@@ -1,25 +1,36 @@
+import itertools
 import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from postcast.llm.substring_dedup import MIN_WORDS, cut, dedup_substrings, unit_spans
+from postcast.llm.substring_dedup import (BLOCK_WORDS, LINES, MIN_WORDS, PARAGRAPHS, blocks, cut, dedup_substrings,
+                                           unit_spans)
 
 
 def key(i, t):
     return (i is not None, i or 0), t
 
 
+def own_blocks(text):
+    """(number, normalised content) of lines and paragraphs of 10 or more words."""
+    lines = [" ".join(x.split()) for x in text.lower().split("\n")]
+    out = [(LINES + n, x) for n, x in enumerate(lines)]
+    groups = [list(g) for solid, g in itertools.groupby(lines, bool) if solid]
+    out += [(PARAGRAPHS + n, " ".join(g)) for n, g in enumerate(groups) if len(g) > 1]
+    return [(n, x) for n, x in out if len(x.split()) >= 10]
+
+
 def brute(pairs):
     """Earliest occurrence of every unit by scanning in order."""
     first, out = {}, {}
     for i, t in sorted(set(pairs), key=lambda p: p[0]):
         flags = []
-        for u, (a, b) in enumerate(unit_spans(t or "")):
-            words = t[a:b].lower().split()
-            seen = first.setdefault(" ".join(words), (i, u))
+        units = [(u, "window " + " ".join(t[a:b].lower().split())) for u, (a, b) in enumerate(unit_spans(t or ""))]
+        for u, body in units + [(u, "block " + x) for u, x in own_blocks(t or "")]:
+            seen = first.setdefault(body, (i, u))
             if seen != (i, u):
-                flags.append({"u": u, "words": len(words), "source": seen[0]})
+                flags.append({"u": u, "source": seen[0]})
         out[i] = cut(t, flags, MIN_WORDS)
     return out
 
@@ -44,7 +55,7 @@ def test_equals_brute_force(make_docs, words):
     for r in got:  # offsets point into the original; what is left is the rest
         t, at, rest = originals[r.doc_id], 0, ""
         for s in r.removed:
-            assert len(t[s.begin:s.end].split()) >= MIN_WORDS and s.source < r.doc_id
+            assert len(t[s.begin:s.end].split()) >= BLOCK_WORDS and s.source < r.doc_id
             rest, at = rest + t[at:s.begin], s.end
         assert rest + t[at:] == r.text
 
@@ -110,3 +121,25 @@ def test_short_and_long_repeats(make_docs, words):
     assert got[2].text == "" and [tuple(s) for s in got[2].removed] == [(0, 11, 1)]
     assert got[1].text == pairs[0][1] and got[3].text == pairs[2][1] and got[4].text == pairs[3][1]
     assert len(got[5].text) < 700 and got[5].removed[0].source == 4
+
+
+def test_lines_and_paragraphs(make_docs, words):
+    """A repeated line or paragraph of 10 or more words goes, however it is broken into
+    lines; shorter ones and sentences inside other lines stay."""
+    rng = random.Random(19)
+    line, short, para = words(rng, 10), words(rng, 9), [words(rng, 6), words(rng, 8)]
+    pairs = [(1, f"{words(rng, 12)}\n{line}\n{words(rng, 8)}\n{short}\n\n{words(rng, 9)}\n\n" + "\n".join(para) + "\n\nEnd one."),
+             (2, f"{words(rng, 12)}\n  {line.upper()} \n{words(rng, 8)}\n{short}\n\n{words(rng, 9)}\n\n" + "  ".join(para) + "\n\nEnd two."),
+             (3, f"{words(rng, 12)} {line} {words(rng, 12)}")]
+    got = {r.doc_id: r for r in dedup_substrings(make_docs(pairs)).collect()}
+    assert got[1].text == pairs[0][1] and got[3].text == pairs[2][1]
+    parts = pairs[1][1].split("\n")
+    assert got[2].text == "\n".join([parts[0], "  " + "\n".join(parts[2:6]), "", "End two."])
+    assert [s.source for s in got[2].removed] == [1, 1]
+
+
+def test_blocks_equal_plain_ones(words):
+    rng = random.Random(20)
+    for _ in range(300):
+        t = "".join(rng.choice([words(rng, rng.randint(1, 14)), "\n", "\n\n", " ", "\t\n", "x\r"]) for _ in range(12))
+        assert blocks(t) == sorted(own_blocks(t), key=lambda b: blocks(t).index(b))
