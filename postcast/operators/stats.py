@@ -103,6 +103,39 @@ def score_cdf(df: DataFrame, score_col: str = "score") -> DataFrame:
     return running_total(d, [], ["score"], "n", out="cum_n").withColumn("total", total)
 
 
+def history_groups(clean: DataFrame, time_col: str = "time", score_col: str = "score") -> DataFrame:
+    """A1-A6 in one scan: (grain, domain, key, score, n, total) for the groups by
+    domain, by UTC hour, by weekday, by score and over all rows, ``n`` scores with the
+    sum ``total``.  Partial aggregation leaves a row per group and map task, so a hot
+    domain or score is no hot key."""
+    t = clean.select("domain", hour_utc(time_col).alias("hour"), day_of_week(time_col).alias("dow"),
+                     F.col(score_col).alias("score"), F.col(score_col).cast("double").alias("_s"))
+    sets = ["domain", "hour", "dow", "score"]
+    g = t.groupingSets([*[[c] for c in sets], []], *sets).agg(
+        F.count("_s").alias("n"), F.sum("_s").alias("total"), *[F.grouping(c).alias(f"_{c}") for c in sets])
+    grain = F.when(F.col("_domain") == 0, "domain").when(F.col("_hour") == 0, "hour") \
+        .when(F.col("_dow") == 0, "day").when(F.col("_score") == 0, "score").otherwise("all")
+    return g.select(grain.alias("grain"), "domain", F.coalesce("hour", "dow").cast("long").alias("key"), "score",
+                    F.col("n").cast("long").alias("n"), "total")
+
+
+def history_tables(groups: DataFrame, k: int = SMOOTHING_K) -> dict[str, DataFrame]:
+    """The saved tables of a training run from the written ``history_groups``:
+    domain_stats (A2: the prior is the mean of the data, and the empty domain is a
+    group like any other), time_stats (A3-A5) and score_cdf (A6)."""
+    whole = groups.where("grain = 'all'").select(F.try_divide(F.col("total"), F.col("n"))).scalar()
+    smoothed = (F.coalesce("total", F.lit(0.0)) + F.lit(float(k)) * whole) / (F.col("n") + F.lit(k))
+    scores = groups.where("grain = 'score' AND score IS NOT NULL").select("score", "n")
+    seen = groups.where("grain = 'all'").select("n").scalar()
+    return {
+        "domain_stats": groups.where("grain = 'domain'").select(
+            "domain", F.col("n").alias("post_count"), F.try_divide("total", F.col("n")).alias("mean_score"),
+            smoothed.alias("avg_score")),
+        "time_stats": groups.where("grain IN ('hour', 'day')").select(
+            "grain", "key", F.try_divide("total", F.col("n")).alias("avg_score"), "n"),
+        "score_cdf": running_total(scores, [], ["score"], "n", out="cum_n").withColumn("total", seen)}
+
+
 def history_percentile(df: DataFrame, id_col: str, score_col: str = "score") -> DataFrame:
     """W1 on history rows: 100 * (1 - #{scores <= s} / n) (same as cume_dist)."""
     cdf = score_cdf(df, score_col).select(F.col("score").alias("_s"), "cum_n", "total")

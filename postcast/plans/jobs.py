@@ -7,6 +7,7 @@ which also cuts the lineage, so a lost executor recomputes from the table and
 not from the raw input."""
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame
@@ -80,10 +81,51 @@ def split_features(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, name: str =
     return out, dstats, obs.get
 
 
+def history_statistics(items: DataFrame, before: str | None = None) -> dict[str, DataFrame]:
+    """The statistics that a training run saves, over every live story.  ``before``
+    is the leakage guard: only stories before that time count."""
+    clean = clean_stories(live_stories(items))
+    if before:
+        clean = clean.where(F.col("time") < F.to_timestamp(F.lit(before)))
+    path = scratch_path(items.sparkSession, "history_groups", unique=True)
+    S.history_groups(clean).write.parquet(path)
+    return S.history_tables(items.sparkSession.read.parquet(path))
+
+
+MANIFEST = "_tables"
+
+
+def save_statistics(tables: dict[str, DataFrame], out_dir: str) -> str:
+    """Writes the tables into a new version of ``out_dir``; the version counts from
+    its manifest on, which is written last.  Returns the version's folder."""
+    import uuid
+    spark = next(iter(tables.values())).sparkSession
+    version = os.path.join(out_dir, f"version={uuid.uuid4().hex[:12]}")
+    for name, table in tables.items():
+        table.write.parquet(os.path.join(version, name))
+    listed = [(name, table.schema.json()) for name, table in tables.items()]
+    spark.createDataFrame(listed, "name string, schema string").coalesce(1).write.parquet(os.path.join(version, MANIFEST))
+    return version
+
+
+def load_statistics(spark, version: str) -> dict[str, DataFrame]:
+    """The tables that the manifest names; no manifest is an error."""
+    from pyspark.sql.types import StructType
+    from postcast.sources.items import _exists
+    if not _exists(spark, os.path.join(version, MANIFEST)):
+        raise FileNotFoundError(os.path.join(version, MANIFEST))
+    listed = spark.read.parquet(os.path.join(version, MANIFEST)).collect()  # one row per table
+    return {r["name"]: spark.read.schema(StructType.fromJson(json.loads(r["schema"]))).parquet(
+        os.path.join(version, r["name"])) for r in listed}
+
+
 def training_job(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, out_dir: str | None = None,
                  gbt: dict | None = None, forest: dict | None = None,
-                 parallel_fits: int = 3) -> dict:
-    """Split, three models, score CDF, time statistics, domain statistics."""
+                 parallel_fits: int = 3, statistics_before: str | None = None) -> dict:
+    """Split, three models, score CDF, time statistics, domain statistics.
+
+    ``domain_stats`` are those of the training side, which the features use; the saved
+    ``history`` tables cover all stories, or those before ``statistics_before``."""
     from concurrent.futures import ThreadPoolExecutor
 
     feats, dstats, counts = split_features(items, cutoff)
@@ -98,14 +140,14 @@ def training_job(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, out_dir: str |
         f_forest = pool.submit(M.fit_classifier, train, "score", **(forest or {}))
         score_model, comment_model, classifier = (f_score.result(), f_comments.result(),
                                                   f_forest.result())
+    history = history_statistics(items, statistics_before)
     out = {"features": feats, "score_model": score_model, "comment_model": comment_model,
-           "classifier": classifier, "score_cdf": S.score_cdf(train, "score"),
-           "time_stats": S.time_stats(train), "domain_stats": dstats, "counts": counts}
+           "classifier": classifier, "score_cdf": history["score_cdf"],
+           "time_stats": history["time_stats"], "domain_stats": dstats, "history": history, "counts": counts}
     if out_dir:
         for k in ("score_model", "comment_model", "classifier"):
             M.save_model(out[k], os.path.join(out_dir, k))
-        for k in ("score_cdf", "time_stats", "domain_stats"):
-            out[k].write.mode("overwrite").parquet(os.path.join(out_dir, k))
+        out["statistics_version"] = save_statistics(history, os.path.join(out_dir, "statistics"))
     return out
 
 
@@ -136,12 +178,13 @@ def classifier_metrics(trained: dict) -> DataFrame:
 
 
 def backtest(feats: DataFrame, score: str = "score", seed: int = 42, **forest) -> dict:
-    """M7: hash split (P3), validation tail (P4) kept out of the training part,
+    """M7: hash split (P3) with its validation tail (P4),
     classes (X16), balanced forest (M4), metrics on the test part: accuracy,
     confusion, per-class precision and recall, Spearman of expected score vs
     actual."""
     f = SP.validation_tail(SP.hash_split(feats.drop("is_validation"), "id", seed=seed), "id", seed=seed)
-    train, test = f.filter(~F.col("is_test") & ~F.col("is_validation")), f.filter(F.col("is_test"))
+    # a forest does not stop early, so the validation tail is trained on like the rest
+    train, test = f.filter(~F.col("is_test")), f.filter(F.col("is_test"))
     model = M.fit_classifier(train, score, **forest)
     pred = M.predict_classes(model, test).withColumn("actual", L.reception_class(score))
     conf = EV.confusion(pred, "actual", "predicted_class")

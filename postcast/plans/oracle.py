@@ -207,6 +207,21 @@ FROM clean LEFT JOIN dstats ON clean.domain = dstats.d""", "clean").replace("\n,
 ORACLE_SQL["time_stats"] = with_ctes("SELECT grain, key, round(avg_score, 6) AS avg_score, n FROM tstats",
                                      "tstats")
 
+ORACLE_SQL["saved_domain_stats"] = with_ctes("""
+SELECT domain, count(score) AS post_count,
+  round((coalesce(sum(score), 0) + 10 * (SELECT avg(score) FROM clean)) / (count(score) + 10), 6) AS avg_score
+FROM clean GROUP BY domain""", "clean")
+
+ORACLE_SQL["saved_time_stats"] = with_ctes("""
+SELECT 'hour' AS grain, CAST(hour(time) AS BIGINT) AS key, round(avg(score), 6) AS avg_score, count(score) AS n
+FROM live GROUP BY hour(time)
+UNION ALL SELECT 'day', CAST(isodow(time) - 1 AS BIGINT), round(avg(score), 6), count(score)
+FROM live GROUP BY isodow(time)""", "live")
+
+ORACLE_SQL["saved_score_cdf"] = with_ctes("""
+SELECT score, n, CAST(sum(n) OVER (ORDER BY score) AS BIGINT) AS cum_n, (SELECT count(score) FROM live) AS total
+FROM (SELECT score, count(*) AS n FROM live WHERE score IS NOT NULL GROUP BY score)""", "live")
+
 ORACLE_SQL["best_time"] = with_ctes("""
 , bh AS (SELECT key, avg_score FROM tstats WHERE grain = 'hour' ORDER BY avg_score DESC, key LIMIT 1),
 bd AS (SELECT key, avg_score FROM tstats WHERE grain = 'day' ORDER BY avg_score DESC, key LIMIT 1)

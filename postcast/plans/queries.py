@@ -647,6 +647,34 @@ def train_counts_q(spark, sf):
     return counts.select(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in sorted(counts.columns)])
 
 
+_HISTORY: dict = {}
+
+
+def _history(spark, sf):
+    """The statistics of the whole history, saved and read back."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _HISTORY:
+        tables = JB.history_statistics(stories(spark, sf))
+        _HISTORY[key] = JB.save_statistics(tables, scratch_path(spark, f"statistics_{_tag(sf)}", unique=True))
+    return JB.load_statistics(spark, _HISTORY[key])
+
+
+@query("saved_domain_stats")
+def saved_domain_stats_q(spark, sf):
+    """A2 over the whole history: the prior from the data, the empty domain kept."""
+    return rounded(_history(spark, sf)["domain_stats"].select("domain", "post_count", "avg_score"))
+
+
+@query("saved_time_stats")
+def saved_time_stats_q(spark, sf):
+    return rounded(_history(spark, sf)["time_stats"])
+
+
+@query("saved_score_cdf")
+def saved_score_cdf_q(spark, sf):
+    return rounded(_history(spark, sf)["score_cdf"])
+
+
 @query("predict_invariants")
 def predict_invariants_q(spark, sf):
     """What holds for every prediction, whatever the model: a row per live story,

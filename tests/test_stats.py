@@ -107,3 +107,33 @@ def test_percentile_with_empty_history_is_null(spark):
     hist = spark.createDataFrame([], "score double")
     q = spark.createDataFrame([(1, 5.0)], "id long, s double")
     assert S.percentile_of(q, hist, "id", "s").first()["percentile"] is None
+
+
+def test_history_tables_are_saved_whole(spark, stories_df):
+    """One scan gives the tables that the single operators give; they come back as saved,
+    and a version without its manifest is no version."""
+    import os
+
+    import pytest
+    from postcast.operators import stats
+    from postcast.operators.clean import clean_stories
+    from postcast.plans import jobs
+    from postcast.session import scratch_path
+    from postcast.sources.items import live_stories
+    clean = clean_stories(live_stories(stories_df))
+    tables = jobs.history_statistics(stories_df)
+    want = {"domain_stats": stats.domain_stats(clean, prior="data", keep_empty=True),
+            "time_stats": stats.time_stats(clean), "score_cdf": stats.score_cdf(clean)}
+    version = jobs.save_statistics(tables, scratch_path(spark, "test_statistics", unique=True))
+    back = jobs.load_statistics(spark, version)
+
+    def rows(df, like):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*like.columns).collect())
+    for name, df in want.items():
+        assert rows(back[name], df) == rows(tables[name], df) == rows(df, df)
+        assert back[name].schema == tables[name].schema
+    assert "" in {r["domain"] for r in back["domain_stats"].collect()}
+    with pytest.raises(FileNotFoundError):
+        jobs.load_statistics(spark, os.path.dirname(version))
+    guarded = jobs.history_statistics(stories_df, before="2023-01-01 00:00:00")["score_cdf"]
+    assert {r["total"] for r in guarded.collect()} == {2}
