@@ -24,6 +24,7 @@ from postcast.operators import splits as SP
 from postcast.operators import stats as S
 from postcast.operators.clean import clean_comments, clean_stories
 from postcast.operators.embed import hashing_embedding
+from postcast.operators.prompts import prompt_table
 from postcast.operators.features import assemble, feature_names, structural_features
 from postcast.session import scratch_path
 from postcast.sources.items import live_stories, write_comment_index, write_story_index
@@ -196,29 +197,31 @@ def backtest(feats: DataFrame, score: str = "score", seed: int = 42, **forest) -
             "spearman": rho, "model": model}
 
 
-def batch_score(pitches: DataFrame, trained: dict, story_index: DataFrame,
+def batch_score(pitches: DataFrame, trained: dict, story_index: DataFrame, comment_index: DataFrame | None = None,
                 k: int = KNN_K, top_features: int = 5) -> DataFrame:
     """M9: one wide row per pitch (pitch_id, title, time, and optionally url and
     description, which default to '').
 
     Scores, label with confidence and distribution, expected score from the
     forest, percentile of the predicted score in the training history, the k
-    most similar stories, top attributed features and the posting advice."""
+    most similar stories, the comments of the nearest of them and the prompt,
+    top attributed features of the score model and of the classifier, and the
+    posting advice.  The scored table is written once; every part reads it."""
     def given(c):
         return F.coalesce(F.col(c), F.lit("")) if c in pitches.columns else F.lit("")
     p = (pitches.withColumns({"url": given("url"), "text": given("description")})
          .withColumnRenamed("pitch_id", "id")
          .withColumn("score", F.lit(0)).withColumn("descendants", F.lit(0)))
-    feats = feature_table(clean_stories(p), trained["domain_stats"])
+    feats = feature_table(clean_stories(p), trained["domain_stats"], extra=["text"])
     scored = M.predict_count(trained["score_model"], feats, "predicted_score")
     scored = M.predict_count(trained["comment_model"], scored, "predicted_comments")
     scored = M.predict_classes(trained["classifier"], scored)
-    scored = scored.withColumns({
-        "label": L.reception_label("predicted_score"),
-        "confidence": L.confidence("predicted_score"),
-        "distribution": F.map_from_arrays(F.array(*[F.lit(x) for x in L.LABELS]),
-                                          L.soft_distribution("predicted_score")),
-    })
+    scored = materialise(scored.select(
+        "id", "title", F.col("text").alias("description"), "features", "embedding", "predicted_score",
+        "predicted_comments", "expected_score", L.reception_label("predicted_score").alias("label"),
+        L.confidence("predicted_score").alias("confidence"),
+        F.map_from_arrays(F.array(*[F.lit(x) for x in L.LABELS]),
+                          L.soft_distribution("predicted_score")).alias("distribution")), "scored")
     hist = trained["features"].filter(~F.col("is_validation")).select("score")
     pct = S.percentile_of(scored.select("id", "predicted_score"), hist, "id", "predicted_score")
     # pitches share the id space of the index: a pitch never counts as its own
@@ -227,17 +230,37 @@ def batch_score(pitches: DataFrame, trained: dict, story_index: DataFrame,
                  exclude_self=True)
     similar = hits.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "neighbour_id"))).alias("_h"))
+    nearest = hits.join(story_index.select(F.col("id").alias("neighbour_id"), "title", "score", "descendants"),
+                        "neighbour_id").select("query_id", "rank", "title", "score", "descendants")
+    if comment_index is None:
+        ctx = hits.where("false").select("query_id", "neighbour_id", F.col("rank").alias("neighbour_rank"), F.col(
+            "rank").alias("comment_rank"), F.col("rank").alias("comment_id"), F.lit("").alias("by"),
+            F.lit("").alias("clean_text"))
+    else:  # at most 3 x 10 comments for a pitch
+        ctx = K.context_comments(hits, comment_index)
+    said = ctx.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(
+        "neighbour_rank", "comment_rank", "neighbour_id", "comment_id", "by", "clean_text"))).alias("_c"))
+    asked = scored.withColumnRenamed("id", "query_id").select("query_id", "title", "description", "predicted_score", "label")
+    prompts = prompt_table(asked, nearest, ctx)
+    names = feature_names(EMBEDDING_DIM)
     attr = M.shapley_attribution(trained["score_model"], scored, key="id", name="batch_score",
-                              top_k=top_features, names=feature_names(EMBEDDING_DIM))
+                                 top_k=top_features, names=names)
+    classes = explain_classes(trained, scored, top_features).withColumnRenamed("top", "_classes")
     advice = S.best_time(trained["time_stats"]).select("advice").scalar()
     out = (scored.join(pct.select("id", "percentile"), "id", "left")
            .join(similar.withColumnRenamed("query_id", "id"), "id", "left")
-           .join(attr, "id", "left"))
+           .join(said.withColumnRenamed("query_id", "id"), "id", "left")
+           .join(prompts.withColumnRenamed("query_id", "id"), "id", "left")
+           .join(attr, "id", "left").join(classes, "id", "left"))
     return out.select(
         F.col("id").alias("pitch_id"), "title", "predicted_score", "predicted_comments", "label",
         "confidence", "distribution", "expected_score", "percentile",
         F.transform(F.coalesce("_h", F.array()), lambda h: h["neighbour_id"]).alias("similar_ids"),
+        F.transform(F.coalesce("_c", F.array()), lambda c: F.struct(
+            c["neighbour_id"].alias("story_id"), c["comment_id"].alias("comment_id"), c["by"].alias("by"),
+            c["clean_text"].alias("text"))).alias("comments"), "prompt",
         X.explanation_text(F.coalesce("top", F.array())).alias("top_features"),
+        X.explanation_text(F.coalesce("_classes", F.array())).alias("top_class_features"),
         advice.alias("advice"))
 
 

@@ -488,6 +488,10 @@ FROM live""", "live")
 ORACLE_SQL["predict_invariants"] = with_ctes("""
 SELECT count(*) AS stories, true AS no_negative, true AS probabilities_sum_to_one, true AS additive FROM live""", "live")
 
+ORACLE_SQL["batch_invariants"] = with_ctes("""
+SELECT count(*) AS pitches, true AS of_neighbours, true AS in_prompt, true AS has_prompt, true AS explained
+FROM live""", "live")
+
 ORACLE_SQL["backtest_confusion"] = with_ctes(f"""
 , test AS (SELECT {class_sql('score')} AS actual FROM live
   QUALIFY row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id)

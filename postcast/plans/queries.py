@@ -712,15 +712,31 @@ def sample_invariants_q(spark, sf):
                      F.sum(F.coalesce("_in", F.lit(0))).alias("n_known"))
 
 
-@query("batch_score")
-def batch_score_q(spark, sf):
-    t = _trained(spark, sf)
+def _batch(spark, sf):
     idx = _index(spark, sf)
     pitches = live(spark, sf).select(F.col("id").alias("pitch_id"), "title", "url",
                                      F.col("text").alias("description"), "time")
-    out = JB.batch_score(pitches, t, idx["stories"])
+    return JB.batch_score(pitches, _trained(spark, sf), idx["stories"], idx["comments"])
+
+
+@query("batch_score")
+def batch_score_q(spark, sf):
+    out = _batch(spark, sf)
     return out.withColumn("similar_ids", F.array_join(F.col("similar_ids").cast("array<string>"), ","))\
-              .withColumn("distribution", F.to_json("distribution"))
+              .withColumn("distribution", F.to_json("distribution")).withColumn("comments", F.to_json("comments"))
+
+
+@query("batch_invariants")
+def batch_invariants_q(spark, sf):
+    """What holds for every pitch's row, whatever the models: comments of its first three
+    neighbours only, each of them in the prompt, and both explanations."""
+    first = F.slice("similar_ids", 1, 3)
+    return _batch(spark, sf).agg(
+        F.count(F.lit(1)).alias("pitches"),
+        F.min(F.forall("comments", lambda c: F.array_contains(first, c["story_id"]))).alias("of_neighbours"),
+        F.min(F.forall("comments", lambda c: F.contains(F.col("prompt"), c["text"]))).alias("in_prompt"),
+        F.min(F.startswith("prompt", F.lit("## Pitch"))).alias("has_prompt"),
+        F.min((F.length("top_features") > 0) & (F.length("top_class_features") > 0)).alias("explained"))
 
 
 # ---- streaming build (Structured Streaming, run to completion) ----------------
