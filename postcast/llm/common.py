@@ -80,8 +80,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Returns ``(node, component)``, each node once.  Every round hooks each node
     to its smallest neighbour, follows the hooks to their roots by pointer
     jumping, and contracts the edges to the roots; at least half of the nodes
-    that still have an edge disappear in a round, so rounds grow with the
-    logarithm of the nodes.  Minima are combined before the shuffle, and joins
+    that still have an edge disappear in two rounds (a hub with the largest id
+    may lose but one node in the first), so rounds grow with the logarithm of
+    the nodes.  Minima are combined before the shuffle, and joins
     on a hub are plain equi-joins that AQE splits.  Nothing is collected but
     one boolean per round."""
     both = edges.where(F.col("a") != F.col("b")).select("a", "b")
