@@ -1,4 +1,6 @@
-"""Declared schemas of the tables the library reads and writes."""
+"""Declared schemas of the tables the library reads and writes.
+
+Fixed values: column names, their types and the order of the features."""
 from pyspark.sql import types as T
 
 ITEM = T.StructType([
