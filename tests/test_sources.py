@@ -105,3 +105,25 @@ def test_read_files_explicit_list(spark):
     one = spark.read.parquet(table_path(sf, "events")).count()
     both = read_files(spark, [table_path(sf, "events"), table_path(sf, "events")]).count()
     assert both == 2 * one
+
+
+def test_year_list_reads_only_its_folders(spark):
+    import tempfile
+
+    import pytest
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from postcast.sources.tables import read_years
+    base = tempfile.mkdtemp(prefix="postcast-years-")
+    (spark.range(40).select("id", (F.lit(2018) + F.col("id") % 4).alias("year"))
+     .write.mode("overwrite").partitionBy("year").parquet(base))
+    got = read_years(spark, base, [2021, 2019, 2019, 2050])  # repeated and missing years
+    assert {(r["id"], r["year"]) for r in got.collect()} == {(i, 2018 + i % 4) for i in range(40) if i % 4 in (1, 3)}
+    assert {f.split("year=")[1][:4] for f in got.inputFiles()} == {"2019", "2021"}
+    schema = StructType([StructField("id", LongType())])
+    assert read_years(spark, base, [2019], schema).count() == 10
+    none = read_years(spark, base, [2050], schema)
+    assert none.count() == 0 and none.columns == ["id", "year"]
+    with pytest.raises(FileNotFoundError):
+        read_years(spark, base, [2050])
