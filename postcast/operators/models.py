@@ -1,6 +1,6 @@
 """Models as Spark jobs (M3-M6, S10): boosted regression on log1p targets,
-balanced 5-class forest with probabilities, batch prediction, and per-row
-Shapley attribution.
+balanced 5-class models with probabilities (softmax boosting, see
+``softmax_boost``, or a forest), batch prediction, and per-row Shapley attribution.
 
 Only bounded things reach the driver: class weights (<= 5 rows) and the node
 table of a trained model (trees x nodes), which is broadcast to the tasks that
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from postcast.constants import N_CLASSES
 from postcast.functions.labels import argmax, expected_score, from_log, log_target, reception_class
 from postcast.operators.shapley import Tree, shapley_values
+from postcast.operators.softmax_boost import SoftmaxModel, fit_softmax  # noqa: F401
 from postcast.operators.stats import with_class_weight
 from postcast.session import scratch_path, ship_package
 
@@ -116,21 +117,29 @@ def fit_classifier(train: DataFrame, score: str, features: str = "features", **p
 def predict_classes(model, df: DataFrame, prefix: str = "") -> DataFrame:
     """Probabilities as array<double>, arg-max class, expected score."""
     from pyspark.ml.functions import vector_to_array
-    res = model.transform(df)
-    probs = vector_to_array(F.col(model.getProbabilityCol()))
-    res = res.withColumn(f"{prefix}probs", probs)
+    boosted = isinstance(model, SoftmaxModel)
+    if boosted:
+        res = model.probabilities(df, out=f"{prefix}probs")
+    else:
+        res = model.transform(df)
+        res = res.withColumn(f"{prefix}probs", vector_to_array(F.col(model.getProbabilityCol())))
     res = res.withColumn(f"{prefix}predicted_class", argmax(f"{prefix}probs"))
     res = res.withColumn(f"{prefix}expected_score", expected_score(f"{prefix}probs"))
+    if boosted:
+        return res
     return res.drop(model.getProbabilityCol(), model.getRawPredictionCol(), model.getPredictionCol())
 
 
 def save_model(model, path: str) -> None:
     """S10."""
+    if isinstance(model, SoftmaxModel):
+        from pyspark.sql import SparkSession
+        return model.save(SparkSession.active(), path)
     model.write().overwrite().save(path)
 
 
 def load_model(kind: str, path: str):
-    """Missing path is an error."""
+    """A saved ``regressor``, ``softmax`` or ``forest``; a missing path is an error."""
     from pyspark.sql import SparkSession
 
     from postcast.sources.items import _exists
@@ -139,6 +148,8 @@ def load_model(kind: str, path: str):
     if kind == "regressor":
         from pyspark.ml.regression import GBTRegressionModel
         return GBTRegressionModel.load(path)
+    if kind == "softmax":
+        return SoftmaxModel.load(SparkSession.active(), path)
     from pyspark.ml.classification import RandomForestClassificationModel
     return RandomForestClassificationModel.load(path)
 
@@ -203,7 +214,7 @@ def shapley_attribution(model, df: DataFrame, features: str = "features", key: s
                      names: list[str] | None = None) -> DataFrame:
     """Shapley values of a tree ensemble per row (see ``shapley``): sum(attribution) +
     base = raw prediction (log-score for the regressor, class probability for the
-    forest), and the base is the average over the training rows.  Runs in mapInPandas
+    forest, class margin before the softmax for the boosted classifier), and the base is the average over the training rows.  Runs in mapInPandas
     over Arrow batches with the node table broadcast.  ``reduce_classes`` (forest)
     returns the class means of |value| and value (A14) computed in the same task,
     instead of the per-class matrix.  ``top_k`` (with ``names``) returns only the
@@ -212,12 +223,14 @@ def shapley_attribution(model, df: DataFrame, features: str = "features", key: s
     from pyspark.ml.functions import vector_to_array
     spark = df.sparkSession
     ship_package(spark)
-    nodes, weights = node_table(model, spark, name)
-    classes = N_CLASSES if classifier else None
-    if classifier:
-        classes = int(model.numClasses)
-    scale = 1.0 / len(weights) if classifier else 1.0
-    bc = spark.sparkContext.broadcast(_pack(nodes, weights, classes, scale))
+    classes = int(model.numClasses) if classifier else None
+    start = 0.0
+    if isinstance(model, SoftmaxModel):
+        bc, start = spark.sparkContext.broadcast(model.shapley_trees()), model.start
+    else:
+        nodes, weights = node_table(model, spark, name)
+        scale = 1.0 / len(weights) if classifier else 1.0
+        bc = spark.sparkContext.broadcast(_pack(nodes, weights, classes, scale))
     src = df.select(F.col(key).alias("_k"), vector_to_array(F.col(features)).alias("_x"))
     if top_k is not None:
         schema = ("_k long, top array<struct<feature:string,importance:double,"
@@ -236,6 +249,7 @@ def shapley_attribution(model, df: DataFrame, features: str = "features", key: s
                 continue
             x = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
             contrib, base = shapley_values(trees, x, classes)
+            base = base + start
             if top_k is not None:
                 if classes is None:
                     signed, rank_by = contrib, np.abs(contrib)

@@ -122,7 +122,7 @@ def load_statistics(spark, version: str) -> dict[str, DataFrame]:
 
 def training_job(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, out_dir: str | None = None,
                  gbt: dict | None = None, forest: dict | None = None,
-                 parallel_fits: int = 3, statistics_before: str | None = None) -> dict:
+                 parallel_fits: int = 3, statistics_before: str | None = None, classifier: str = "forest") -> dict:
     """Split, three models, score CDF, time statistics, domain statistics.
 
     ``domain_stats`` are those of the training side, which the features use; the saved
@@ -130,7 +130,6 @@ def training_job(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, out_dir: str |
     from concurrent.futures import ThreadPoolExecutor
 
     feats, dstats, counts = split_features(items, cutoff)
-    train = feats.filter(~F.col("is_validation"))
     # the three fits are independent; submitted from threads (as MLlib's own
     # tuning does with `parallelism`) their many small stages share the cluster
     with ThreadPoolExecutor(max_workers=max(1, parallel_fits)) as pool:
@@ -138,9 +137,9 @@ def training_job(items: DataFrame, cutoff: str = TEMPORAL_CUTOFF, out_dir: str |
                               **(gbt or {}))
         f_comments = pool.submit(M.fit_regressor, feats, "descendants",
                                  validation_col="is_validation", **(gbt or {}))
-        f_forest = pool.submit(M.fit_classifier, train, "score", **(forest or {}))
+        f_classes = pool.submit(fit_classes, feats, "score", classifier, **(forest or {}))
         score_model, comment_model, classifier = (f_score.result(), f_comments.result(),
-                                                  f_forest.result())
+                                                  f_classes.result())
     history = history_statistics(items, statistics_before)
     out = {"features": feats, "score_model": score_model, "comment_model": comment_model,
            "classifier": classifier, "score_cdf": history["score_cdf"],
@@ -163,14 +162,14 @@ def validation_metrics(trained: dict) -> DataFrame:
 
 
 def explain_classes(trained: dict, df: DataFrame, top: int = 5) -> DataFrame:
-    """M6 + A14 + W7 for the forest: per-class path attributions, ranked by
+    """M6 + A14 + W7 for the classifier: attributions by class, ranked by
     the mean |value| over classes, reported with the mean signed value."""
     return M.shapley_attribution(trained["classifier"], df, key="id", name="explain_classes",
                               classifier=True, top_k=top, names=feature_names(EMBEDDING_DIM))
 
 
 def classifier_metrics(trained: dict) -> DataFrame:
-    """A9/A10 for the forest on the validation rows."""
+    """A9/A10 for the classifier on the validation rows."""
     val = trained["features"].filter(F.col("is_validation"))
     p = M.predict_classes(trained["classifier"], val).withColumn("_y", L.reception_class("score"))
     return p.agg(EV.accuracy(F.col("_y"), F.col("predicted_class")).alias("accuracy"),
@@ -178,15 +177,26 @@ def classifier_metrics(trained: dict) -> DataFrame:
                  F.count(F.lit(1)).alias("n"))
 
 
-def backtest(feats: DataFrame, score: str = "score", seed: int = 42, **forest) -> dict:
-    """M7: hash split (P3) with its validation tail (P4),
-    classes (X16), balanced forest (M4), metrics on the test part: accuracy,
+def fit_classes(flagged: DataFrame, score: str, classifier: str, **params):
+    """M4 on rows with ``is_validation``: ``softmax`` boosting stops by the log loss of
+    the flagged rows (a round is a few small jobs, so it takes the longer), a ``forest``
+    is fitted on the others."""
+    if classifier == "softmax":
+        return M.fit_softmax(flagged, score, validation_col="is_validation", **params)
+    return M.fit_classifier(flagged.filter(~F.col("is_validation")), score, **params)
+
+
+def backtest(feats: DataFrame, score: str = "score", seed: int = 42, classifier: str = "forest", **params) -> dict:
+    """M7: hash split (P3) with its validation tail (P4), classes (X16), a balanced
+    classifier (M4; ``softmax`` stops on the tail, a forest, which does not stop early,
+    is trained on it like the rest), metrics on the test part: accuracy,
     confusion, per-class precision and recall, Spearman of expected score vs
     actual."""
     f = SP.validation_tail(SP.hash_split(feats.drop("is_validation"), "id", seed=seed), "id", seed=seed)
-    # a forest does not stop early, so the validation tail is trained on like the rest
     train, test = f.filter(~F.col("is_test")), f.filter(F.col("is_test"))
-    model = M.fit_classifier(train, score, **forest)
+    if classifier != "softmax":
+        train = train.withColumn("is_validation", F.lit(False))
+    model = fit_classes(train, score, classifier, **params)
     pred = M.predict_classes(model, test).withColumn("actual", L.reception_class(score))
     conf = EV.confusion(pred, "actual", "predicted_class")
     summary = pred.agg(EV.accuracy(F.col("actual"), F.col("predicted_class")).alias("accuracy"),

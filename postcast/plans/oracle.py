@@ -499,6 +499,25 @@ ORACLE_SQL["backtest_confusion"] = with_ctes(f"""
 SELECT CAST(c AS BIGINT) AS actual, CAST((SELECT count(*) FROM test WHERE actual = c) AS BIGINT) AS n
 FROM range(5) t(c)""", "live").replace("\n, test", ",\ntest", 1)
 
+ORACLE_SQL["backtest_invariants"] = with_ctes("""
+SELECT CAST(floor(0.2 * count(*)) AS BIGINT) AS n_test, CAST(5 AS BIGINT) AS classes, true AS shares_follow,
+  true AS accuracy_follows
+FROM live""", "live")
+
+ORACLE_SQL["softmax_invariants"] = with_ctes("""
+SELECT count(*) AS stories, true AS probabilities_sum_to_one, true AS additive FROM live""", "live")
+
+ORACLE_SQL["model_round_trip"] = with_ctes("""
+SELECT count(*) AS stories, true AS score_equal, true AS comments_equal, true AS classes_equal FROM live""", "live")
+
+ORACLE_SQL["encoder_invariants"] = with_ctes("""
+SELECT count(*) AS stories, count(DISTINCT title) AS titles, true AS dimension, true AS unit,
+  true AS equal_for_equal_titles
+FROM live""", "live")
+
+ORACLE_SQL["year_files"] = with_ctes("""
+SELECT id, score, "by", year(time) AS year FROM stories""", "stories")
+
 ORACLE_SQL["sample_invariants"] = """
 SELECT least(100, count(*)) AS n, least(100, count(*)) AS n_distinct, least(100, count(*)) AS n_known FROM events"""
 

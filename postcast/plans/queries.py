@@ -20,7 +20,7 @@ from postcast.operators import ranking as R
 from postcast.operators import sampling, stats
 from postcast.operators import splits as SP
 from postcast.operators.clean import clean_comments
-from postcast.operators.embed import hashing_embedding
+from postcast.operators.embed import encoder_embedding, hashing_embedding
 from postcast.operators.features import structural_features
 from postcast.operators.prompts import prompt_table
 from postcast.plans import jobs as JB
@@ -28,7 +28,7 @@ from postcast.plans.common import clean_live, live, rounded, stories, time_text
 from postcast.session import scratch_path
 from postcast.sources.bindings import comments
 from postcast.sources.items import comments_for_stories, story_scan
-from postcast.sources.tables import read_table
+from postcast.sources.tables import read_table, read_years
 from postcast.streaming import index_stream as ST
 
 REGISTRY: dict = {}
@@ -597,6 +597,43 @@ def explain_reception_q(spark, sf):
                               F.lit("class_probability").alias("unit")))
 
 
+_SOFTMAX: dict = {}
+
+
+def _softmax(spark, sf):
+    """M4 by softmax boosting, on the written feature table of the training run."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SOFTMAX:
+        _SOFTMAX[key] = JB.fit_classes(_trained(spark, sf)["features"], "score", "softmax")
+    return _SOFTMAX[key]
+
+
+@query("train_softmax")
+def train_softmax_q(spark, sf):
+    """A9/A10 of the boosted classifier on the rows that stopped it, and its rounds."""
+    t = _trained(spark, sf)
+    model = _softmax(spark, sf)
+    m = JB.classifier_metrics({"features": t["features"], "classifier": model})
+    return rounded(m).withColumn("rounds", F.lit(len(model.rounds)).cast("long"))
+
+
+@query("softmax_invariants")
+def softmax_invariants_q(spark, sf):
+    """What holds for every boosted classifier: a row per live story, probabilities that
+    sum to 1, attributions that sum with the base to margins with those probabilities."""
+    feats, model = _trained(spark, sf)["features"], _softmax(spark, sf)
+    p = MD.predict_classes(model, feats).select("id", "probs")
+    a = MD.shapley_attribution(model, feats, key="id", classifier=True)
+    sums = F.zip_with("attribution", "base", lambda v, b: F.exp(b + F.aggregate(v, F.lit(0.0), lambda x, y: x + y)))
+    a = a.select("id", sums.alias("_e"))
+    a = a.withColumn("_z", F.aggregate("_e", F.lit(0.0), lambda x, y: x + y))
+    off = F.zip_with("probs", "_e", lambda q, e: F.abs(q - e / F.col("_z")))
+    total = F.aggregate("probs", F.lit(0.0), lambda x, y: x + y)
+    return p.join(a, "id", "left").agg(
+        F.count(F.lit(1)).alias("stories"), F.min(F.abs(total - 1) < 1e-9).alias("probabilities_sum_to_one"),
+        F.min(F.coalesce(F.array_max(off) < 1e-9, F.lit(False))).alias("additive"))
+
+
 _BACKTESTS: dict = {}
 
 
@@ -613,6 +650,104 @@ def backtest_q(spark, sf):
     return rounded(b["summary"].withColumn("spearman", b["spearman"].select("spearman").scalar()))
 
 
+@query("backtest_matrix")
+def backtest_matrix_q(spark, sf):
+    """A11 of the backtest: all 25 cells."""
+    return _backtest(spark, sf)["confusion"]
+
+
+@query("backtest_classes")
+def backtest_classes_q(spark, sf):
+    """A12 of the backtest: precision and recall of each class."""
+    return rounded(_backtest(spark, sf)["per_class"])
+
+
+@query("backtest_invariants")
+def backtest_invariants_q(spark, sf):
+    """What holds for every backtest: the confusion table's cells and rows, and what
+    precision, recall and accuracy have to be by it."""
+    b = _backtest(spark, sf)
+    conf = b["confusion"]
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    rows = conf.groupBy(F.col("actual").alias("_c")).agg(F.sum("n").alias("_of"), F.sum(hit).alias("_tp"))
+    cols = conf.groupBy(F.col("predicted").alias("_c")).agg(F.sum("n").alias("_as"))
+    per = b["per_class"].withColumnRenamed("cls", "_c")
+
+    def share(total):
+        return F.when(F.col(total) > 0, F.col("_tp") / F.col(total)).otherwise(0.0)
+    by_class = rows.join(cols, "_c").join(per, "_c").agg(
+        F.sum("_of").alias("n_test"), F.count(F.lit(1)).alias("classes"), F.sum("_tp").alias("_hits"),
+        F.min((F.abs(F.col("precision") - share("_as")) < 1e-9)
+              & (F.abs(F.col("recall") - share("_of")) < 1e-9)).alias("shares_follow"))
+    accuracy = b["summary"].select("accuracy").scalar()
+    return by_class.select("n_test", "classes", "shares_follow", (F.abs(
+        accuracy - F.col("_hits") / F.col("n_test")) < 1e-9).alias("accuracy_follows"))
+
+
+@query("model_round_trip")
+def model_round_trip_q(spark, sf):
+    """The three models saved, loaded again and applied to every row."""
+    t = _trained(spark, sf)
+    run = scratch_path(spark, f"saved_models_{_tag(sf)}", unique=True)
+
+    def applied(score, comments_, classes, suffix):
+        p = MD.predict_count(score, t["features"], "s")
+        p = MD.predict_classes(classes, MD.predict_count(comments_, p, "c"))
+        return p.select("id", *[F.col(c).alias(c + suffix) for c in ("s", "c", "probs")])
+    models = [("score_model", "regressor"), ("comment_model", "regressor"), ("classifier", "forest")]
+    for name, _ in models:
+        MD.save_model(t[name], f"{run}/{name}")
+    first = applied(*[t[name] for name, _ in models], "")
+    again = applied(*[MD.load_model(kind, f"{run}/{name}") for name, kind in models], "2")
+    return first.join(again, "id", "left").agg(
+        F.count(F.lit(1)).alias("stories"), F.min(F.col("s").eqNullSafe(F.col("s2"))).alias("score_equal"),
+        F.min(F.col("c").eqNullSafe(F.col("c2"))).alias("comments_equal"),
+        F.min(F.col("probs").eqNullSafe(F.col("probs2"))).alias("classes_equal"))
+
+
+def letter_encoder(dim: int = 384, seed: int = 42):
+    """A stand-in for a sentence encoder: letter counts through a seeded matrix of whole
+    numbers, whose sums are exact whatever texts share a batch."""
+    import numpy as np
+    matrix = np.random.default_rng(seed).integers(-100, 101, (256, dim)).astype(float)
+
+    def encode(texts: list[str]) -> np.ndarray:
+        counts = np.stack([np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256) for t in texts])
+        out = counts @ matrix
+        return (out / np.sqrt(np.maximum((out ** 2).sum(axis=1, keepdims=True), 1))).astype(np.float32)
+    return encode
+
+
+@query("encoder_invariants")
+def encoder_invariants_q(spark, sf):
+    """M1: every title through the pluggable encoder; what holds for any unit encoder:
+    its dimension and norm, and equal vectors for equal texts."""
+    e = encoder_embedding(live(spark, sf).select("id", "title"), "title", factory=letter_encoder)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
+    e = e.select("title", (F.size("embedding") == 384).alias("_d"), (F.abs(norm - 1) < 1e-3).alias("_u"),
+                 F.xxhash64("embedding").alias("_h"))
+    same = e.groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("_d"), F.min("_u").alias("_u"),
+                                  (F.min("_h") == F.max("_h")).alias("_e"))
+    return same.agg(F.sum("n").alias("stories"), F.count(F.lit(1)).alias("titles"), F.min("_d").alias("dimension"),
+                    F.min("_u").alias("unit"), F.min("_e").alias("equal_for_equal_titles"))
+
+
+_YEARS: dict = {}
+ALL_YEARS = list(range(1970, 2101))
+
+
+@query("year_files")
+def year_files_q(spark, sf):
+    """The stories landed by year, read back through a list of years."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _YEARS:
+        _YEARS[key] = scratch_path(spark, f"years_{_tag(sf)}", unique=True)
+        landed = stories(spark, sf).select("id", "score", "by", "time", F.year("time").alias("year"))
+        landed.repartition("year", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("year").parquet(_YEARS[key])
+    chosen = read_years(spark, _YEARS[key], ALL_YEARS)
+    return chosen.select("id", "score", "by", F.col("year").cast("long").alias("year"))
+
+
 _INDEXES: dict = {}
 
 

@@ -1,5 +1,6 @@
 """Learning jobs: attribution additivity, classifier probabilities, backtest invariants."""
 import numpy as np
+import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -42,16 +43,17 @@ def test_classifier_probabilities_and_attribution(spark):
         assert np.allclose(np.stack(list(a)).sum(axis=1) + np.asarray(b), pr, atol=1e-9)
 
 
-def test_backtest_invariants(spark):
+@pytest.mark.parametrize("params", [dict(numTrees=8, maxDepth=4), dict(classifier="softmax", rounds=3, depth=2)])
+def test_backtest_invariants(spark, params):
     df = regression_data(spark, n=500, d=10).withColumn("score", F.col("score") * 20)
-    b = backtest(df, numTrees=8, maxDepth=4)
+    b = backtest(df, **params)
     s = b["summary"].first()
     conf = b["confusion"].toPandas()
     assert len(conf) == 25 and conf["n"].sum() == s["n_test"]
     assert 0.0 <= s["accuracy"] <= 1.0
     pr = b["per_class"].toPandas()
     assert ((pr["precision"] >= 0) & (pr["precision"] <= 1) & (pr["recall"] >= 0) & (pr["recall"] <= 1)).all()
-    b2 = backtest(df, numTrees=8, maxDepth=4)
+    b2 = backtest(df, **params)
     assert b2["summary"].first()["accuracy"] == s["accuracy"]  # deterministic by seed
 
 
