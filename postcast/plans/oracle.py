@@ -524,23 +524,24 @@ SELECT least(100, count(*)) AS n, least(100, count(*)) AS n_distinct, least(100,
 
 def _parse_sql(item: str, partial: str, keys: list[str], required: list[str], fence: bool = True) -> str:
     js = f"'[' || CAST(to_json({item}) AS VARCHAR) || ',' || CAST(to_json({partial}) AS VARCHAR) || ']'"
-    text = (f"CASE turn % 3 WHEN 0 THEN {js} "
-            f"WHEN 1 THEN 'Here you go:\n```json\n' || {js} || '\n```\nEnjoy.' ELSE '```\n' || {js} || '\n```' END"
-            if fence else f"CASE turn % 2 WHEN 0 THEN {js} ELSE '\n' || {js} || ' ' END")
+    replies = (f"[{js}, '\n' || {js} || ' ', 'Here you go:\n```json\n' || {js} || '\n```\nEnjoy.', "
+               f"'```\n' || {js} || '\n```', CAST(to_json({{'comment': text}}) AS VARCHAR), 'Sorry, no list: ' || text]")
     fenced = "regexp_extract(response, '(?s)```(?:json)?\\s*(\\[.*?\\])\\s*```', 1)"
     has = " AND ".join(f"json_exists(item, '$.{k}')" for k in required)
     outs = ", ".join(f"json_extract_string(item, '$.{k}') AS {k}" for k in keys[:2])
     return f"""
-WITH resp AS (SELECT conv_id, turn, {text} AS response FROM conversations),
-src0 AS (SELECT conv_id, turn,
+WITH replies AS (SELECT conv_id, turn, {replies} AS all_replies FROM conversations),
+resp AS (SELECT conv_id, turn, reply - 1 AS reply, all_replies[reply] AS response
+  FROM replies, range(1, 7) kinds(reply)),
+src0 AS (SELECT conv_id, turn, reply,
     CASE WHEN json_valid(response) THEN response END AS pj,
     CASE WHEN {str(fence).lower()} AND NOT json_valid(response) AND json_valid({fenced}) THEN {fenced} END AS fj
   FROM resp),
-src AS (SELECT conv_id, turn, CASE WHEN pj IS NOT NULL THEN CASE WHEN json_type(pj) = 'ARRAY' THEN pj END
+src AS (SELECT conv_id, turn, reply, CASE WHEN pj IS NOT NULL THEN CASE WHEN json_type(pj) = 'ARRAY' THEN pj END
     ELSE CASE WHEN json_type(fj) = 'ARRAY' THEN fj END END AS arr FROM src0),
-items AS (SELECT conv_id, turn, i, json_extract(arr, '$[' || CAST(i AS VARCHAR) || ']') AS item
-  FROM (SELECT conv_id, turn, arr, unnest(range(CAST(json_array_length(arr) AS BIGINT))) AS i FROM src WHERE arr IS NOT NULL))
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS item, {outs}
+items AS (SELECT conv_id, turn, reply, i, json_extract(arr, '$[' || CAST(i AS VARCHAR) || ']') AS item
+  FROM (SELECT conv_id, turn, reply, arr, unnest(range(CAST(json_array_length(arr) AS BIGINT))) AS i FROM src WHERE arr IS NOT NULL))
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn, reply ORDER BY i) - 1 AS item, {outs}, reply
 FROM items WHERE json_type(item) = 'OBJECT' AND {has}"""
 
 

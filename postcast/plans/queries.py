@@ -479,31 +479,31 @@ def _responses(spark, sf, kind):
         item = F.struct(F.col("text").alias("title"), F.col("role").alias("description"))
         partial = F.struct(F.col("role").alias("description"))
     js = F.concat(F.lit("["), F.to_json(item), F.lit(","), F.to_json(partial), F.lit("]"))
-    # every row's text in a reply that parses: for comments also fenced
-    if kind == "comments":
-        m = F.col("turn") % 3
-        text = (F.when(m == 0, js)
-                .when(m == 1, F.concat(F.lit("Here you go:\n```json\n"), js, F.lit("\n```\nEnjoy.")))
-                .otherwise(F.concat(F.lit("```\n"), js, F.lit("\n```"))))
-    else:
-        text = F.when(F.col("turn") % 2 == 0, js).otherwise(F.concat(F.lit("\n"), js, F.lit(" ")))
-    return c.select("conv_id", "turn", text.alias("response"))
+    # every row's text in every kind of reply: plain, padded, fenced, an object, a refusal
+    replies = F.array(js, F.concat(F.lit("\n"), js, F.lit(" ")),
+                      F.concat(F.lit("Here you go:\n```json\n"), js, F.lit("\n```\nEnjoy.")),
+                      F.concat(F.lit("```\n"), js, F.lit("\n```")),
+                      F.to_json(F.struct(F.col("text").alias("comment"))),
+                      F.concat(F.lit("Sorry, no list: "), F.col("text")))
+    return c.select("conv_id", "turn", F.posexplode(replies).alias("reply", "response"))
 
 
 @query("parse_responses")
 def parse_responses_q(spark, sf):
-    r = _responses(spark, sf, "comments").select("conv_id", "turn",
+    r = _responses(spark, sf, "comments").select("conv_id", "turn", "reply",
                                                  F.posexplode(comment_items(F.col("response"))))
     return r.select("conv_id", "turn", F.col("pos").cast("long").alias("item"),
-                    F.col("col")["username"].alias("username"), F.col("col")["comment"].alias("comment"))
+                    F.col("col")["username"].alias("username"), F.col("col")["comment"].alias("comment"),
+                    F.col("reply").cast("long").alias("reply"))
 
 
 @query("parse_suggestions")
 def parse_suggestions_q(spark, sf):
-    r = _responses(spark, sf, "suggestions").select("conv_id", "turn",
+    r = _responses(spark, sf, "suggestions").select("conv_id", "turn", "reply",
                                                     F.posexplode(suggestion_items(F.col("response"))))
     return r.select("conv_id", "turn", F.col("pos").cast("long").alias("item"),
-                    F.col("col")["title"].alias("title"), F.col("col")["description"].alias("description"))
+                    F.col("col")["title"].alias("title"), F.col("col")["description"].alias("description"),
+                    F.col("reply").cast("long").alias("reply"))
 
 
 # ---- sources written and read back (S2, S5, L3) -------------------------------

@@ -133,3 +133,17 @@ def test_rank_variants_of_a_hot_pitch(spark):
     exp = pdf.sort_values(["pitch", "score", "idx"], ascending=[True, False, True])
     exp["rank"] = exp.groupby("pitch").cumcount() + 1
     assert (a.set_index("idx")["rank"].sort_index() == exp.set_index("idx")["rank"].sort_index()).all()
+
+
+def test_every_text_comes_in_every_kind_of_reply(spark, tmp_path):
+    from postcast.plans.queries import REGISTRY
+    rows = [(c, t, "user", f"words {c} {t}") for c in (1, 2) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(
+        str(tmp_path / "conversations.parquet"))
+    said = REGISTRY["parse_responses"](spark, str(tmp_path)).collect()
+    assert sorted((r["conv_id"], r["turn"], r["reply"]) for r in said) == \
+        [(c, t, k) for c, t, _, _ in rows for k in range(4)]
+    assert all(r["comment"] == f"words {r['conv_id']} {r['turn']}" for r in said)
+    asked = REGISTRY["parse_suggestions"](spark, str(tmp_path)).collect()
+    assert sorted((r["conv_id"], r["turn"], r["reply"]) for r in asked) == \
+        [(c, t, k) for c, t, _, _ in rows for k in range(2)]
