@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from postcast.constants import N_CLASSES
 from postcast.functions.labels import argmax, expected_score, from_log, log_target, reception_class
-from postcast.operators.shapley import Tree, shapley_values
+from postcast.operators.shapley import ROWS, Tree, shapley_values
 from postcast.operators.softmax_boost import SoftmaxModel, fit_softmax  # noqa: F401
 from postcast.operators.stats import with_class_weight
 from postcast.session import scratch_path, ship_package
@@ -208,6 +208,14 @@ def _top_rows(signed: np.ndarray, rank_by: np.ndarray, names: list[str], k: int)
     return out
 
 
+def in_parts(batches, rows: int = ROWS):
+    """A few rows at a time: the values of a whole Arrow batch are features x classes
+    numbers a row, several times over."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at:at + rows]
+
+
 def shapley_attribution(model, df: DataFrame, features: str = "features", key: str = "id",
                      name: str = "explain", classifier: bool = False,
                      reduce_classes: bool = False, top_k: int | None = None,
@@ -244,9 +252,7 @@ def shapley_attribution(model, df: DataFrame, features: str = "features", key: s
 
     def run(batches):
         trees = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
+        for pdf in in_parts(batches):
             x = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
             contrib, base = shapley_values(trees, x, classes)
             base = base + start

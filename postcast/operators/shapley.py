@@ -19,6 +19,8 @@ from math import factorial
 import numpy as np
 
 WIDEST = 10  # features on a path whose cases are tabulated; beyond, cases are those of the rows
+KEPT = 1 << 18  # numbers of a tree's tables that are kept for the next rows; larger ones are made anew
+ROWS = 2048  # rows at once, for which (feature, class, row) is held
 
 
 class Tree:
@@ -30,6 +32,7 @@ class Tree:
         self.feature, self.threshold = np.asarray(feature), np.asarray(threshold, float)
         self.cover, self.value = np.asarray(cover, float), np.asarray(value, float)
         self.splits = np.flatnonzero(self.left >= 0)
+        self.groups = self._base = None
         column = {int(n): c for c, n in enumerate(self.splits)}
         self.paths = []  # (leaf, features, shares, per feature its splits and sides)
         stack = [(0, {})]
@@ -46,7 +49,9 @@ class Tree:
 
     def base(self) -> np.ndarray:
         """The ensemble member's average over the training rows."""
-        return self.weight * sum(self.value[leaf] * np.prod(shares) for leaf, _, shares, _ in self.paths)
+        if self._base is None:
+            self._base = self.weight * sum(self.value[leaf] * np.prod(shares) for leaf, _, shares, _ in self.paths)
+        return self._base
 
 
 def cases(z: np.ndarray, o: np.ndarray) -> np.ndarray:
@@ -67,32 +72,67 @@ def cases(z: np.ndarray, o: np.ndarray) -> np.ndarray:
     return out
 
 
+def leaf_cases(tree: Tree, goes_left: np.ndarray) -> dict[int, np.ndarray]:
+    """Leaf -> the case of each row: bit j is set where the row fits the j-th feature of
+    the leaf's path.  ``goes_left`` is (split, row)."""
+    column = {int(n): c for c, n in enumerate(tree.splits)}
+    out = {}
+    stack = [(0, {}, np.zeros(goes_left.shape[1], np.int64))]
+    while stack:
+        node, on, case = stack.pop()
+        if tree.left[node] < 0:
+            out[node] = case
+            continue
+        f, left = int(tree.feature[node]), goes_left[column[node]]
+        bit = np.int64(1 << on.get(f, len(on)))
+        for child, fits in ((tree.left[node], left), (tree.right[node], ~left)):
+            stack.append((int(child), on | {f: on.get(f, len(on))},
+                          np.where(fits, case, case & ~bit) if f in on else case + fits * bit))
+    return out
+
+
+def _groups(tree: Tree) -> list:
+    """Per number of features on a path: its leaves, their shares, table of cases, values
+    and features.  Kept with the tree while its tables are small."""
+    if tree.groups is not None:
+        return tree.groups
+    by_size: dict[int, list] = {}
+    for path in tree.paths:
+        by_size.setdefault(len(path[1]), []).append(path)
+    out, size = [], 0
+    for m, paths in by_size.items():
+        if not m:
+            continue
+        leaves = [leaf for leaf, _, _, _ in paths]
+        shares = np.array([shares for _, _, shares, _ in paths])
+        table = None
+        if m <= WIDEST:
+            table = cases(shares, (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float))
+            table = np.ascontiguousarray(table.transpose(0, 2, 1))
+            size += table.size
+        value = tree.weight * tree.value[leaves].reshape(len(leaves), -1, 1)
+        out.append((m, leaves, shares, table, value, [features for _, features, _, _ in paths]))
+    if size <= KEPT:
+        tree.groups = out
+    return out
+
+
 def shapley_values(trees: list[Tree], x: np.ndarray, classes: int | None = None):
     """(rows, features) or (rows, classes, features), and the base."""
     n, d = x.shape
-    out = np.zeros((n, d) if classes is None else (n, d, classes))
+    out = np.zeros((d, classes or 1, n))
     base = np.zeros(() if classes is None else (classes,))
     for tree in trees:
         base = base + tree.base()
-        goes_left = x[:, tree.feature[tree.splits]] <= tree.threshold[tree.splits]
-        by_size: dict[int, list] = {}
-        for path in tree.paths:
-            by_size.setdefault(len(path[1]), []).append(path)
-        for m, paths in by_size.items():
-            if not m:
-                continue
-            fits = np.empty((len(paths), m, n), bool)
-            for p, (_, _, _, ways) in enumerate(paths):
-                for f, splits in enumerate(ways):
-                    fits[p, f] = np.logical_and.reduce([goes_left[:, c] == side for c, side in splits])
-            shares = np.array([shares for _, _, shares, _ in paths])
-            if m <= WIDEST:
-                table = cases(shares, (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float))
-                case = np.tensordot(1 << np.arange(m), fits, (0, 1))
-                parts = (table[p, case[p]] for p in range(len(paths)))
-            else:
-                parts = (cases(shares[p:p + 1], fits[p].T.astype(float))[0] for p in range(len(paths)))
-            for (leaf, features, _, _), part in zip(paths, parts):
-                value = tree.weight * tree.value[leaf]
-                out[:, features] += part * value if classes is None else part[:, :, None] * value
-    return (out if classes is None else out.transpose(0, 2, 1)), base
+        if not len(tree.splits):
+            continue
+        case = leaf_cases(tree, x.T[tree.feature[tree.splits]] <= tree.threshold[tree.splits][:, None])
+        for m, leaves, shares, table, value, features in _groups(tree):
+            for p, leaf in enumerate(leaves):
+                if table is not None:
+                    part = table[p][:, case[leaf]]
+                else:
+                    part = cases(shares[p:p + 1], (case[leaf][:, None] >> np.arange(m) & 1).astype(float))[0].T
+                for j, f in enumerate(features[p]):
+                    out[f] += part[j] * value[p]
+    return np.ascontiguousarray(out[:, 0].T if classes is None else out.transpose(2, 1, 0)), base

@@ -2,6 +2,7 @@ import itertools
 from math import factorial
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,19 @@ def test_models_equal_all_subsets(spark):
     for row, g, p in zip(x, got, probs):
         a = np.array([list(v) for v in g["attribution"]])
         assert np.allclose(a.T, brute(trees, row)) and np.allclose(a.sum(1) + np.array(g["base"]), p["probs"])
+
+
+def test_tables_of_cases_are_made_once_for_all_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    trees, x = [grown(rng, 5, 9, 3) for _ in range(4)], rng.normal(size=(70, 9))
+    whole, base = shapley_values(trees, x, 3)
+    monkeypatch.setattr("postcast.operators.shapley.cases", None)
+    for at in range(0, 70, 20):
+        part, again = shapley_values(trees, x[at:at + 20], 3)
+        assert (part == whole[at:at + 20]).all() and (again == base).all()
+
+
+def test_attribution_takes_a_few_rows_at_a_time():
+    batches = [pd.DataFrame({"_k": range(7)}), pd.DataFrame({"_k": []}), pd.DataFrame({"_k": range(3)})]
+    assert [len(p) for p in M.in_parts(iter(batches), 3)] == [3, 3, 1, 3]
+    assert [k for p in M.in_parts(iter(batches), 3) for k in p["_k"]] == [*range(7), *range(3)]
