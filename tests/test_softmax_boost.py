@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postcast.constants import LOGLOSS_EPS
 from postcast.operators import models as M
-from postcast.operators.softmax_boost import softmax
+from postcast.operators.softmax_boost import GrownTree, softmax
 from postcast.session import scratch_path
 
 SMALL = dict(patience=3, depth=3, step=0.6, min_rows=5)
@@ -116,3 +116,14 @@ def test_missing_classes_and_rows(spark):
     assert M.predict_classes(model, one.limit(0)).count() == 0
     with pytest.raises(ValueError):
         M.fit_softmax(one.limit(0), "score", rounds=2)
+
+
+def test_rows_stop_at_the_same_node_by_bins():
+    rng = np.random.default_rng(9)
+    tree, open_ = GrownTree(), [0]
+    for _ in range(12):
+        node = open_.pop(int(rng.integers(len(open_))))
+        open_ += tree.split(node, int(rng.integers(5)), int(rng.integers(8)), 0.0, (0.0, 0.0))
+    x = rng.integers(0, 9, (300, 5)).astype(np.uint8)
+    assert (tree.walk_bins(np.ascontiguousarray(x.T)) == tree.walk(x, tree.cut)).all()
+    assert (GrownTree().walk_bins(np.ascontiguousarray(x.T)) == np.zeros(300)).all()
