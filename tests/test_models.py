@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postcast.operators import models as M
 from postcast.operators.embed import encoder_embedding, hashing_embedding
-from postcast.plans.jobs import backtest
+from postcast.plans.jobs import Trained, backtest
 
 
 def regression_data(spark, n=500, d=20):
@@ -168,3 +168,26 @@ def test_hashing_tokens_are_unicode_words(spark):
     df = spark.createDataFrame([(1, "Über Änderung"), (2, "über änderung")], "id long, title string")
     e = {r["id"]: r["embedding"] for r in hashing_embedding(df).collect()}
     assert e[1] == e[2] and sum(1 for v in e[1] if v != 0) == 2  # two whole words, case-folded
+
+
+def test_models_are_made_when_they_are_asked_for():
+    made = []
+
+    def make(name):
+        return lambda: made.append(name) or name.upper()
+    t = Trained({"features": "F"}, {n: make(n) for n in ("a", "b", "c")}, 2)
+    assert t["features"] == "F" and made == []
+    assert t["b"] == "B" and t["b"] == "B" and made == ["b"]
+    assert t.fit("a", "b", "c") is t and sorted(made) == ["a", "b", "c"] and dict(t) == \
+        {"features": "F", "a": "A", "b": "B", "c": "C"}
+    with pytest.raises(KeyError):
+        t["d"]
+
+
+def test_fits_read_a_task_for_each_core(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    df = regression_data(spark).repartition(5 * cores)
+    assert M.few_partitions(df, "features").rdd.getNumPartitions() == cores
+    monkeypatch.setattr(M, "POINTS", 500 * 20 // (2 * cores))  # too many features for a partition of that few
+    assert M.few_partitions(df, "features").rdd.getNumPartitions() == 2 * cores
+    assert M.few_partitions(df.where("false"), "features").count() == 0
