@@ -26,6 +26,7 @@ import hashlib
 import json
 import re
 from array import array
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -39,10 +40,12 @@ from postcast.llm.memo import Memo
 
 BLOCKS = 256
 SLICE = 256
-# Most entries of the worker's memo tables.
-MAX_CHUNKS = 400_000
-MAX_WORDS = 300_000
-MARKS = ".,;:!?"
+# Most entries of the worker's memo table.
+MAX_CHUNKS = 700_000
+# Entries that a waiting worker keeps: those met first, which are the frequent ones.
+IDLE_CHUNKS = 150_000
+# The apostrophe is none of them: it can begin a token of its own ('s).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Capacity(NamedTuple):
@@ -60,7 +63,8 @@ class WordTokenizer:
     Normalising and splitting never look across a space or a line feed, so a
     text's ids are those of its chunks.  A chunk of plain Latin letters and
     closing marks is further cut into word and marks; the lower-cased word goes
-    to the model directly, anything else through the whole tokenizer."""
+    to the model directly, anything else through the whole tokenizer.  Words and
+    marks are remembered in the same table as the chunks."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -68,42 +72,43 @@ class WordTokenizer:
         self.model = self.whole.model
         spec = json.loads(definition)
         kinds = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
-        # the short cut holds for lower-casing byte-level tokenizers only
-        self.plain = "Lowercase" in kinds and "ByteLevel" in kinds and "\\\\s+" in kinds
-        self.cut = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{MARKS}]*)").fullmatch
+        # the short cut holds only for lower-casing byte-level tokenizers that keep runs of marks together
+        self.plain = "Lowercase" in kinds and "ByteLevel" in kinds and "\\\\s+" in kinds \
+            and json.dumps(r"[^\s\p{L}\p{N}]+")[1:-1] in kinds
+        self.cut = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(MARKS)}]*)").fullmatch
         codes = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in codes]
         self.shown = {b: c for b, c in zip(codes + rest, codes + [256 + i for i in range(len(rest))])}
-        self.words = Memo(self._of_word, MAX_WORDS)
         self.chunks = Memo(self._of_chunk, MAX_CHUNKS)
 
-    def forget(self) -> None:
-        self.words.clear()
-        self.chunks.clear()
+    def forget(self, keep: int = IDLE_CHUNKS) -> None:
+        if len(self.chunks) > keep:
+            kept = list(islice(self.chunks.items(), keep))
+            self.chunks.clear()
+            self.chunks.update(kept)
 
     def by_whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
     def _of_word(self, word: str) -> bytes:
-        """A lower-cased word of Latin-1 letters, or closing marks."""
-        if not word[0].isalpha():
-            return self.by_whole(word)
+        """A lower-cased word of Latin-1 letters."""
         seen = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
         return array("i", [t.id for t in self.model.tokenize(seen)]).tobytes()
 
     def _of_chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        if chunk.isascii():  # the usual chunks without a pattern: a word, or a word and one mark
-            if chunk.isalpha():
-                return self.words[chunk.lower()]
-            if chunk[-1] in MARKS and chunk[:-1].isalpha():
-                return self.words[chunk[:-1].lower()] + self.words[chunk[-1]]
-        m = self.cut(chunk) if len(chunk) <= self.chunks.longest else None
-        if m is None:
-            return self.by_whole(chunk)
-        word, marks = m.groups()
-        return self.words[word.lower()] + (self.words[marks] if marks else b"")
+        if chunk.isascii() and chunk.isalpha():  # the usual chunk without a pattern
+            word, marks = chunk, ""
+        else:
+            m = self.cut(chunk) if len(chunk) <= self.chunks.longest else None
+            if m is None:
+                return self.by_whole(chunk)
+            word, marks = m.groups()
+        low = word.lower()
+        if low == chunk:
+            return self._of_word(chunk)
+        return self.chunks[low] + (self.chunks[marks] if marks else b"")
 
     def encode(self, text: str) -> bytes:
         if not self.plain:
@@ -162,7 +167,7 @@ def pieces(docs: DataFrame, definition: str, end_id: int = 1, most: int = 4096,
         tok = _tokenizer(key, shared)
         try:
             yield from cut(tok, batches)
-        finally:  # the worker waits for other tasks without the memo tables
+        finally:  # the worker waits for other tasks with a small memo table
             tok.forget()
 
     return src.mapInArrow(run, schema)

@@ -35,6 +35,24 @@ def test_ids_equal_the_library(definition):
         assert np.frombuffer(own.encode(t), "<i4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_with_marks_need_no_whole_encoding(definition):
+    lib, own = Tokenizer.from_str(definition), packing.WordTokenizer(definition)
+    asked, whole = [], own.by_whole
+    own.by_whole = lambda t: (asked.append(t), whole(t))[1]
+    marks = [chr(b) for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]
+    text = " ".join([f"Haeder{m}{n}" for m in marks for n in marks] + ["ñmentedo***", "don't", "it's$", "x'$", "<|endoftext|>"])
+    assert np.frombuffer(own.encode(text), "<i4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert [t for t in asked if t[0].isalpha()] == ["don't", "it's$", "x'$"]
+
+
+def test_a_waiting_worker_keeps_the_first_words(definition):
+    own = packing.WordTokenizer(definition)
+    text = "the tide and the kettle and the harbour"
+    once = own.encode(text)
+    own.forget(keep=2)
+    assert list(own.chunks) == ["the", "tide"] and own.encode(text) == once
+
+
 def check_plan(plan, counts, cap):
     """Every piece has one place, places are gapless, capacities hold."""
     bins = defaultdict(list)
