@@ -81,13 +81,32 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WRITTEN: dict = {}
+# Most files of the story table that are written without a shuffle by day.
+MOST_FILES = 10_000
+
+
+def _days(spark: SparkSession, sf_dir: str) -> int:
+    """How many days the events span at most."""
+    first, last = read_table(spark, sf_dir, "events").select(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    return (last - first).days + 1 if first else 0
+
+
+def write_by_day(rows: DataFrame, path: str, days: int, most_files: int = MOST_FILES) -> None:
+    """Writes rows that a join left in hash partitions into one directory per ``day``.
+    Every task writes a file for each of its days; only where that could be too many
+    files are the rows dealt once more, by day and a salt, so that a day is a few files
+    and a hot day many tasks.  The rows are wide, hence the stronger compression."""
+    if days * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) > most_files:
+        rows = rows.repartition("day", F.pmod(F.xxhash64("id"), F.lit(8)))
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("day").parquet(path)
 
 
 def stories_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The story binding written once per session to the shared folder and
     read back: every later query scans one table instead of re-running the
     five-way join, and a lost executor recomputes from that table, not from
-    the raw inputs.  The table is partitioned by ``day`` (date of ``time``)."""
+    the raw inputs.  The table is partitioned by ``day`` (date of ``time``), so
+    time-bounded reads prune whole directories."""
     import hashlib
 
     from postcast.session import scratch_path
@@ -95,10 +114,6 @@ def stories_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _WRITTEN.get(key)
     if path is None:
         path = scratch_path(spark, f"stories_{hashlib.md5(sf_dir.encode()).hexdigest()[:10]}")
-        # one directory per day: time-bounded reads prune whole directories; dealt
-        # by day and a salt, so a day is a few files and a hot day many tasks
-        (stories(spark, sf_dir).withColumn("day", F.to_date("time"))
-         .repartition("day", F.pmod(F.xxhash64("id"), F.lit(8)))
-         .write.mode("overwrite").partitionBy("day").parquet(path))
+        write_by_day(stories(spark, sf_dir).withColumn("day", F.to_date("time")), path, _days(spark, sf_dir))
         _WRITTEN[key] = path
     return spark.read.parquet(path)

@@ -127,3 +127,20 @@ def test_year_list_reads_only_its_folders(spark):
     assert none.count() == 0 and none.columns == ["id", "year"]
     with pytest.raises(FileNotFoundError):
         read_years(spark, base, [2050])
+
+
+def test_story_table_is_not_dealt_by_day_again(spark, tmp_path, monkeypatch):
+    """Few days: the joined rows are written as they lie; many: dealt by day and salt."""
+    from postcast.sources import bindings as B
+    rows = spark.range(4000).repartition(4, "id").selectExpr("id", "date_add(date'2024-01-01', cast(id % 10 as int)) day",
+                                                             "cast(id as string) title")
+    dealt = []
+    monkeypatch.setattr(type(rows), "repartition", lambda df, *a: (dealt.append(a), df)[1])
+    for most, n in ((10_000, 0), (10, 1)):
+        path = str(tmp_path / str(most))
+        B.write_by_day(rows, path, 10, most)
+        back = spark.read.parquet(path)
+        assert len(dealt) == n
+        assert sorted(map(tuple, back.select("id", "title", F.col("day").cast("string")).collect())) \
+            == sorted(map(tuple, rows.select("id", "title", F.col("day").cast("string")).collect()))
+        assert len(list((tmp_path / str(most)).glob("day=*"))) == 10
