@@ -26,7 +26,7 @@ from postcast.operators.prompts import prompt_table
 from postcast.plans import jobs as JB
 from postcast.plans.common import clean_live, live, rounded, stories, time_text
 from postcast.session import scratch_path
-from postcast.sources.bindings import comments
+from postcast.sources.bindings import comments, stories_once
 from postcast.sources.items import comments_for_stories, story_scan
 from postcast.sources.tables import read_table, read_years
 from postcast.streaming import index_stream as ST
@@ -884,10 +884,10 @@ def stream_domain_stats_q(spark, sf):
     build processes them (availableNow) and its running (n, sum) state gives the
     smoothed domain table, equal to the batch statistics with the fixed prior."""
     run = scratch_path(spark, f"stream_{_tag(sf)}", unique=True)
-    items = ST.as_items(stories(spark, sf), comments(spark, sf).withColumn("dead", F.lit(0))
+    items = ST.as_items(stories_once(spark, sf), comments(spark, sf).withColumn("dead", F.lit(0))
                         .withColumn("deleted", F.lit(0)))
-    items.filter("type = 1").write.parquet(f"{run}/landing/stories")
-    items.filter("type = 2").write.parquet(f"{run}/landing/comments")
+    for kind, name in ((1, "stories"), (2, "comments")):
+        items.filter(F.col("type") == kind).write.option("compression", "zstd").parquet(f"{run}/landing/{name}")
     for q in ST.start_index_stream(spark, f"{run}/landing/*", f"{run}/out", name=run.rsplit("/", 1)[-1]):
         q.awaitTermination()
     return rounded(ST.smoothed_domains(spark, f"{run}/out"))

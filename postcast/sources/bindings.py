@@ -117,3 +117,10 @@ def stories_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         write_by_day(stories(spark, sf_dir).withColumn("day", F.to_date("time")), path, _days(spark, sf_dir))
         _WRITTEN[key] = path
     return spark.read.parquet(path)
+
+
+def stories_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stories for a caller that reads them once: the written table where the
+    session has it, else the binding itself, which is then not written."""
+    written = (spark.sparkContext.applicationId, sf_dir) in _WRITTEN
+    return stories_table(spark, sf_dir) if written else stories(spark, sf_dir)

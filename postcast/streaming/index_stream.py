@@ -41,7 +41,7 @@ def start_index_stream(spark: SparkSession, landing_dir: str, out_dir: str,
     def append_stories(batch: DataFrame, batch_id: int) -> None:
         # idempotent: a micro-batch replayed after a failure overwrites its own
         # folder instead of appending its rows a second time
-        (_story_rows(batch).write.mode("overwrite")
+        (_story_rows(batch).write.mode("overwrite").option("compression", "zstd")
          .parquet(os.path.join(out_dir, "stories", f"batch_id={batch_id}")))
 
     def trig(w):

@@ -144,3 +144,13 @@ def test_story_table_is_not_dealt_by_day_again(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, back.select("id", "title", F.col("day").cast("string")).collect())) \
             == sorted(map(tuple, rows.select("id", "title", F.col("day").cast("string")).collect()))
         assert len(list((tmp_path / str(most)).glob("day=*"))) == 10
+
+
+def test_stream_lands_the_binding_without_a_written_table(spark, monkeypatch):
+    import __spark_entry__ as E
+    from postcast.sources import bindings as B
+    monkeypatch.setattr(B, "_WRITTEN", {})
+    got = E.queries()["stream_domain_stats"](spark, "/root/testdata/sf0.001").collect()
+    assert got and not B._WRITTEN
+    B.stories_table(spark, "/root/testdata/sf0.001")
+    assert B._WRITTEN and sorted(E.queries()["stream_domain_stats"](spark, "/root/testdata/sf0.001").collect()) == sorted(got)
