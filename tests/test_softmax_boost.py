@@ -127,3 +127,38 @@ def test_rows_stop_at_the_same_node_by_bins():
     x = rng.integers(0, 9, (300, 5)).astype(np.uint8)
     assert (tree.walk_bins(np.ascontiguousarray(x.T)) == tree.walk(x, tree.cut)).all()
     assert (GrownTree().walk_bins(np.ascontiguousarray(x.T)) == np.zeros(300)).all()
+
+
+def test_sums_of_packed_rows_against_plain_sums():
+    """The rows of a slot that is left out and those out of the bag count nowhere; a second
+    pack adds to the first."""
+    from postcast.operators.softmax_boost import UNIT, BinSums, bin_places
+    rng = np.random.default_rng(3)
+    bins, features, slots = 4, 6, 2
+    sums, want = BinSums(slots, features, bins), np.zeros((3, slots, features, bins))
+    for n in (50, 30):
+        x = (rng.integers(0, bins, (features, n)) * (rng.random((features, n)) < 0.5)).astype(np.uint8)
+        slot, use = rng.integers(0, slots + 1, n), rng.random(n) < 0.8
+        slope, curve = np.rint(rng.standard_normal(n) * UNIT), np.rint(rng.random(n) * UNIT)
+        sums.add(bin_places(x, use, bins), slot, use, slope, curve)
+        for r in np.flatnonzero(use & (slot < slots)):
+            for f in range(features):
+                want[:, slot[r], f, x[f, r]] += (slope[r], curve[r], UNIT)
+    assert (sums.get() == want).all()
+
+
+def test_rows_are_packed_and_read_by_a_task_for_each_core(spark, monkeypatch):
+    """A level sends the sums of its nodes from each task, however many partitions the rows
+    come in; what is held out is read by the first pass of a round alone."""
+    from postcast.operators import softmax_boost as B
+    df = labelled(spark, n=900, d=3).repartition(40)
+    written, passes = [], []
+    write, level = B.write_rows, B.level_pass
+    monkeypatch.setattr(B, "write_rows", lambda *a: written.append(write(*a)) or written[-1])
+    monkeypatch.setattr(B, "level_pass", lambda *a: passes.append(a[-2:]) or level(*a))
+    B.fit_softmax(df, "score", validation_col="is_validation", rounds=1, depth=2, min_rows=5)
+    cores = spark.sparkContext.defaultParallelism
+    packs = written[0].select("n", "held").collect()
+    assert sum(p["n"] for p in packs) == 900 and sum(p["n"] for p in packs if p["held"]) == 180
+    assert len(packs) <= 2 * cores
+    assert passes[:2] == [(True, cores), (False, cores)]
